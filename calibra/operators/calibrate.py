@@ -1,12 +1,13 @@
 """Temperature calibration: NLL, coarse-to-fine fit, and applying fitted T.
 
-Plan shape of the fit (per question): project each row to
-``(lp = ln(max(p,1e-9)), lmax, lp_true, p_true)``, explode the 80-point coarse
-grid inside the scan stage and partially aggregate, so the shuffle carries at
-most 80 partial averages per input partition. The coarse winner is a scalar
-subquery (one value, evaluated once, substituted as a literal), which seeds
-the 25-point fine grid of the second pass. No driver loop, no join, no pass
-per temperature.
+Plan shape of the fit (per question): project each row once to
+``(lp = ln(max(p,1e-9)), lmax, lp_true, p_true)``, explode the grid inside
+the scan stage and partially aggregate, so each pass shuffles at most
+(#grid points) partial averages per input partition. The log-sum-exp is
+unrolled over the label count (a flat, code-generated expression, no lambda
+per (row, T)). Two passes: the 80-point coarse grid, then the 25-point fine
+grid around its winner; only the per-temperature averages (105 numbers,
+bounded by the grid, never by the data) reach the driver to pick winners.
 """
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions import dist
 from calibra.functions.dist import PROB_FLOOR
+from calibra.session import barrier, spread
 
 # Fixed values of the search.
 COARSE_GRID = [round(0.25 + 0.25 * i, 2) for i in range(80)]   # 0.25 .. 20.00
@@ -26,89 +28,97 @@ NLL_TIE_DIGITS = 12        # NLLs equal to this many decimals are a tie
 NLL_CEILING = -math.log(PROB_FLOOR)
 DEFAULT_TEMPERATURE = 1.0
 
+FIT_SCHEMA = ("question STRING, n BIGINT, t_coarse DOUBLE, temperature DOUBLE, nll_best DOUBLE, "
+              "nll_t1 DOUBLE, hit_ceiling BOOLEAN")
+
 
 def nll_inputs(df: DataFrame, labels: str, probs: str, truth: str) -> DataFrame:
     """Per-row inputs of the NLL that do not depend on T."""
     pos = dist.label_pos(labels, truth)
     lp = F.transform(F.col(probs), lambda x: dist.log_floor(x))
-    return (df.select(lp.alias("lp"), pos.alias("pos"), dist.at(probs, pos).alias("p_true"))
+    return (spread(df.select(lp.alias("lp"), pos.alias("pos"), dist.at(probs, pos).alias("p_true")))
               .select("lp", F.array_max("lp").alias("lmax"), dist.at("lp", "pos").alias("lp_true"),
                       "p_true"))
 
 
-def nll_at(t: Column) -> Column:
+def nll_at(t: Column, n_labels: int | None = None) -> Column:
     """Row NLL at temperature ``t`` from :func:`nll_inputs` columns (A10 term).
 
     Max-shifted log-sum-exp; ``max(lp / t) == max(lp) / t`` for t > 0, so the
-    shift is computed once per row. T = 1.0 takes the raw probability.
+    shift is computed once per row. T = 1.0 takes the raw probability. With
+    ``n_labels`` the sum over labels is unrolled into a flat expression.
     """
     lmax = F.col("lmax")
-    lse = lmax / t + F.log(F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp((x - lmax) / t)))
+    if n_labels:
+        terms = [F.coalesce(F.exp((F.get(F.col("lp"), F.lit(k)) - lmax) / t), F.lit(0.0))
+                 for k in range(n_labels)]
+        total = terms[0]
+        for term in terms[1:]:
+            total = total + term
+    else:
+        total = F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp((x - lmax) / t))
+    lse = lmax / t + F.log(total)
     scaled = F.least(F.lit(NLL_CEILING), lse - F.col("lp_true") / t)
     raw = -F.log(F.greatest(F.coalesce(F.col("p_true"), F.lit(PROB_FLOOR)), F.lit(PROB_FLOOR)))
     return F.coalesce(F.when(t == F.lit(1.0), raw).otherwise(scaled), F.lit(NLL_CEILING))
 
 
-def _grid_nll(inputs: DataFrame, grid: Column) -> DataFrame:
-    """(t, nll, n) per temperature of ``grid`` (T > 0 only); explode +
+def _grid_nll(inputs: DataFrame, grid, n_labels: int | None = None) -> DataFrame:
+    """(t, nll, n) per temperature of a literal grid (T > 0 only); explode +
     partial aggregate."""
-    return (inputs.select(F.explode(grid).alias("t"), "lp", "lmax", "lp_true", "p_true")
-                  .where(F.col("t") > F.lit(0.0))
+    arr = F.array(*[F.lit(float(t)) for t in grid if t > 0])
+    return (inputs.select(F.explode(arr).alias("t"), "lp", "lmax", "lp_true", "p_true")
                   .groupBy("t")
-                  .agg(F.avg(nll_at(F.col("t"))).alias("nll"), F.count(F.lit(1)).alias("n")))
+                  .agg(F.avg(nll_at(F.col("t"), n_labels)).alias("nll"), F.count(F.lit(1)).alias("n")))
+
+
+def _n_labels(inputs: DataFrame) -> int:
+    return int(inputs.agg(F.max(F.size("lp"))).first()[0] or 0)
 
 
 def nll_by_temperature(df: DataFrame, labels: str, probs: str, truth: str,
-                       grid=None) -> DataFrame:
+                       grid=None, n_labels: int | None = None) -> DataFrame:
     """Mean NLL for each temperature of a grid (default: the coarse grid)."""
     grid = grid if grid is not None else COARSE_GRID
-    return _grid_nll(nll_inputs(df, labels, probs, truth),
-                     F.array(*[F.lit(float(t)) for t in grid]))
+    return _grid_nll(nll_inputs(df, labels, probs, truth), grid, n_labels)
 
 
-def _key(nll: Column, stage: Column, t: Column) -> Column:
-    return F.struct(F.round(nll, NLL_TIE_DIGITS).alias("nll"), stage.alias("stage"), t.alias("t"))
+def _tie_key(nll: float, stage: int, t: float):
+    return (round(nll, NLL_TIE_DIGITS), stage, t)
 
 
 def fit_temperature(df: DataFrame, labels: str, probs: str, truth: str,
-                    question: str | None = None) -> DataFrame:
+                    question: str | None = None, n_labels: int | None = None) -> DataFrame:
     """Coarse-to-fine NLL search for one temperature.
 
     Returns one row: ``question, n, t_coarse, temperature, nll_best, nll_t1,
     hit_ceiling``. Strictly lower NLL wins: among ties the coarse winner stays,
-    then the lowest T. Empty input -> T = 1.0 (no scaling).
+    then the lowest T. Empty input -> T = 1.0 (no scaling). Runs two jobs.
     """
+    spark = df.sparkSession
     inputs = nll_inputs(df, labels, probs, truth)
-    coarse = nll_by_temperature(df, labels, probs, truth)
-    winner = coarse.agg(F.min_by("t", _key(F.col("nll"), F.lit(0), F.col("t"))).alias("t0"))
-    t0 = winner.scalar()
-    # The subquery cannot sit inside a lambda, so the 25 points are spelled out.
-    fine_grid = F.array(*[F.round(t0 - F.lit(0.25) + F.lit(0.02) * F.lit(i), 3) for i in range(FINE_STEPS)])
-    fine = _grid_nll(inputs, fine_grid).select("t", "nll", F.lit(1).alias("stage"))
-    best_coarse = coarse.where(F.col("t") == t0).select("t", "nll", F.lit(0).alias("stage"))
-    cand = best_coarse.unionByName(fine)
-    best = cand.agg(F.min_by(F.struct("t", "nll"), _key(F.col("nll"), F.col("stage"), F.col("t")))
-                    .alias("b"))
-    b = best.scalar()
-    # Each coarse row carries its own count; any one of them is the input size.
-    stats = coarse.agg(F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("n"),
-                       F.max(F.when(F.col("t") == 1.0, F.col("nll"))).alias("nll_t1"))
-    out = stats.select(
-        F.lit(question).cast("string").alias("question"),
-        "n",
-        t0.alias("t_coarse"),
-        F.coalesce(b.getField("t"), F.lit(DEFAULT_TEMPERATURE)).alias("temperature"),
-        b.getField("nll").alias("nll_best"),
-        "nll_t1",
-    )
-    return out.withColumn("hit_ceiling", F.col("temperature") >= F.lit(GRID_CEILING - 0.25))
-
-
-def fit_temperatures(heads: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """One row per question: ``{question: (df, labels, probs, truth)}``."""
+    k = n_labels if n_labels is not None else _n_labels(inputs)
+    coarse = [(r.t, r.nll, r.n) for r in _grid_nll(inputs, COARSE_GRID, k).collect()]
+    if not coarse:
+        return spark.createDataFrame([(question, 0, None, DEFAULT_TEMPERATURE, None, None, False)], FIT_SCHEMA)
+    t0, nll0, n = min(coarse, key=lambda r: _tie_key(r[1], 0, r[0]))
+    nll_t1 = next((v for t, v, _ in coarse if t == 1.0), None)
+    fine_grid = [round(t0 - 0.25 + 0.02 * i, 3) for i in range(FINE_STEPS)]
+    fine = [(r.t, r.nll) for r in _grid_nll(inputs, fine_grid, k).collect()]
+    best = min([(_tie_key(nll0, 0, t0), t0, nll0)] + [(_tie_key(v, 1, t), t, v) for t, v in fine])
+    _, t_best, nll_best = best
+    return spark.createDataFrame(
+        [(question, int(n), float(t0), float(t_best), float(nll_best), nll_t1, t_best >= GRID_CEILING - 0.25)],
+        FIT_SCHEMA)
+
+
+def fit_temperatures(heads: dict) -> DataFrame:
+    """One row per question: ``{question: (df, labels, probs, truth[, n_labels])}``."""
     out = None
-    for q, (df, labels, probs, truth) in heads.items():
-        r = fit_temperature(df, labels, probs, truth, question=q)
+    for q, spec in heads.items():
+        df, labels, probs, truth = spec[:4]
+        n_labels = spec[4] if len(spec) > 4 else None
+        r = fit_temperature(df, labels, probs, truth, question=q, n_labels=n_labels)
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -141,9 +151,9 @@ def calibrate_choice(df: DataFrame, labels: str, probs: str, temps, question: st
                      label_out: str, conf_out: str) -> DataFrame:
     """Calibrated argmax label + confidence of a choice head."""
     staged = dist.with_temperature(df, probs, _temp_value(temps, question), "_scaled")
-    return (staged.withColumn(label_out, dist.argmax_label(labels, "_scaled"))
-                  .withColumn(conf_out, dist.top_prob("_scaled"))
-                  .drop("_scaled"))
+    return barrier(staged.withColumn(label_out, dist.argmax_label(labels, "_scaled"))
+                         .withColumn(conf_out, dist.top_prob("_scaled"))
+                         .drop("_scaled"), "calibrated_choice")
 
 
 def calibrate_ordinal(df: DataFrame, labels: str, probs: str, temps, question: str,
@@ -154,9 +164,9 @@ def calibrate_ordinal(df: DataFrame, labels: str, probs: str, temps, question: s
     if raw_out:
         out = out.withColumn(raw_out, F.col("_ev"))
     out = dist.with_temperature(out, probs, _temp_value(temps, question), "_uscaled")
-    return (out.withColumn(class_out, dist.ordinal_class("_ev", F.size(labels)))
-               .withColumn(conf_out, dist.prob_of(labels, "_uscaled", F.col(class_out), 0.0))
-               .drop("_ev", "_uscaled"))
+    return barrier(out.withColumn(class_out, dist.ordinal_class("_ev", F.size(labels)))
+                      .withColumn(conf_out, dist.prob_of(labels, "_uscaled", F.col(class_out), 0.0))
+                      .drop("_ev", "_uscaled"), "calibrated_ordinal")
 
 
 def calibrate(df: DataFrame, temps, dept=("department_labels", "department_probs"),

@@ -69,16 +69,18 @@ def threshold_sweep(df: DataFrame, spark: SparkSession,
     NaN); empty input -> rate 0.
     """
     percents = list(percents or SWEEP_PERCENTS)
-    ths = F.array(*[F.lit(p / 100) for p in percents])
     conf = F.col(conf_col)
-    bucket = F.array_max(F.filter(ths, lambda x: conf >= x))
+    # Flat expression (codegen, no lambda): greatest() skips the NULLs of
+    # thresholds the row does not pass; NULL when it passes none.
+    bucket = F.greatest(*[F.when(conf >= F.lit(p / 100), F.lit(p / 100)) for p in percents]) \
+        if len(percents) > 1 else F.when(conf >= F.lit(percents[0] / 100), F.lit(percents[0] / 100))
     hist = (df.select(bucket.alias("threshold"), _eq(truth, pred).cast("int").alias("ok"))
               .groupBy("threshold")
               .agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("k")))
     total = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
     grid = spark.createDataFrame([(p / 100,) for p in percents], "threshold DOUBLE")
     w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    j = (grid.join(F.broadcast(hist.where(F.col("threshold").isNotNull())), "threshold", "left")
+    j = (grid.join(F.broadcast(hist), "threshold", "left")
              .select("threshold",
                      F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_auto"),
                      F.sum(F.coalesce("k", F.lit(0))).over(w).alias("k_auto")))

@@ -151,7 +151,8 @@ def q_option_ranking(spark, sf):
 
 def q_nll_by_temperature(spark, sf):
     e = fx.events_scored(spark, sf)
-    return cal.nll_by_temperature(e, "labels", "probs", "truth").select("t", r6("nll").alias("nll"), "n")
+    return cal.nll_by_temperature(e, "labels", "probs", "truth", n_labels=len(fx.EVENT_LABELS)) \
+        .select("t", r6("nll").alias("nll"), "n")
 
 
 def _fit_rows(df: DataFrame) -> DataFrame:
@@ -162,8 +163,9 @@ def _fit_rows(df: DataFrame) -> DataFrame:
 def q_fit_temperature(spark, sf):
     e = fx.events_scored(spark, sf)
     o = fx.orders_scored(spark, sf).withColumn("truth", F.col("truth").cast("string"))
-    return _fit_rows(cal.fit_temperatures({"events": (e, "labels", "probs", "truth"),
-                                           "orders": (o, "labels", "probs", "truth")}))
+    return _fit_rows(cal.fit_temperatures({
+        "events": (e, "labels", "probs", "truth", len(fx.EVENT_LABELS)),
+        "orders": (o, "labels", "probs", "truth", len(fx.ORDINAL_LABELS))}))
 
 
 def q_mean_top_prob(spark, sf):

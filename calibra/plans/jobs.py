@@ -65,11 +65,11 @@ def calibrated(recs: DataFrame, temps, threshold=dist.DEFAULT_THRESHOLD) -> Data
     return add_gate(out, "cal_department_confidence", threshold)
 
 
-def fit_job(cal_records: DataFrame) -> DataFrame:
+def fit_job(cal_records: DataFrame, n_department: int | None = 8, n_urgency: int | None = 3) -> DataFrame:
     """One temperature per scored question on the calibration split."""
     return cal.fit_temperatures({
-        "department": (cal_records, DEPT[0], DEPT[1], "true_department"),
-        "urgency": (cal_records, URG[0], URG[1], "true_urgency"),
+        "department": (cal_records, DEPT[0], DEPT[1], "true_department", n_department),
+        "urgency": (cal_records, URG[0], URG[1], "true_urgency", n_urgency),
     })
 
 

@@ -55,3 +55,35 @@ def materialize(df):
     of re-running the upstream scoring."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def barrier(df, name: str):
+    """Stop later filters from being pushed into staged projections.
+
+    A filter on a derived column (say the scored department) is normally
+    pushed below the projections that compute it, with every staged column
+    replaced by its full definition -- so softmax/log-sum-exp trees and regex
+    scans get re-evaluated many times per row inside the filter. Catalyst does
+    not push predicates through a ``CollectMetrics`` node, so ``observe`` is
+    used as the barrier; it also counts the rows that passed (a free metric).
+    """
+    from pyspark.sql import functions as F
+    return df.observe(f"{name}_{uuid.uuid4().hex[:10]}", F.count(F.lit(1)).alias("rows"))
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition before a CPU-heavy per-row stage, but only when
+    the (shuffle-free) input has fewer partitions than the cluster has task
+    slots -- e.g. a small file written as one row group, which one task would
+    otherwise score alone. Inputs that already have enough splits (any large
+    table) and streaming frames are returned unchanged: no extra shuffle."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    target = int(min_partitions or spark.sparkContext.defaultParallelism)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

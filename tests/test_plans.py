@@ -24,7 +24,7 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 def test_fit_explodes_before_partial_aggregation(spark):
     e = fx.events_scored(spark, SF_SMALL)
-    plan = _plan(cal.nll_by_temperature(e, "labels", "probs", "truth"))
+    plan = _plan(cal.nll_by_temperature(e, "labels", "probs", "truth", n_labels=5))
     assert "Generate explode" in plan
     assert plan.count("HashAggregate") >= 2          # partial + final
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
