@@ -15,9 +15,9 @@ from calibra.operators import calibrate as cal
 from calibra.operators import cases, metrics
 from calibra.operators.gate import add_gate, gating_metrics, threshold_sweep
 from calibra.operators.labels import (DEPARTMENT_NAMES, label_dim, priority_to_score,
-                                      score_to_priority)
+                                      score_to_priority, urgency_class_name)
 from calibra.operators.prepare import prepare_tickets, split_overlap, stratified_split, head
-from calibra.operators.questions import QuestionSpec, build_questions, spec_from_options
+from calibra.operators.questions import QuestionSpec, build_questions, spec_from_options, triage_preset
 from calibra.operators.score import LexicalModel, answer_lines, flatten_answers, lexical_score, score_with_model
 from calibra.plans import fixtures as fx
 from calibra.plans import jobs
@@ -437,6 +437,42 @@ def q_live_triage_stream(spark, sf):
                       "gate_decision", "department_correct")
 
 
+def q_prediction_display(spark, sf):
+    """P12, P13, P17, P18 over the ticket predictions."""
+    p = ticket_predictions(spark, sf)
+    return p.select("ticket_id",
+                    tx.short_label("cal_department", 10).alias("dept_short"),
+                    tx.short_label("cal_department", 12).alias("dept_short12"),
+                    urgency_class_name("cal_urgency").alias("urgency_name"),
+                    tx.title(urgency_class_name("cal_urgency")).alias("urgency_title"),
+                    tx.pct0("cal_department_confidence").alias("conf_pct"),
+                    tx.preview("text", 80).alias("preview"))
+
+
+def q_preset_answers(spark, sf):
+    """A second question spec on the same texts, rendered generically."""
+    spec = triage_preset()
+    s = lexical_score(user_messages(spark, sf), spec)
+    return answer_lines(s, spec, keep=("conv_id", "turn")).select(
+        "conv_id", "turn", F.col("question_index").cast("int").alias("question_index"), "question", "answer")
+
+
+def q_run_metadata(spark, sf):
+    """One row -- rows evaluated, scorer, fitted temperatures."""
+    recs = ticket_records(spark, sf)
+    temps = jobs.temperatures_dict(jobs.fit_job(recs.where(F.col("split") == "cal")))
+    return recs.where(F.col("split") == "test").agg(F.count(F.lit(1)).alias("n_test")).select(
+        "n_test", F.lit("lexical").alias("scorer"),
+        F.lit(temps.get("department", 1.0)).alias("t_department"),
+        F.lit(temps.get("urgency", 1.0)).alias("t_urgency"))
+
+
+def q_log_by_source(spark, sf):
+    """one source's rows via a partition filter on ``source``."""
+    log = decision_log(spark, sf)
+    return dlog.counts(log.where(F.col("source") == "batch")).withColumn("source", F.lit("batch"))
+
+
 QUERIES = {
     "gating_metrics": q_gating_metrics,
     "gate_decisions": q_gate_decisions,
@@ -486,5 +522,9 @@ QUERIES = {
     "department_volume": q_department_volume,
     "probs_json_roundtrip": q_probs_json_roundtrip,
     "live_triage_stream": q_live_triage_stream,
+    "prediction_display": q_prediction_display,
+    "preset_answers": q_preset_answers,
+    "run_metadata": q_run_metadata,
+    "log_by_source": q_log_by_source,
 }
 

@@ -651,3 +651,35 @@ SELECT row_number() OVER (ORDER BY ts, event_id) AS id,
        gate_decision, NULL::INTEGER AS department_correct
 FROM EC"""
 
+
+ORACLE_SQL["prediction_display"] = TICKETS + """
+SELECT ticket_id, substr(cal_department, 1, 10) AS dept_short, substr(cal_department, 1, 12) AS dept_short12,
+       ['low', 'medium', 'high'][cal_urgency + 1] AS urgency_name,
+       upper(substr(['low', 'medium', 'high'][cal_urgency + 1], 1, 1)) || substr(['low', 'medium', 'high'][cal_urgency + 1], 2)
+           AS urgency_title,
+       printf('%.0f', cal_department_confidence * 100.0::DOUBLE) || '%' AS conf_pct,
+       replace(substr(text, 1, 80), chr(10), ' ') AS preview
+FROM TPRED"""
+
+_PRESET = cat.triage_preset()
+_PRESET_CTE = with_ctes(
+    """
+UM AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')""",
+    lexical_ctes("UM", "PL", _PRESET))
+ORACLE_SQL["preset_answers"] = _PRESET_CTE + f"""
+SELECT conv_id, turn, 0 AS question_index, 'sentiment' AS question,
+       {argmax(_lst(_PRESET['sentiment'].labels), 'sentiment_p')} || '  (conf ' || {_fmt('list_max(sentiment_p)')} || ')' AS answer
+FROM PL
+UNION ALL
+SELECT conv_id, turn, 1, 'priority', 'score ' || {_fmt('priority_ev')} || '  (conf '
+       || {_fmt(f"coalesce(priority_p[{ordinal_class('priority_ev', '3')} + 1], 0.0::DOUBLE)")} || ')' FROM PL
+UNION ALL
+SELECT conv_id, turn, 2, 'needs_reply', {_fmt('needs_reply_n')} || ' probability' FROM PL"""
+
+ORACLE_SQL["run_metadata"] = TICKETS + """
+SELECT (SELECT count(*) FROM TR WHERE split = 'test') AS n_test, 'lexical' AS scorer,
+       (SELECT temperature FROM department) AS t_department, (SELECT temperature FROM urgency) AS t_urgency"""
+
+ORACLE_SQL["log_by_source"] = TICKETS_LOG + """
+SELECT count(*) AS total, count(*) FILTER (WHERE gate_decision = 'escalate_to_human') AS escalated, 'batch' AS source
+FROM LOG WHERE source = 'batch'"""
