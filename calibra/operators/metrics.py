@@ -50,8 +50,11 @@ def confusion(df: DataFrame, spark: SparkSession, labels, truth: str, pred: str,
     left side, so out-of-space pairs fall away in the join.
     """
     labels = list(labels)
-    counts = (df.groupBy(F.col(truth).cast(dtype).alias(truth_name),
-                         F.col(pred).cast(dtype).alias(pred_name))
+    t, p = F.col(truth).cast(dtype), F.col(pred).cast(dtype)
+    # Only in-space pairs can land in the grid; filtering first also makes the
+    # broadcast bound (#labels^2 rows) hold whatever the data contains.
+    counts = (df.where(t.isin(labels) & p.isin(labels))
+                .groupBy(t.alias(truth_name), p.alias(pred_name))
                 .agg(F.count(F.lit(1)).alias("n")))
     grid = _grid(spark, labels, truth_name, pred_name, dtype)
     return (grid.join(small(counts, len(labels) ** 2), [truth_name, pred_name], "left")

@@ -89,3 +89,9 @@ def test_scaling_invariants(spark, raw, t):
     lo = _one(spark, labels, probs, dist.apply_temperature("probs", 0.5).alias("p")).p
     hi = _one(spark, labels, probs, dist.apply_temperature("probs", 5.0).alias("p")).p
     assert max(lo) >= max(probs) - 1e-12 >= max(hi) - 2e-12
+
+
+def test_per_request_threshold_column(spark):
+    df = spark.createDataFrame([(0.7, 0.6), (0.7, 0.8), (0.95, 0.99)], "c DOUBLE, th DOUBLE")
+    got = [r[0] for r in df.select(dist.gate("c", F.col("th"))).collect()]
+    assert got == ["auto_route", "escalate_to_human", "escalate_to_human"]

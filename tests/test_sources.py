@@ -71,3 +71,13 @@ def test_split_dataset_partition_pruning(spark):
     plan = test._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
     assert test.count() == t.where("split = 'test'").count() > 0
+
+
+def test_batch_output_csv(spark):
+    from calibra.plans import jobs
+    out = jobs.batch_output(catalog.batch_triaged(spark, SF_MID))
+    path = fresh_path(spark, "batch-out")
+    tk.write_batch_output(out, path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    assert back.columns == ["text", "department", "dept_conf", "urgency", "decision", "churn", "refund"]
+    assert back.count() == out.count() == 279
