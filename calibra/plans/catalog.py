@@ -22,6 +22,8 @@ from calibra.operators.score import LexicalModel, answer_lines, flatten_answers,
 from calibra.plans import fixtures as fx
 from calibra.plans import jobs
 from calibra.sources import decision_log as dlog
+from calibra.sources import predictions as pred
+from calibra.sources import tickets as tk
 from calibra.sources.predictions import json_to_probs, probs_to_json
 from calibra.sources.tables import read_table
 from calibra.session import fresh_path, materialize
@@ -473,6 +475,56 @@ def q_log_by_source(spark, sf):
     return dlog.counts(log.where(F.col("source") == "batch")).withColumn("source", F.lit("batch"))
 
 
+def q_upload_csv_roundtrip(spark, sf):
+    """User messages written as CSV (multi-line cells), read back with
+    a chosen text column."""
+    path = fresh_path(spark, "upload-csv")
+    tk.csv_writer(user_messages(spark, sf)).csv(path)
+    back = tk.read_upload(spark, path, "text", ["conv_id", "turn", "text"])
+    return back.select(F.col("conv_id").cast("bigint").alias("conv_id"),
+                       F.col("turn").cast("bigint").alias("turn"), "text")
+
+
+def q_split_dataset(spark, sf):
+    """Ticket splits written partitioned by split; the test split read
+    back through partition pruning."""
+    path = fresh_path(spark, "splits")
+    tk.write_splits(tickets(spark, sf), path)
+    return tk.read_split(spark, path, "test").select("ticket_id", "department", "urgency_score")
+
+
+def q_batch_output_csv(spark, sf):
+    """The 7-column batch result written as CSV and read back."""
+    path = fresh_path(spark, "batch-csv")
+    tk.write_batch_output(jobs.batch_output(batch_triaged(spark, sf), keep=("conv_id", "turn")), path)
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .schema("conv_id BIGINT, turn BIGINT, text STRING, department STRING, dept_conf DOUBLE, "
+                    "urgency STRING, decision STRING, churn DOUBLE, refund DOUBLE").csv(path))
+    return back
+
+
+def q_predictions_parquet(spark, sf):
+    """Predictions persisted with JSON distributions, decoded back in
+    declared label order."""
+    path = fresh_path(spark, "predictions")
+    pred.write_predictions(ticket_predictions(spark, sf).select(
+        "ticket_id", "department_labels", "department_probs", "urgency_labels", "urgency_probs",
+        "cal_department", "gate_decision"), path)
+    spec = ticket_spec()
+    back = pred.read_predictions(spark, path, spec["department"].labels, spec["urgency"].labels)
+    return (back.select("ticket_id", F.posexplode("department_probs").alias("pos", "p"))
+                .select("ticket_id", (F.col("pos") + 1).alias("label_index"), r6("p").alias("p")))
+
+
+def q_temperatures_json(spark, sf):
+    """Fitted temperatures written as JSON, read back with 1.0 for a
+    question that was never fitted."""
+    path = fresh_path(spark, "temperatures")
+    recs = ticket_records(spark, sf)
+    pred.write_temperatures(jobs.fit_job(recs.where(F.col("split") == "cal")), path)
+    return pred.read_temperatures(spark, path, ("department", "urgency", "churn_risk"))
+
+
 QUERIES = {
     "gating_metrics": q_gating_metrics,
     "gate_decisions": q_gate_decisions,
@@ -526,5 +578,10 @@ QUERIES = {
     "preset_answers": q_preset_answers,
     "run_metadata": q_run_metadata,
     "log_by_source": q_log_by_source,
+    "upload_csv_roundtrip": q_upload_csv_roundtrip,
+    "split_dataset": q_split_dataset,
+    "batch_output_csv": q_batch_output_csv,
+    "predictions_parquet": q_predictions_parquet,
+    "temperatures_json": q_temperatures_json,
 }
 

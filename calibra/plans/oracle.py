@@ -683,3 +683,21 @@ SELECT (SELECT count(*) FROM TR WHERE split = 'test') AS n_test, 'lexical' AS sc
 ORACLE_SQL["log_by_source"] = TICKETS_LOG + """
 SELECT count(*) AS total, count(*) FILTER (WHERE gate_decision = 'escalate_to_human') AS escalated, 'batch' AS source
 FROM LOG WHERE source = 'batch'"""
+
+ORACLE_SQL["upload_csv_roundtrip"] = """
+SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'"""
+
+ORACLE_SQL["split_dataset"] = with_ctes(T_PREP_CTE, split_ctes("TP", "ticket_id", "department", "TS")) + """
+SELECT ticket_id, department, urgency_score FROM TS WHERE split = 'test'"""
+
+ORACLE_SQL["batch_output_csv"] = ORACLE_SQL["batch_triage"]
+
+ORACLE_SQL["predictions_parquet"] = TICKETS + """
+SELECT ticket_id, label_index::INTEGER AS label_index, round(p, 6) AS p FROM (
+  SELECT ticket_id, unnest(range(1, len(department_probs) + 1)) AS label_index, unnest(department_probs) AS p
+  FROM TR WHERE split = 'test')"""
+
+ORACLE_SQL["temperatures_json"] = TICKETS + """
+SELECT question, temperature FROM department
+UNION ALL SELECT question, temperature FROM urgency
+UNION ALL SELECT 'churn_risk', 1.0::DOUBLE"""

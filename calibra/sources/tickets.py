@@ -42,6 +42,13 @@ def read_upload(spark: SparkSession, path: str, text_col: str, columns: list[str
     return df.withColumn("text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
+def csv_writer(df: DataFrame):
+    """CSV writer that keeps cells byte-exact: header, quote escaping, and no
+    trimming of leading/trailing whitespace (Spark trims on write by default)."""
+    return (df.write.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_batch_output(out: DataFrame, path: str) -> None:
     """Batch triage results as CSV with a header, no index column."""
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    csv_writer(out).mode("overwrite").csv(path)

@@ -15,7 +15,7 @@ def test_upload_csv_round_trip_multiline_and_quotes(spark):
     users = users.withColumn("text", F.when(F.col("conv_id") == 0, F.concat(F.col("text"), F.lit(' say "hi"')))
                              .otherwise(F.col("text")))
     path = fresh_path(spark, "upload")
-    users.write.option("header", True).option("escape", '"').csv(path)
+    tk.csv_writer(users).csv(path)
     back = tk.read_upload(spark, path, "text", ["conv_id", "turn", "text"])
     assert back.count() == users.count() == 279
     assert back.where(F.col("text").contains("\n")).count() == 133
