@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibra.session import barrier
+
 # Fixed values shared with the scoring semantics being reproduced.
 PROB_FLOOR = 1e-9            # probabilities are floored here before ln()
 DEFAULT_THRESHOLD = 0.85     # auto-route when calibrated confidence >= this
@@ -52,12 +54,16 @@ def with_softmax(df: DataFrame, logits, out: str) -> DataFrame:
     nested Column expression re-evaluates the normaliser per element)."""
     tmp = f"_{out}__"
     lg = F.col(tmp + "l")
-    return (df.withColumn(tmp + "l", _c(logits))
-              .withColumn(tmp + "m", F.array_max(lg))
-              .withColumn(tmp + "e", F.transform(lg, lambda x: F.exp(x - F.col(tmp + "m"))))
-              .withColumn(tmp + "z", dsum(tmp + "e"))
-              .withColumn(out, F.transform(tmp + "e", lambda x: x / F.col(tmp + "z")))
-              .drop(tmp + "l", tmp + "m", tmp + "e", tmp + "z"))
+    staged = (df.withColumn(tmp + "l", _c(logits))
+                .withColumn(tmp + "m", F.array_max(lg))
+                .withColumn(tmp + "e", F.transform(lg, lambda x: F.exp(x - F.col(tmp + "m"))))
+                .withColumn(tmp + "z", dsum(tmp + "e"))
+                .withColumn(out, F.transform(tmp + "e", lambda x: x / F.col(tmp + "z")))
+                .drop(tmp + "l", tmp + "m", tmp + "e", tmp + "z"))
+    # A later filter on ``out`` (also the one Catalyst infers for an explode)
+    # would otherwise be pushed below these projections with every stage
+    # inlined; the barrier keeps the softmax computed once per row.
+    return barrier(staged, "softmax")
 
 
 def with_temperature(df: DataFrame, probs, temperature, out: str) -> DataFrame:

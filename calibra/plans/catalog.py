@@ -24,7 +24,7 @@ from calibra.plans import jobs
 from calibra.sources import decision_log as dlog
 from calibra.sources import predictions as pred
 from calibra.sources import tickets as tk
-from calibra.sources.predictions import json_to_probs, probs_to_json
+from calibra.sources.predictions import probs_to_json, with_json_probs
 from calibra.sources.tables import read_table
 from calibra.session import fresh_path, materialize
 
@@ -129,21 +129,19 @@ def q_gating_metrics(spark, sf):
 
 
 def q_apply_temperature_long(spark, sf):
-    e = fx.events_scored(spark, sf)
-    scaled = e.select("event_id", "labels", dist.apply_temperature("probs", E_TEMPERATURE).alias("p"))
-    return (scaled.select("event_id", "labels", F.posexplode("p").alias("pos", "p"))
-                  .select("event_id", (F.col("pos") + 1).alias("label_index"),
-                          dist.at("labels", F.col("pos") + 1).alias("label"), r6("p").alias("p")))
+    e = dist.with_temperature(fx.events_scored(spark, sf), "probs", E_TEMPERATURE, "p")
+    return (e.select("event_id", "labels", F.posexplode("p").alias("pos", "p"))
+             .select("event_id", (F.col("pos") + 1).alias("label_index"),
+                     dist.at("labels", F.col("pos") + 1).alias("label"), r6("p").alias("p")))
 
 
 def q_top_option(spark, sf):
-    e = fx.events_scored(spark, sf)
-    sharp = dist.apply_temperature("probs", E_SHARPEN)
+    e = dist.with_temperature(fx.events_scored(spark, sf), "probs", E_SHARPEN, "sharp")
     return e.select("event_id",
                     dist.argmax_label("labels", "probs").alias("top_label"),
                     r6(dist.top_prob("probs")).alias("top_prob"),
-                    dist.argmax_label("labels", sharp).alias("cal_label"),
-                    r6(dist.top_prob(sharp)).alias("cal_confidence"))
+                    dist.argmax_label("labels", "sharp").alias("cal_label"),
+                    r6(dist.top_prob("sharp")).alias("cal_confidence"))
 
 
 def q_option_ranking(spark, sf):
@@ -426,7 +424,7 @@ def q_department_volume(spark, sf):
 def q_probs_json_roundtrip(spark, sf):
     e = fx.events_scored(spark, sf)
     js = e.select("event_id", probs_to_json("labels", "probs").alias("js"))
-    back = js.select("event_id", json_to_probs("js", fx.EVENT_LABELS).alias("p"))
+    back = with_json_probs(js, "js", fx.EVENT_LABELS, "p")
     return (back.select("event_id", F.posexplode("p").alias("pos", "p"))
                 .select("event_id", (F.col("pos") + 1).alias("label_index"), r6("p").alias("p")))
 

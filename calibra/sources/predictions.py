@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from calibra.operators.calibrate import DEFAULT_TEMPERATURE
+from calibra.session import barrier
 
 PROB_COLUMNS = {"department_probs": "department_labels", "urgency_probs": "urgency_labels"}
 
@@ -23,9 +24,19 @@ def probs_to_json(labels, probs) -> Column:
 
 def json_to_probs(js, labels: list[str]) -> Column:
     """JSON text -> probabilities in the DECLARED label order.
-    A label missing from the JSON gives NULL at its position."""
+    A label missing from the JSON gives NULL at its position. (Column form:
+    the map is parsed per label; prefer :func:`with_json_probs` on frames.)"""
     m = F.from_json(F.col(js) if isinstance(js, str) else js, "MAP<STRING, DOUBLE>")
-    return F.transform(F.array(*[F.lit(x) for x in labels]), lambda k: F.try_element_at(m, k))
+    return F.array(*[F.try_element_at(m, F.lit(x)) for x in labels])
+
+
+def with_json_probs(df: DataFrame, js: str, labels: list[str], out: str) -> DataFrame:
+    """Staged decode: parse the JSON map once per row, then pick the labels in
+    declared order."""
+    tmp = f"_{out}_map"
+    return barrier(df.withColumn(tmp, F.from_json(F.col(js), "MAP<STRING, DOUBLE>"))
+                     .withColumn(out, F.array(*[F.try_element_at(F.col(tmp), F.lit(x)) for x in labels]))
+                     .drop(tmp), "json_probs")
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
@@ -48,8 +59,8 @@ def read_predictions(spark: SparkSession, path: str, department_labels: list[str
     for probs, labels, names in (("department_probs", "department_labels", department_labels),
                                  ("urgency_probs", "urgency_labels", urgency_labels)):
         if probs in df.columns and dict(df.dtypes)[probs] == "string":
-            df = (df.withColumn(probs, json_to_probs(probs, names))
-                    .withColumn(labels, F.array(*[F.lit(x) for x in names])))
+            df = (with_json_probs(df, probs, names, probs)
+                  .withColumn(labels, F.array(*[F.lit(x) for x in names])))
     return df
 
 
