@@ -41,7 +41,8 @@ def pct0(x) -> Column:
 
 
 def department_correct(pred, truth) -> Column:
-    """1/0 when truth is known (a NULL prediction counts as wrong), else NULL."""
+    """1/0 when truth is known (a NULL prediction counts as wrong), else NULL (C13;
+    the null-safe predicted-vs-truth match of J7)."""
     return F.when(_c(truth).isNotNull(), _c(pred).eqNullSafe(_c(truth)).cast("int"))
 
 

@@ -64,7 +64,8 @@ def nll_at(t: Column, n_labels: int | None = None) -> Column:
 
 
 def _grid_nll(inputs: DataFrame, grid, n_labels: int | None = None) -> DataFrame:
-    """(t, nll, n) per temperature of a literal grid (T > 0 only); explode +
+    """(t, nll, n) per temperature of a literal grid (T > 0 only) -- the grid x
+    records product of J5 as an in-stage explode +
     partial aggregate."""
     arr = F.array(*[F.lit(float(t)) for t in grid if t > 0])
     return (inputs.select(F.explode(arr).alias("t"), "lp", "lmax", "lp_true", "p_true")

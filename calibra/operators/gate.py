@@ -60,7 +60,7 @@ def threshold_sweep(df: DataFrame, spark: SparkSession,
                     truth: str = "true_department", pred: str = "cal_department",
                     percents=None) -> DataFrame:
     """Auto-route rate (%) and accuracy (%) among ``conf >= th`` for each
-    threshold (A14).
+    threshold (A14; the per-threshold range of J4 without a theta join).
 
     Each row is bucketed to the highest threshold it passes, so one
     ``groupBy(bucket)`` (<= 26 groups, partial aggregation map-side) replaces

@@ -24,7 +24,7 @@ def accuracy(df: DataFrame, truth: str, pred: str, out: str = "accuracy") -> Dat
 
 
 def urgency_metrics(df: DataFrame, truth: str = "true_urgency", pred: str = "cal_urgency") -> DataFrame:
-    """Exact accuracy and within-one-level share, one pass."""
+    """Exact accuracy and within-one-level share (``abs`` difference, C12), one pass."""
     t, p = F.col(truth).cast("int"), F.col(pred).cast("int")
     return df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -44,7 +44,7 @@ def _grid(spark: SparkSession, labels, truth_name: str, pred_name: str, dtype: s
 def confusion(df: DataFrame, spark: SparkSession, labels, truth: str, pred: str,
               truth_name: str = "true_label", pred_name: str = "pred_label",
               dtype: str = "STRING") -> DataFrame:
-    """Dense confusion in long form, rows = truth, declared order.
+    """Dense confusion in long form, rows = truth, declared order.
 
     Only in-space (truth, pred) pairs are counted (F5): the label grid is the
     left side, so out-of-space pairs fall away in the join.

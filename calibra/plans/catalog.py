@@ -438,7 +438,7 @@ def q_live_triage_stream(spark, sf):
 
 
 def q_prediction_display(spark, sf):
-    """P12, P13, P17, P18 over the ticket predictions."""
+    """P12, P13, P14 (display names), P17, P18 over the ticket predictions."""
     p = ticket_predictions(spark, sf)
     return p.select("ticket_id",
                     tx.short_label("cal_department", 10).alias("dept_short"),
