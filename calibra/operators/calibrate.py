@@ -46,12 +46,12 @@ def nll_at(t: Column, n_labels: int | None = None) -> Column:
 
     Max-shifted log-sum-exp; ``max(lp / t) == max(lp) / t`` for t > 0, so the
     shift is computed once per row. T = 1.0 takes the raw probability. With
-    ``n_labels`` the sum over labels is unrolled into a flat expression.
+    ``n_labels`` the sum over labels is unrolled into a flat expression over
+    the scalar columns ``lp0 .. lp{K-1}`` (see :func:`_grid_nll`).
     """
     lmax = F.col("lmax")
     if n_labels:
-        terms = [F.coalesce(F.exp((F.get(F.col("lp"), F.lit(k)) - lmax) / t), F.lit(0.0))
-                 for k in range(n_labels)]
+        terms = [F.coalesce(F.exp((F.col(f"lp{k}") - lmax) / t), F.lit(0.0)) for k in range(n_labels)]
         total = terms[0]
         for term in terms[1:]:
             total = total + term
@@ -68,7 +68,11 @@ def _grid_nll(inputs: DataFrame, grid, n_labels: int | None = None) -> DataFrame
     records product of J5 as an in-stage explode +
     partial aggregate."""
     arr = F.array(*[F.lit(float(t)) for t in grid if t > 0])
-    return (inputs.select(F.explode(arr).alias("t"), "lp", "lmax", "lp_true", "p_true")
+    # With a known label count the array is unpacked to scalars BEFORE the
+    # explode, so each generated (row, T) copy carries K + 3 doubles.
+    lp = ([F.get(F.col("lp"), F.lit(k)).alias(f"lp{k}") for k in range(n_labels)] if n_labels
+          else ["lp"])
+    return (inputs.select(F.explode(arr).alias("t"), *lp, "lmax", "lp_true", "p_true")
                   .groupBy("t")
                   .agg(F.avg(nll_at(F.col("t"), n_labels)).alias("nll"), F.count(F.lit(1)).alias("n")))
 
