@@ -34,3 +34,13 @@ def test_fit_explodes_before_partial_aggregation(spark):
 def test_lexical_scan_prunes_columns(spark):
     plan = _plan(QUERIES["lexical_choice_scores"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("name,marker", [("apply_temperature_long", "EXP("),
+                                         ("probs_json_roundtrip", "from_json")])
+def test_explode_filter_does_not_inline_staged_columns(spark, name, marker):
+    """The filter Catalyst infers for (pos)explode must stay above the
+    barrier: no Filter may re-evaluate the softmax or re-parse the JSON."""
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [ln for ln in plan.splitlines() if "Filter" in ln]
+    assert not [ln for ln in filters if marker in ln]
