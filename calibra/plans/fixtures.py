@@ -59,13 +59,11 @@ def events_distribution(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     idx0 = F.array_position(_labels(EVENT_LABELS), F.col("event_type")) - 1
     bk = F.when(e % 4 != 0, idx0).otherwise(F.expr("event_id div 4") % 5)
-    weights = F.transform(
-        F.sequence(F.lit(0), F.lit(len(EVENT_LABELS) - 1)),
-        lambda k: 1 + (e * (7 * k + 3)) % 7 + F.when(bk == k, (e * 13) % 120).otherwise(0),
-    )
-    return (events.select("event_id", "ts", F.col("event_type").alias("truth"), weights.alias("w"))
+    weights = [1 + (e * F.lit(7 * k + 3)) % 7 + F.when(bk == F.lit(k), (e * 13) % 120).otherwise(0)
+               for k in range(len(EVENT_LABELS))]
+    return (events.select("event_id", "ts", F.col("event_type").alias("truth"), *_weight_cols(weights))
                   .select("event_id", "ts", "truth", _labels(EVENT_LABELS).alias("labels"),
-                          _normalise("w").alias("probs")))
+                          _normalise(len(weights)).alias("probs")))
 
 
 def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,17 +75,13 @@ def orders_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O: o_orderkey, truth (0..2), labels '0','1','2', probs."""
     k = F.col("o_orderkey")
     u = urgency_from_order_priority(F.col("o_orderpriority"))
-    mult = F.array(*[F.lit(m) for m in ORDER_MULTIPLIERS])
-    weights = F.transform(
-        F.sequence(F.lit(0), F.lit(len(ORDINAL_LABELS) - 1)),
-        lambda i: 1 + (k * F.get(mult, i)) % 11
-        + F.when((u == i) & (k % 3 != 0), F.lit(14)).otherwise(0),
-    )
+    weights = [1 + (k * F.lit(m)) % 11 + F.when((u == F.lit(i)) & (k % 3 != 0), F.lit(14)).otherwise(0)
+               for i, m in enumerate(ORDER_MULTIPLIERS)]
     return (
         read_table(spark, sf_dir, "orders")
-        .select("o_orderkey", u.alias("truth"), weights.alias("w"))
+        .select("o_orderkey", u.alias("truth"), *_weight_cols(weights))
         .select("o_orderkey", "truth", _labels(ORDINAL_LABELS).alias("labels"),
-                _normalise("w").alias("probs"))
+                _normalise(len(weights)).alias("probs"))
     )
 
 
@@ -96,10 +90,19 @@ def urgency_from_order_priority(priority: F.Column) -> F.Column:
     return F.try_element_at(m, priority)
 
 
-def _normalise(weights: str) -> F.Column:
-    w = F.col(weights)
-    total = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.transform(w, lambda x: x.cast("double") / total)
+def _weight_cols(weights) -> list[F.Column]:
+    """One integer column ``_w0 .. _w{K-1}`` per label. The label count is
+    fixed, so the weights are plain (code-generated) expressions rather than
+    a lambda over an array, which Spark would interpret per element."""
+    return [w.cast("bigint").alias(f"_w{k}") for k, w in enumerate(weights)]
+
+
+def _normalise(n: int) -> F.Column:
+    """``[w_k / sum(w)]`` over the ``_w*`` columns (integer sum, exact)."""
+    total = F.lit(0).cast("bigint")
+    for k in range(n):
+        total = total + F.col(f"_w{k}")
+    return F.array(*[F.col(f"_w{k}").cast("double") / total for k in range(n)])
 
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
