@@ -54,12 +54,13 @@ def main() -> None:
     def calibrate_gate():
         e = fx.events_scored(spark, sf_dir)
         c = cal.calibrate_choice(e, "labels", "probs", {"department": 1.7}, "department",
-                                 "cal_department", "cal_department_confidence")
+                                 "cal_department", "cal_department_confidence", len(fx.EVENT_LABELS))
         return add_gate(c, "cal_department_confidence")
 
     def ordinal():
         o = fx.orders_scored(spark, sf_dir)
-        return cal.calibrate_ordinal(o, "labels", "probs", {"urgency": 3.68}, "urgency", "c", "conf", "ev")
+        return cal.calibrate_ordinal(o, "labels", "probs", {"urgency": 3.68}, "urgency", "c", "conf", "ev",
+                                     len(fx.ORDINAL_LABELS))
 
     def split():
         return stratified_split(fx.events_scored(spark, sf_dir).select("event_id", "truth"), "event_id", "truth")

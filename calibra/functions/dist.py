@@ -48,11 +48,20 @@ def softmax(logits) -> Column:
     return F.transform(ex, lambda x: x / dsum(ex))
 
 
-def with_softmax(df: DataFrame, logits, out: str) -> DataFrame:
+def with_softmax(df: DataFrame, logits, out: str, n: int | None = None) -> DataFrame:
     """``df`` + column ``out`` = softmax(logits), staged in separate
     projections so each exponential is computed once per element (a single
-    nested Column expression re-evaluates the normaliser per element)."""
+    nested Column expression re-evaluates the normaliser per element).
+
+    With ``n`` (the fixed label count) the softmax is unrolled over scalar
+    columns -- code-generated arithmetic instead of array lambdas, which Spark
+    interprets per element -- with the same operations in the same order
+    (so bit-identical results)."""
     tmp = f"_{out}__"
+    if n:
+        staged = df.withColumn(tmp + "l", _c(logits))
+        lg = F.col(tmp + "l")
+        return _flat_softmax(staged, [F.get(lg, F.lit(k)) for k in range(n)], lg.isNull(), out, [tmp + "l"])
     lg = F.col(tmp + "l")
     staged = (df.withColumn(tmp + "l", _c(logits))
                 .withColumn(tmp + "m", F.array_max(lg))
@@ -66,15 +75,45 @@ def with_softmax(df: DataFrame, logits, out: str) -> DataFrame:
     return barrier(staged, "softmax")
 
 
-def with_temperature(df: DataFrame, probs, temperature, out: str) -> DataFrame:
-    """``df`` + column ``out`` = :func:`apply_temperature`, staged."""
+def _flat_softmax(df: DataFrame, logits: list, is_null: Column, out: str, drop: list) -> DataFrame:
+    """Softmax over a fixed list of scalar logit expressions (see with_softmax)."""
+    tmp = f"_{out}__"
+    n = len(logits)
+    xs = [f"{tmp}x{k}" for k in range(n)]
+    es = [f"{tmp}e{k}" for k in range(n)]
+    staged = df.select("*", *[c.alias(x) for c, x in zip(logits, xs)])
+    staged = staged.withColumn(tmp + "m", F.greatest(*xs) if n > 1 else F.col(xs[0]))
+    staged = staged.select("*", *[F.exp(F.col(x) - F.col(tmp + "m")).alias(e) for x, e in zip(xs, es)])
+    z = F.lit(0.0)
+    for e in es:
+        z = z + F.col(e)
+    staged = staged.withColumn(tmp + "z", z)
+    res = F.array(*[F.col(e) / F.col(tmp + "z") for e in es])
+    staged = (staged.withColumn(out, F.when(is_null, F.lit(None)).otherwise(res))
+                    .drop(*drop, *xs, *es, tmp + "m", tmp + "z"))
+    return barrier(staged, "softmax")
+
+
+def with_temperature(df: DataFrame, probs, temperature, out: str, n: int | None = None) -> DataFrame:
+    """``df`` + column ``out`` = :func:`apply_temperature`, staged (unrolled
+    over ``n`` labels when the label count is given)."""
     if isinstance(temperature, (int, float)) and not isinstance(temperature, bool):
         if float(temperature) == 1.0:
             return df.withColumn(out, _c(probs))
+        if n:
+            t = F.lit(float(temperature))
+            return _flat_softmax(df, [log_floor(F.get(_c(probs), F.lit(k))) / t for k in range(n)],
+                                 _c(probs).isNull(), out, [])
         return with_softmax(df, scaled_logits(probs, F.lit(float(temperature))), out)
     t = _c(temperature)
-    staged = with_softmax(df.withColumn(f"_{out}__t", t), scaled_logits(probs, F.col(f"_{out}__t")), out)
-    return (staged.withColumn(out, F.when(F.col(f"_{out}__t") == F.lit(1.0), _c(probs)).otherwise(F.col(out)))
+    tcol = F.col(f"_{out}__t")
+    df = df.withColumn(f"_{out}__t", t)
+    if n:
+        staged = _flat_softmax(df, [log_floor(F.get(_c(probs), F.lit(k))) / tcol for k in range(n)],
+                               _c(probs).isNull(), out, [])
+    else:
+        staged = with_softmax(df, scaled_logits(probs, tcol), out)
+    return (staged.withColumn(out, F.when(tcol == F.lit(1.0), _c(probs)).otherwise(F.col(out)))
                   .drop(f"_{out}__t"))
 
 

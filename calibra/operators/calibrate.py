@@ -153,34 +153,37 @@ def _temp_value(temps, question):
 
 
 def calibrate_choice(df: DataFrame, labels: str, probs: str, temps, question: str,
-                     label_out: str, conf_out: str) -> DataFrame:
-    """Calibrated argmax label + confidence of a choice head."""
-    staged = dist.with_temperature(df, probs, _temp_value(temps, question), "_scaled")
+                     label_out: str, conf_out: str, n_labels: int | None = None) -> DataFrame:
+    """Calibrated argmax label + confidence of a choice head.
+    ``n_labels`` (the fixed label count, when known) unrolls the scaling."""
+    staged = dist.with_temperature(df, probs, _temp_value(temps, question), "_scaled", n_labels)
     return barrier(staged.withColumn(label_out, dist.argmax_label(labels, "_scaled"))
                          .withColumn(conf_out, dist.top_prob("_scaled"))
                          .drop("_scaled"), "calibrated_choice")
 
 
 def calibrate_ordinal(df: DataFrame, labels: str, probs: str, temps, question: str,
-                      class_out: str, conf_out: str, raw_out: str | None = None) -> DataFrame:
+                      class_out: str, conf_out: str, raw_out: str | None = None,
+                      n_labels: int | None = None) -> DataFrame:
     """Ordinal class from the RAW expected value; confidence from the SCALED
     distribution at that class, 0.0 when absent (C5, C6, C7)."""
     out = df.withColumn("_ev", dist.expected_value(labels, probs))
     if raw_out:
         out = out.withColumn(raw_out, F.col("_ev"))
-    out = dist.with_temperature(out, probs, _temp_value(temps, question), "_uscaled")
+    out = dist.with_temperature(out, probs, _temp_value(temps, question), "_uscaled", n_labels)
     return barrier(out.withColumn(class_out, dist.ordinal_class("_ev", F.size(labels)))
                       .withColumn(conf_out, dist.prob_of(labels, "_uscaled", F.col(class_out), 0.0))
                       .drop("_ev", "_uscaled"), "calibrated_ordinal")
 
 
 def calibrate(df: DataFrame, temps, dept=("department_labels", "department_probs"),
-              urg=("urgency_labels", "urgency_probs")) -> DataFrame:
+              urg=("urgency_labels", "urgency_probs"), n_department: int | None = None,
+              n_urgency: int | None = None) -> DataFrame:
     """Composite calibration of a scored frame -> four ``cal_*`` columns."""
     out = calibrate_choice(df, dept[0], dept[1], temps, "department",
-                           "cal_department", "cal_department_confidence")
+                           "cal_department", "cal_department_confidence", n_department)
     return calibrate_ordinal(out, urg[0], urg[1], temps, "urgency",
-                             "cal_urgency", "cal_urgency_confidence")
+                             "cal_urgency", "cal_urgency_confidence", n_labels=n_urgency)
 
 
 def mean_top_prob(df: DataFrame, probs: str, temperature, question: str | None = None) -> DataFrame:

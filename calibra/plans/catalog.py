@@ -51,7 +51,7 @@ def events_calibrated(spark, sf, temperature=1.0) -> DataFrame:
     """E with calibrated label/confidence at T and the 0.85 gate."""
     e = fx.events_scored(spark, sf)
     out = cal.calibrate_choice(e, "labels", "probs", {"department": temperature}, "department",
-                               "cal_department", "cal_department_confidence")
+                               "cal_department", "cal_department_confidence", len(fx.EVENT_LABELS))
     return add_gate(out.withColumnRenamed("truth", "true_department"), "cal_department_confidence")
 
 
@@ -129,14 +129,16 @@ def q_gating_metrics(spark, sf):
 
 
 def q_apply_temperature_long(spark, sf):
-    e = dist.with_temperature(fx.events_scored(spark, sf), "probs", E_TEMPERATURE, "p")
+    e = dist.with_temperature(fx.events_scored(spark, sf), "probs", E_TEMPERATURE, "p",
+                             len(fx.EVENT_LABELS))
     return (e.select("event_id", "labels", F.posexplode("p").alias("pos", "p"))
              .select("event_id", (F.col("pos") + 1).alias("label_index"),
                      dist.at("labels", F.col("pos") + 1).alias("label"), r6("p").alias("p")))
 
 
 def q_top_option(spark, sf):
-    e = dist.with_temperature(fx.events_scored(spark, sf), "probs", E_SHARPEN, "sharp")
+    e = dist.with_temperature(fx.events_scored(spark, sf), "probs", E_SHARPEN, "sharp",
+                             len(fx.EVENT_LABELS))
     return e.select("event_id",
                     dist.argmax_label("labels", "probs").alias("top_label"),
                     r6(dist.top_prob("probs")).alias("top_prob"),
@@ -244,7 +246,8 @@ def q_head_rows(spark, sf):
 def q_expected_value_class(spark, sf):
     o = fx.orders_scored(spark, sf)
     c = cal.calibrate_ordinal(o, "labels", "probs", {"urgency": O_TEMPERATURE}, "urgency",
-                              "cal_urgency", "cal_urgency_confidence", raw_out="urgency_score_raw")
+                              "cal_urgency", "cal_urgency_confidence", raw_out="urgency_score_raw",
+                              n_labels=len(fx.ORDINAL_LABELS))
     return c.select("o_orderkey", r6("urgency_score_raw").alias("urgency_score_raw"), "cal_urgency",
                     r6("cal_urgency_confidence").alias("cal_urgency_confidence"))
 
@@ -252,7 +255,8 @@ def q_expected_value_class(spark, sf):
 def _orders_classified(spark, sf):
     o = fx.orders_scored(spark, sf)
     return cal.calibrate_ordinal(o, "labels", "probs", {"urgency": O_TEMPERATURE}, "urgency",
-                                 "cal_urgency", "cal_urgency_confidence").withColumnRenamed("truth", "true_urgency")
+                                 "cal_urgency", "cal_urgency_confidence", n_labels=len(fx.ORDINAL_LABELS)
+                                 ).withColumnRenamed("truth", "true_urgency")
 
 
 def q_urgency_metrics(spark, sf):

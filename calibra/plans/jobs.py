@@ -59,9 +59,10 @@ def records(scored: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def calibrated(recs: DataFrame, temps, threshold=dist.DEFAULT_THRESHOLD) -> DataFrame:
+def calibrated(recs: DataFrame, temps, threshold=dist.DEFAULT_THRESHOLD,
+               n_department: int | None = 8, n_urgency: int | None = 3) -> DataFrame:
     """Records + ``cal_*`` columns + the gate decision."""
-    out = cal.calibrate(recs, temps, DEPT, URG)
+    out = cal.calibrate(recs, temps, DEPT, URG, n_department, n_urgency)
     return add_gate(out, "cal_department_confidence", threshold)
 
 
@@ -94,7 +95,8 @@ def triage(spec: QuestionSpec, scorer="lexical", temps=None,
             a["urgency"]["labels"].alias(URG[0]), a["urgency"]["probs"].alias(URG[1]),
             a["churn_risk"]["noul"].alias("churn_risk"),
             a["refund_requested"]["noul"].alias("refund_requested"))
-        out = calibrated(scored, temps, threshold)
+        out = calibrated(scored, temps, threshold,
+                         len(spec["department"].options), len(spec["urgency"].options))
         return (out.withColumnRenamed("cal_department", "department")
                    .withColumnRenamed("cal_department_confidence", "department_confidence")
                    .withColumnRenamed("cal_urgency", "urgency_class")

@@ -37,7 +37,7 @@ def live_rows(stream: DataFrame, temps=None, threshold: float = 0.85) -> DataFra
     """Stateless triage of an events stream into log rows (E as the head)."""
     scored = fx.events_distribution(stream)
     c = cal.calibrate_choice(scored, "labels", "probs", temps or {}, "department",
-                             "pred_department", "department_confidence")
+                             "pred_department", "department_confidence", len(fx.EVENT_LABELS))
     gated = add_gate(c, "department_confidence", threshold)
     rows = gated.select(
         "event_id", "ts", F.col("truth").alias("text"), "pred_department", "department_confidence",

@@ -95,3 +95,20 @@ def test_per_request_threshold_column(spark):
     df = spark.createDataFrame([(0.7, 0.6), (0.7, 0.8), (0.95, 0.99)], "c DOUBLE, th DOUBLE")
     got = [r[0] for r in df.select(dist.gate("c", F.col("th"))).collect()]
     assert got == ["auto_route", "escalate_to_human", "escalate_to_human"]
+
+
+def test_unrolled_softmax_is_bit_identical(spark):
+    """The fixed-label-count path gives exactly the lambda path's arrays, for
+    literal and per-row temperatures (T = 1.0 passes through), and keeps a
+    NULL distribution NULL."""
+    rows = [([0.7, 0.2, 0.1, 0.0], 0.5), ([0.25, 0.25, 0.25, 0.25], 3.0), ([1.0, 0.0, 0.0, 0.0], 1.0),
+            ([1e-12, 0.3, 0.6, 0.1], 0.05), (None, 2.0)]
+    df = spark.createDataFrame(rows, "p ARRAY<DOUBLE>, t DOUBLE")
+    for temp in (0.5, 2.0, "t"):
+        a = dist.with_temperature(df, "p", temp, "a")
+        both = dist.with_temperature(a, "p", temp, "b", 4)
+        for r in both.collect():
+            assert r.a == r.b
+    sm = dist.with_softmax(dist.with_softmax(df, "p", "a"), "p", "b", 4)
+    for r in sm.collect():
+        assert r.a == r.b
