@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,12 +33,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts and job output.
 
-    Read from ``spark.checkpoint.dir``; only when the cluster names none (local
-    tests) is a fresh scratch folder created and registered on the session.
+    Read from ``spark.checkpoint.dir``. On a cluster the setting is required; only
+    a single-process local session (tests) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="calibra-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -87,3 +90,25 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make this package importable on the Python workers (like --py-files):
+    zip its code once per application and register it with ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    out = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="calibra-pyfiles-")), "calibra.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
