@@ -1,0 +1,20 @@
+import os
+
+import pytest
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
+
+def rows(spark, data, schema="doc_id long, text string, lang string, source string, n_chars long"):
+    return spark.createDataFrame(data, schema)
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    """Documents from (doc_id, text) pairs, with columns whose names operators use inside."""
+    def build(pairs):
+        return spark.createDataFrame([(i, t, None, None, None, 1, "x", 2, "y") for i, t in pairs],
+                                     "doc_id long, text string, lang string, source string, n_chars long,"
+                                     " id int, body string, n int, sig string")
+    return build
