@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 from calibra.llm.near_dedup import op4_near_dedup
+from calibra.llm.token_store import op3_token_store
 
 LLM_QUERIES = {
+    "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
 }
 

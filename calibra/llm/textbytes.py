@@ -92,10 +92,13 @@ def run_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
-def run_bounds(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of ``inside`` that do not cross a row of ``offs``."""
+def run_bounds(inside: np.ndarray, offs: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of ``inside`` that do not cross a row of ``offs`` or a break
+    (``breaks[i]``: a run may not hold both i - 1 and i)."""
     n = len(inside)
     first = np.zeros(n + 1, dtype=bool)
+    if breaks is not None:
+        first[:n] = breaks
     first[offs] = True
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | first[1:n]
