@@ -1,12 +1,14 @@
 """The registered queries of the subpackage and their SQL."""
 from __future__ import annotations
 
+from calibra.llm.line_dedup import op10_line_dedup
 from calibra.llm.near_dedup import op4_near_dedup
 from calibra.llm.token_store import op3_token_store
 
 LLM_QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {}
