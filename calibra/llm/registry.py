@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 from calibra.llm.line_dedup import op10_line_dedup
+from calibra.llm.lm_score import op9_lm_score
 from calibra.llm.near_dedup import op4_near_dedup
 from calibra.llm.token_store import op3_token_store
 
 LLM_QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_line_dedup": op10_line_dedup,
 }
 
