@@ -1,6 +1,7 @@
 """The registered queries of the subpackage and their SQL."""
 from __future__ import annotations
 
+from calibra.llm.decontaminate import op7_decontaminate
 from calibra.llm.line_dedup import op10_line_dedup
 from calibra.llm.lm_score import op9_lm_score
 from calibra.llm.near_dedup import op4_near_dedup
@@ -9,6 +10,7 @@ from calibra.llm.token_store import op3_token_store
 LLM_QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op9_lm_score": op9_lm_score,
     "op10_line_dedup": op10_line_dedup,
 }
