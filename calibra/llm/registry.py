@@ -5,12 +5,14 @@ from calibra.llm.decontaminate import op7_decontaminate
 from calibra.llm.line_dedup import op10_line_dedup
 from calibra.llm.lm_score import op9_lm_score
 from calibra.llm.near_dedup import op4_near_dedup
+from calibra.llm.pii import op5_personal_data
 from calibra.llm.token_store import op3_token_store
 from calibra.llm.vector_join import op8_vector_join
 
 LLM_QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
+    "op5_personal_data": op5_personal_data,
     "op7_decontaminate": op7_decontaminate,
     "op8_vector_join": op8_vector_join,
     "op9_lm_score": op9_lm_score,
