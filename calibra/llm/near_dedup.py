@@ -36,6 +36,7 @@ from calibra.llm.common import components, cut, id_and_body, on_workers, table
 TAIL = 1e-7      # chance that a pair at the limit shares fewer than the required values
 SLACK = 5.0      # standard deviations below the limit at which the estimate drops a pair
 SHARED = 3       # values that a pair must share in the lists
+BITMAP_BITS = 24  # 2 MB, whatever the number of ids
 
 
 def required_overlap(k: int, similarity: float) -> int:
@@ -88,26 +89,56 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _sets(width: int):
+def _positions(batches):
+    """(word, bit) of each id's place in the bitmap of :func:`bitmap`."""
+    for batch in batches:
+        at = _place(batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
+
+
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (tb.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every id of ``ids`` has its bit set."""
+    words = (ids.mapInArrow(_positions, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _listed(shared):
+    """Rows whose id has its bit set (all wanted ones, and few others)."""
     def run(batches):
+        bits = shared.value
         for batch in batches:
-            if batch.num_rows:
-                sets = [s.tobytes() for _, s in shingle_sets(batch.column(0), batch.column(1), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+            at = _place(batch.column(0).fill_null(0).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
     return run
 
 
-def _confirm(percent: int):
+def _confirm(width: int, percent: int):
+    def distinct_sets(ids, texts):
+        first: dict = {}
+        for i, x in enumerate(ids):
+            first.setdefault(x, i)
+        rows = list(first.values())
+        sets = [s for _, s in shingle_sets(None, texts.take(pa.array(rows)), width)]
+        return {x: sets[i] for i, x in enumerate(first)}
+
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
+            if not batch.num_rows:
+                continue
+            a, b = (list(zip(batch.column(c).to_pylist(), batch.column(c + 2).to_pylist())) for c in (0, 1))
+            left, right = distinct_sets(a, batch.column(2)), distinct_sets(b, batch.column(3))
             keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), dtype=np.int64) for c in (left, right))
+            for p, q in zip(a, b):
+                x, y = left[p], right[q]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -124,10 +155,15 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) ->
     return p.where(F.col("hits") >= bound * size).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
-    return p.mapInArrow(_confirm(round(100 * similarity)), "a long, b long")
+def _confirmed(pairs: DataFrame, body: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose full sets are similar enough. The texts of the pairs are found where they lie with a
+    bitmap of the wanted ids, whose size is fixed; the joins then drop what it lets through by chance."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    shared = pairs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    texts = body.mapInArrow(_listed(shared), "id long, body binary")
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("body").alias(f"t{x}"))
+    p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    return p.mapInArrow(_confirm(width, round(100 * similarity)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -153,12 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where("alone + rank <= m - s + t").withColumn("seen", F.count(F.lit(1)).over(by_text)).where("seen >= t"))
     index = cut(rare.select("id", "n", "t", "v", "lead"), "lists")
 
-    suspects = index.select("id").union(index.select(F.col("lead").alias("id"))).distinct()
-    sets = cut(body.join(suspects, "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, members binary"), "sets")
-
     def links(pairs: DataFrame) -> DataFrame:
         met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("t")).where("c >= t")
-        return cut(_confirmed(cut(_estimated(met, reps, k, similarity), "pairs"), sets, similarity), "links")
+        return cut(_confirmed(cut(_estimated(met, reps, k, similarity), "pairs"), body, shingle_words, similarity), "links")
 
     first = links(index.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), "t"))
     groups = components(first)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from calibra.llm.decontaminate import op7_decontaminate
+from calibra.llm.language_id import op2_language_id
 from calibra.llm.line_dedup import op10_line_dedup
 from calibra.llm.lm_score import op9_lm_score
 from calibra.llm.near_dedup import op4_near_dedup
@@ -10,6 +11,7 @@ from calibra.llm.token_store import op3_token_store
 from calibra.llm.vector_join import op8_vector_join
 
 LLM_QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
     "op5_personal_data": op5_personal_data,
