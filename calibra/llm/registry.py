@@ -5,12 +5,14 @@ from calibra.llm.decontaminate import op7_decontaminate
 from calibra.llm.language_id import op2_language_id
 from calibra.llm.line_dedup import op10_line_dedup
 from calibra.llm.lm_score import op9_lm_score
+from calibra.llm.mixing import OP1_SQL, op1_source_mix
 from calibra.llm.near_dedup import op4_near_dedup
 from calibra.llm.pii import op5_personal_data
 from calibra.llm.token_store import op3_token_store
 from calibra.llm.vector_join import op8_vector_join
 
 LLM_QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
@@ -21,4 +23,6 @@ LLM_QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {}
+LLM_ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": OP1_SQL,
+}
