@@ -8,6 +8,7 @@ from calibra.llm.lm_score import op9_lm_score
 from calibra.llm.mixing import OP1_SQL, op1_source_mix
 from calibra.llm.near_dedup import op4_near_dedup
 from calibra.llm.pii import op5_personal_data
+from calibra.llm.secrets import op6_secret_scan
 from calibra.llm.token_store import op3_token_store
 from calibra.llm.vector_join import op8_vector_join
 
@@ -17,6 +18,7 @@ LLM_QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
     "op5_personal_data": op5_personal_data,
+    "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_vector_join": op8_vector_join,
     "op9_lm_score": op9_lm_score,
