@@ -1,6 +1,7 @@
 """The registered queries of the subpackage and their SQL."""
 from __future__ import annotations
 
+import corpus_pipeline
 from calibra.llm.decontaminate import op7_decontaminate
 from calibra.llm.language_id import op2_language_id
 from calibra.llm.line_dedup import op10_line_dedup
@@ -13,6 +14,7 @@ from calibra.llm.token_store import op3_token_store
 from calibra.llm.vector_join import op8_vector_join
 
 LLM_QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_source_mix": op1_source_mix,
     "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
@@ -27,4 +29,5 @@ LLM_QUERIES = {
 
 LLM_ORACLE_SQL: dict[str, str] = {
     "op1_source_mix": OP1_SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
