@@ -178,7 +178,7 @@ def domain_of(host: Column) -> Column:
 def _counts(rows: DataFrame, key: str, langs: int) -> DataFrame:
     """One row per value of ``key``: how many of its rows the text alone gives to each language."""
     sums = [F.sum(F.when(F.col(f"{OWN}.best") == i, 1).otherwise(0)).cast("double") for i in range(langs)]
-    return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__{key}")).agg(F.array(*sums).alias(f"__n_{key}"))
+    return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__{key}")).agg(F.array(*sums).cast("array<double>").alias(f"__n_{key}"))
 
 
 class Evidence:
@@ -190,7 +190,7 @@ class Evidence:
         known = rows.where(F.col(f"{OWN}.best") < len(model.langs))
         self.model = model
         self.tables = {k: cut(_counts(known, k, len(model.langs)), "evidence") for k in self.KEYS}
-        got = known.agg(*[F.sum(F.when(F.col(f"{OWN}.best") == i, 1).otherwise(0)) for i in range(len(model.langs))]).first()
+        got = known.agg(F.count(F.lit(1)), *[F.sum(F.when(F.col(f"{OWN}.best") == i, 1).otherwise(0)) for i in range(len(model.langs))]).first()[1:]
         self.totals = [float(x or 0) for x in got]
         self.sizes = {k: self.tables[k].count() for k in ("__declared", "__suffix")}
 

@@ -64,9 +64,12 @@ def _measures(totals: DataFrame, exponents: list[float]) -> list:
 
 def find_exponent(totals: DataFrame, target: str = "repetition", value: float = MAX_REPETITION, budget: float | None = None,
                   total: float | None = None, highest: float = 1.0) -> float:
-    """The smallest exponent in [0, highest] whose entropy is at most, or whose largest repetition is at most, ``value``."""
+    """The smallest exponent in [0, highest] whose entropy is at most, or whose largest repetition is at most, ``value``
+    (repetition falls towards exponent 1 and is sought up to there)."""
     if target not in ("repetition", "entropy"):
         raise ValueError("target is repetition or entropy")
+    if target == "repetition":
+        highest = min(highest, 1.0)
 
     def reached(r) -> bool:
         if target == "entropy":
