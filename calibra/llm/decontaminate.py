@@ -41,9 +41,10 @@ from calibra.llm import textbytes as tb
 from calibra.llm.common import id_and_body, on_workers, table
 
 ANCHOR = 4
-STEPS = 24          # steps of a walk
-WALKS = 2
-SAMPLES = ((0, 5, 9, 13), (1, 7, 12, 18), (2, 4, 8, 11), (3, 10, 15, 21))
+WALKS = 3
+# Sampled steps of a walk: six of some 27, so that a key holds several words even where the pointer rests.
+SAMPLES = ((0, 4, 9, 14, 19, 24), (1, 6, 11, 16, 21, 26), (2, 7, 12, 17, 22, 27), (3, 5, 10, 15, 18, 23))
+DISTINCT = 4
 MIN_WORDS = 8
 ITEM_BLOCK = 20_000
 MATCH = "doc_id long, item_id long, distance int, start int, n_words int, item_words int"
@@ -70,21 +71,27 @@ def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def walk_keys(h: np.ndarray, stops: np.ndarray, starts: np.ndarray):
     """CGK walks from ``starts``; ``stops`` is the end of each start's text.
 
-    Yields a 64-bit key array for every walk and sample set. A finished
-    sequence is padded with zeros.
+    Yields a 64-bit key array for every walk and sample set, with a mask of the
+    keys that hold at least ``DISTINCT`` different places of the sequence (a
+    resting pointer or a finished sequence, which reads as zeros, says little).
     """
     padded = np.append(h, np.uint64(0))
     for walk in range(WALKS):
         bits = tb.mix(padded + np.uint64(0xA0761D6478BD642F + walk))
         pointer = starts.copy()
         keys = [np.full(len(starts), walk * 16 + s + 1, dtype=np.uint64) for s in range(len(SAMPLES))]
+        places = [np.zeros(len(starts), np.int8) for _ in SAMPLES]
+        last = [np.full(len(starts), -1) for _ in SAMPLES]
         for step in range(max(map(max, SAMPLES)) + 1):
             at = np.where(pointer < stops, pointer, len(h))
             for s, sample in enumerate(SAMPLES):
                 if step in sample:
                     keys[s] = tb.mix(keys[s] * np.uint64(0x9E3779B97F4A7C15) + padded[at])
+                    places[s] += (pointer != last[s]) & (pointer < stops)
+                    last[s] = pointer
             pointer = pointer + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-        yield from keys
+        for key, count in zip(keys, places):
+            yield key, count >= DISTINCT
 
 
 def semi_global(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -125,10 +132,10 @@ class ItemKeys:
             if len(h) < min_words:
                 continue
             starts = anchors(h, first)
-            for k in walk_keys(h, np.full(len(starts), len(h)), starts):
-                keys.append(k)
-                refs.append(np.full(len(starts), len(self.ids)))
-                offs.append(starts)
+            for k, good in walk_keys(h, np.full(len(starts), len(h)), starts):
+                keys.append(k[good])
+                refs.append(np.full(good.sum(), len(self.ids)))
+                offs.append(starts[good])
             self.ids.append(item_id)
             self.words.append(h)
             self.limits.append(math.floor((1 - similarity) * len(h) + 1e-9))
@@ -148,8 +155,8 @@ class ItemKeys:
             return []
         text = np.searchsorted(first, starts, side="right") - 1
         found = set()
-        for k in walk_keys(h, first[text + 1], starts):
-            maybe = np.flatnonzero(self.present[(k >> np.uint64(44)).astype(np.int64)])
+        for k, good in walk_keys(h, first[text + 1], starts):
+            maybe = np.flatnonzero(good & self.present[(k >> np.uint64(44)).astype(np.int64)])
             lo = np.searchsorted(self.keys, k[maybe], side="left")
             hi = np.searchsorted(self.keys, k[maybe], side="right")
             for w, a, z in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
@@ -171,6 +178,8 @@ class ItemKeys:
                 continue
             lo, hi = max(0, lo - limit), min(len(doc), hi + limit)      # room for the next candidates of the same place
             tried.append((lo, hi))
+            if np.isin(item, doc[lo:hi]).sum() < len(item) - limit:     # more words are missing than edits allowed
+                continue
             distance, start, end = semi_global(item, doc[lo:hi])
             if distance <= limit and ((text, ref) not in best or (distance, lo + start) < best[text, ref][:2]):
                 best[text, ref] = (distance, lo + start, end - start)
