@@ -286,6 +286,8 @@ def test_exponent(spark, target, value):
     w = p ** a / (p ** a).sum()
     reached = (w / p).max() / (w / p).min() if target == "repetition" else -(w * np.log(w)).sum()
     assert reached == pytest.approx(value, abs=1e-6)
+    a = mx.find_exponent(mx.source_totals(df), target, value, budget=500.0, total=1000.0, highest=4.0)
+    w = p ** a / (p ** a).sum()
     budgeted = rows(mx.mixture(df, mx.mixing_plan(df, target, value, budget=500.0, highest=4.0)))
     counts = {s: sum(r["source"] == s for r in budgeted) for s in sizes}
     assert all(abs(counts[s] - 500 * w[i]) <= 1 for i, s in enumerate(sizes))
