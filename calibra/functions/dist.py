@@ -61,7 +61,7 @@ def with_softmax(df: DataFrame, logits, out: str, n: int | None = None) -> DataF
     if n:
         staged = df.withColumn(tmp + "l", _c(logits))
         lg = F.col(tmp + "l")
-        return _flat_softmax(staged, [F.get(lg, F.lit(k)) for k in range(n)], lg.isNull(), out, [tmp + "l"])
+        return _flat_softmax(staged, [F.get(lg, F.lit(k)) for k in range(n)], lg, out, [tmp + "l"])
     lg = F.col(tmp + "l")
     staged = (df.withColumn(tmp + "l", _c(logits))
                 .withColumn(tmp + "m", F.array_max(lg))
@@ -75,8 +75,9 @@ def with_softmax(df: DataFrame, logits, out: str, n: int | None = None) -> DataF
     return barrier(staged, "softmax")
 
 
-def _flat_softmax(df: DataFrame, logits: list, is_null: Column, out: str, drop: list) -> DataFrame:
-    """Softmax over a fixed list of scalar logit expressions (see with_softmax)."""
+def _flat_softmax(df: DataFrame, logits: list, given: Column, out: str, drop: list) -> DataFrame:
+    """Softmax over a fixed list of scalar logit expressions (see with_softmax);
+    a row whose array ``given`` has another size raises instead of being cut."""
     tmp = f"_{out}__"
     n = len(logits)
     xs = [f"{tmp}x{k}" for k in range(n)]
@@ -89,7 +90,8 @@ def _flat_softmax(df: DataFrame, logits: list, is_null: Column, out: str, drop:
         z = z + F.col(e)
     staged = staged.withColumn(tmp + "z", z)
     res = F.array(*[F.col(e) / F.col(tmp + "z") for e in es])
-    staged = (staged.withColumn(out, F.when(is_null, F.lit(None)).otherwise(res))
+    staged = (staged.withColumn(out, F.when(given.isNull(), F.lit(None)).when(F.size(given) == n, res)
+                                     .otherwise(F.raise_error(F.lit(f"distribution does not have {n} labels")).cast("array<double>")))
                     .drop(*drop, *xs, *es, tmp + "m", tmp + "z"))
     return barrier(staged, "softmax")
 
@@ -103,14 +105,14 @@ def with_temperature(df: DataFrame, probs, temperature, out: str, n: int | None
         if n:
             t = F.lit(float(temperature))
             return _flat_softmax(df, [log_floor(F.get(_c(probs), F.lit(k))) / t for k in range(n)],
-                                 _c(probs).isNull(), out, [])
+                                 _c(probs), out, [])
         return with_softmax(df, scaled_logits(probs, F.lit(float(temperature))), out)
     t = _c(temperature)
     tcol = F.col(f"_{out}__t")
     df = df.withColumn(f"_{out}__t", t)
     if n:
         staged = _flat_softmax(df, [log_floor(F.get(_c(probs), F.lit(k))) / tcol for k in range(n)],
-                               _c(probs).isNull(), out, [])
+                               _c(probs), out, [])
     else:
         staged = with_softmax(df, scaled_logits(probs, tcol), out)
     return (staged.withColumn(out, F.when(tcol == F.lit(1.0), _c(probs)).otherwise(F.col(out)))
@@ -182,10 +184,15 @@ def ordinal_class(ev, n_levels) -> Column:
 def gate(confidence, threshold=DEFAULT_THRESHOLD) -> Column:
     """auto_route when confidence >= threshold, else escalate (F1).
 
-    Boundary inclusive; a NULL confidence escalates.
+    Boundary inclusive; a NULL or NaN confidence escalates.
     """
-    return (F.when(_c(confidence) >= _c(threshold), F.lit(AUTO_ROUTE))
-            .otherwise(F.lit(ESCALATE)))
+    return F.when(passes(confidence, threshold), F.lit(AUTO_ROUTE)).otherwise(F.lit(ESCALATE))
+
+
+def passes(confidence, threshold) -> Column:
+    """confidence >= threshold; false for NULL and NaN (Spark orders NaN above every number)."""
+    c = _c(confidence)
+    return F.coalesce((c >= _c(threshold)) & ~F.isnan(c), F.lit(False))
 
 
 def nll_term(labels, probs, truth, temperature) -> Column:
@@ -205,11 +212,3 @@ def nll_term(labels, probs, truth, temperature) -> Column:
     scaled = F.least(ceiling, lse - at(lg, pos))
     raw = -log_floor(at(probs, pos))
     return F.coalesce(F.when(t == F.lit(1.0), raw).otherwise(scaled), ceiling)
-
-
-def round_grid(start_expr, step: float, count: int, offset: int = 0, digits: int = 2) -> Column:
-    """``[round(start + step*i, digits) for i in range(offset, offset+count)]`` (C11)."""
-    return F.transform(
-        F.sequence(F.lit(offset), F.lit(offset + count - 1)),
-        lambda i: F.round(_c(start_expr) + F.lit(float(step)) * i, digits),
-    )

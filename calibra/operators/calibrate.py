@@ -70,6 +70,9 @@ def _grid_nll(inputs: DataFrame, grid, n_labels: int | None = None) -> DataFrame
     arr = F.array(*[F.lit(float(t)) for t in grid if t > 0])
     # With a known label count the array is unpacked to scalars BEFORE the
     # explode, so each generated (row, T) copy carries K + 3 doubles.
+    if n_labels:        # more labels than stated would be cut from the sum: refuse them
+        inputs = inputs.withColumn("lp", F.when(F.size("lp") <= n_labels, F.col("lp")).otherwise(
+            F.raise_error(F.lit(f"distribution has more than {n_labels} labels")).cast("array<double>")))
     lp = ([F.get(F.col("lp"), F.lit(k)).alias(f"lp{k}") for k in range(n_labels)] if n_labels
           else ["lp"])
     return (inputs.select(F.explode(arr).alias("t"), *lp, "lmax", "lp_true", "p_true")

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibra.functions import dist
+
 
 def confident_correct(pred: DataFrame, n: int = 6, min_conf: float = 0.85,
                       id_col: str = "ticket_id") -> DataFrame:
@@ -11,7 +13,7 @@ def confident_correct(pred: DataFrame, n: int = 6, min_conf: float = 0.85,
     confidence (F6, T2). Plans as TakeOrderedAndProject: each task keeps its
     own top n, the driver merges n x tasks rows."""
     return (pred.where((F.col("cal_department") == F.col("true_department"))
-                       & (F.col("cal_department_confidence") >= F.lit(min_conf)))
+                       & dist.passes("cal_department_confidence", F.lit(min_conf)))
                 .orderBy(F.col("cal_department_confidence").desc(), F.col(id_col))
                 .limit(n))
 
@@ -20,7 +22,7 @@ def confident_disagreements(pred: DataFrame, n: int = 6, min_conf: float = 0.6,
                             id_col: str = "ticket_id") -> DataFrame:
     """Calibrated label differs from truth at confidence >= 0.6."""
     return (pred.where(~F.col("cal_department").eqNullSafe(F.col("true_department"))
-                       & (F.col("cal_department_confidence") >= F.lit(min_conf)))
+                       & dist.passes("cal_department_confidence", F.lit(min_conf)))
                 .orderBy(F.col("cal_department_confidence").desc(), F.col(id_col))
                 .limit(n))
 

@@ -29,8 +29,7 @@ def gating_metrics(df: DataFrame, threshold: float = DEFAULT_THRESHOLD,
 
     Ratios are 0.0 for an empty side or an empty input, as in the reference.
     """
-    auto = F.col(conf_col) >= F.lit(float(threshold))
-    auto = F.coalesce(auto, F.lit(False))
+    auto = dist.passes(conf_col, F.lit(float(threshold)))
     ok = _eq(truth, pred)
     s = df.agg(
         F.count(F.lit(1)).alias("total"),
@@ -69,7 +68,7 @@ def threshold_sweep(df: DataFrame, spark: SparkSession,
     NaN); empty input -> rate 0.
     """
     percents = list(percents or SWEEP_PERCENTS)
-    conf = F.col(conf_col)
+    conf = F.nanvl(F.col(conf_col).cast("double"), F.lit(None).cast("double"))
     # Flat expression (codegen, no lambda): greatest() skips the NULLs of
     # thresholds the row does not pass; NULL when it passes none.
     bucket = F.greatest(*[F.when(conf >= F.lit(p / 100), F.lit(p / 100)) for p in percents]) \

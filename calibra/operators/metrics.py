@@ -102,7 +102,7 @@ def recall_table(df: DataFrame, labels, truth: str, pred: str, label_name: str =
     return (df.where(F.col(truth).isin(labels))
               .groupBy(F.col(truth).alias(label_name))
               .agg(F.count(F.lit(1)).alias("support"),
-                   F.round(F.avg((F.col(pred) == F.col(truth)).cast("int").cast("double")) * 100.0, 1)
+                   F.round(F.avg(_eq(pred, truth).cast("int").cast("double")) * 100.0, 1)
                    .alias("recall_pct"))
               .orderBy(F.col("recall_pct").desc(), F.col(label_name)))
 

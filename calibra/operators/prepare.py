@@ -28,8 +28,8 @@ def ticket_text(subject: str = "subject", body: str = "body") -> Column:
 
 
 def nonblank(col: str = "text") -> Column:
-    """Text with something other than spaces."""
-    return F.length(F.trim(F.col(col))) > 0
+    """Text with something other than white space."""
+    return F.col(col).rlike(r"\S")
 
 
 def clean_tickets(raw: DataFrame, language: str | None = "en", lang_col: str = "language") -> DataFrame:
@@ -55,7 +55,7 @@ def prepare_tickets(raw: DataFrame, spark: SparkSession, language: str | None =
 
 
 def split_hash(id_col: str, seed: int = SPLIT_SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
 def stratified_split(df: DataFrame, id_col: str, stratum_col: str, sizes: dict | None = None,
@@ -66,7 +66,8 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, sizes: dict |
     takes ranks in ``(round(n_s*C_{j-1}/D), round(n_s*C_j/D)]`` where C are
     cumulative sizes and ``D = max(n, sum(sizes))`` -- quotas proportional to
     the stratum, shrunk proportionally when the table is smaller than the
-    requested total. Remaining rows get ``'unused'``.
+    requested total. Remaining rows get ``'unused'``. A NULL stratum is a
+    stratum of its own; NULL ids are ranked like an empty one. No row is lost.
     """
     sizes = dict(sizes or SPLIT_SIZES)
     total_size = sum(sizes.values())
@@ -77,11 +78,11 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, sizes: dict |
     n_total = counts.agg(F.coalesce(F.sum("_nb"), F.lit(0))).scalar()
     before = Window.partitionBy(stratum_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        stratum_col, "_b",
+        F.col(stratum_col).alias("_s"), F.col("_b").alias("_ob"),
         F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_before"),
         F.sum("_nb").over(Window.partitionBy(stratum_col)).alias("_ns"))
     within = Window.partitionBy(stratum_col, "_b").orderBy("_h", id_col)
-    ranked = (keyed.join(offsets, [stratum_col, "_b"], "inner")
+    ranked = (keyed.join(offsets, F.col(stratum_col).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_ob")), "inner")
                    .withColumn("_rank", F.col("_before") + F.row_number().over(within)))
     denom = F.greatest(n_total, F.lit(total_size)).cast("double")
     assign = None
@@ -92,7 +93,7 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, sizes: dict |
         assign = (F.when(F.col("_rank") <= bound, F.lit(name)) if assign is None
                   else assign.when(F.col("_rank") <= bound, F.lit(name)))
     assign = assign.otherwise(F.lit(UNUSED))
-    return ranked.withColumn(out, assign).drop("_h", "_b", "_before", "_ns", "_rank")
+    return ranked.withColumn(out, assign).drop("_h", "_b", "_s", "_ob", "_before", "_ns", "_rank")
 
 
 def fraction_split(df: DataFrame, id_col: str, fractions: dict, seed: int = SPLIT_SEED,
@@ -131,6 +132,8 @@ def split_overlap(df: DataFrame, id_col: str, split_col: str = "split",
 
 
 def head(df: DataFrame, n: int, order_by) -> DataFrame:
-    """First n rows in a stated total order; 0 means all rows."""
+    """First n rows in a stated total order; 0 means all rows, unsorted."""
+    if not n:
+        return df
     ordered = df.orderBy(*order_by) if isinstance(order_by, (list, tuple)) else df.orderBy(order_by)
-    return ordered.limit(int(n)) if n else ordered
+    return ordered.limit(int(n))

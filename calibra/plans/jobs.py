@@ -60,13 +60,14 @@ def records(scored: DataFrame, keep=()) -> DataFrame:
 
 
 def calibrated(recs: DataFrame, temps, threshold=dist.DEFAULT_THRESHOLD,
-               n_department: int | None = 8, n_urgency: int | None = 3) -> DataFrame:
-    """Records + ``cal_*`` columns + the gate decision."""
+               n_department: int | None = None, n_urgency: int | None = None) -> DataFrame:
+    """Records + ``cal_*`` columns + the gate decision (C8, F1). Label counts, when
+    a spec fixes them, unroll the scaling; a row of another size is an error."""
     out = cal.calibrate(recs, temps, DEPT, URG, n_department, n_urgency)
     return add_gate(out, "cal_department_confidence", threshold)
 
 
-def fit_job(cal_records: DataFrame, n_department: int | None = 8, n_urgency: int | None = 3) -> DataFrame:
+def fit_job(cal_records: DataFrame, n_department: int | None = None, n_urgency: int | None = None) -> DataFrame:
     """One temperature per scored question on the calibration split."""
     return cal.fit_temperatures({
         "department": (cal_records, DEPT[0], DEPT[1], "true_department", n_department),

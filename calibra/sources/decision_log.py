@@ -1,4 +1,4 @@
-"""The decision log: one parquet table partitioned by ``source``.
+"""The decision log: one parquet table partitioned by ``source``, ``run`` and ``epoch``.
 
 * ids ascend in a stated order without a global window: rows are range-
   partitioned and sorted on the order key, each partition numbers its rows,
@@ -7,7 +7,12 @@
   executor cannot renumber them (S11).
 * the evaluation backfill replaces only the ``source='eval'`` partition via
   dynamic partition overwrite: other sources are untouched and the replace
-  is one atomic job commit (S12).
+  is one atomic job commit (S12). No rows means an empty partition.
+* a micro-batch of a stream owns the partition of its run and epoch and
+  overwrites it, so a replayed batch replaces itself (R2).
+* the largest id handed out is kept in a small table beside the rows, so an
+  append reads no log rows. One writer at a time: ids are reserved before the
+  rows are written, and two concurrent appenders are not supported.
 """
 from __future__ import annotations
 
@@ -38,6 +43,7 @@ LOG_SCHEMA = T.StructType([
 ])
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 SOURCES = ("eval", "live", "batch")
+PARTITIONS = ("source", "run", "epoch")
 
 
 def open_log(spark: SparkSession, path: str) -> DataFrame:
@@ -100,18 +106,50 @@ def with_dense_ids(df: DataFrame, order_cols, base: int = 0, partitions: int | N
                     .drop("_pid", "_k", "_off"))
 
 
+def _marks(path: str) -> str:
+    return f"{path.rstrip('/')}/_ids"       # readers of the log skip names that begin with an underscore
+
+
 def max_id(spark: SparkSession, path: str) -> int:
-    """Largest id ever written (ids are never reused, as with AUTOINCREMENT)."""
-    v = open_log(spark, path).agg(F.max("id")).first()[0]
+    """Largest id handed out (ids are never reused, as with AUTOINCREMENT); a log without the small table is scanned once."""
+    try:
+        v = spark.read.schema("id BIGINT").parquet(_marks(path)).agg(F.max("id")).first()[0]
+    except AnalysisException:
+        v = open_log(spark, path).agg(F.max("id")).first()[0]
     return int(v or 0)
 
 
+def _write(spark: SparkSession, path: str, rows: DataFrame, order_cols, run: str, epoch: int, mode: str) -> int:
+    """Number, reserve the ids, write; returns the row count (of the checkpointed rows, nothing is recomputed)."""
+    base = max_id(spark, path)
+    with_ids = with_dense_ids(rows, order_cols, base).select(
+        *LOG_COLUMNS, F.lit(run).alias("run"), F.lit(int(epoch)).cast("bigint").alias("epoch"))
+    top = with_ids.agg(F.max("id")).first()[0]
+    if top is None:
+        return 0
+    spark.range(top, top + 1).coalesce(1).write.mode("append").parquet(_marks(path))
+    writer = with_ids.write.mode(mode).partitionBy(*PARTITIONS)
+    if mode == "overwrite":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+    return int(top) - base
+
+
 def append_log(spark: SparkSession, path: str, rows: DataFrame, order_cols) -> int:
     """Append log rows (from :func:`log_rows`) with fresh ascending ids."""
-    base = max_id(spark, path)
-    with_ids = with_dense_ids(rows, order_cols, base).select(*LOG_COLUMNS)
-    with_ids.write.mode("append").partitionBy("source").parquet(path)
-    return with_ids.count()
+    return _write(spark, path, rows, order_cols, "batch", 0, "append")
+
+
+def write_epoch(spark: SparkSession, path: str, rows: DataFrame, order_cols, run: str, epoch: int) -> int:
+    """Write a micro-batch into the partition of its run and epoch; writing it again replaces it (R2)."""
+    return _write(spark, path, rows, order_cols, run, epoch, "overwrite")
+
+
+def drop_source(spark: SparkSession, path: str, source: str) -> None:
+    """Remove all rows of a source (its partition folder)."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source={source}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def eval_rows(predictions: DataFrame, order_cols, created_at: Column | None = None) -> DataFrame:
@@ -131,18 +169,16 @@ def backfill_from_predictions(spark: SparkSession, path: str, predictions: DataF
                               order_cols, created_at: Column | None = None) -> int:
     """Replace all ``eval`` rows from stored predictions.
 
-    Missing input -> 0 rows and no error. Only the ``source=eval`` partition
+    Missing input -> 0 rows and no error; input without rows empties ``eval``. Only the ``source=eval`` partition
     is overwritten (dynamic partition overwrite); ids continue after the
     largest id ever written.
     """
     if predictions is None:
         return 0
-    base = max_id(spark, path)
-    with_ids = with_dense_ids(eval_rows(predictions, order_cols, created_at), order_cols, base)
-    with_ids = with_ids.select(*LOG_COLUMNS)
-    (with_ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("source").parquet(path))
-    return with_ids.count()
+    written = _write(spark, path, eval_rows(predictions, order_cols, created_at), order_cols, "eval", 0, "overwrite")
+    if not written:     # a dynamic overwrite without rows touches nothing
+        drop_source(spark, path, "eval")
+    return written
 
 
 # ---------------------------------------------------------------------------

@@ -1,36 +1,55 @@
 """Live triage as Structured Streaming.
 
 New ticket files -> the same stateless transform as the batch job ->
-``foreachBatch`` append into the decision log (``source='live'``, truth
+``foreachBatch`` write into the decision log (``source='live'``, truth
 columns NULL). Each micro-batch numbers its rows after the log's largest id
-(see :func:`calibra.sources.decision_log.append_log`) and leaves an epoch
-marker, so a replayed epoch after a driver restart is skipped instead of
-appended twice. The query checkpoint lives in the shared folder.
+and overwrites the log partition of its run and epoch
+(:func:`calibra.sources.decision_log.write_epoch`), so a batch replayed after a
+restart replaces itself, and a stream with a new checkpoint is a new run. The
+query checkpoint lives in the shared folder.
+
+:func:`live_ticket_rows` triages ticket text (score, calibrate, gate); the
+registered stream query feeds the scored events head of the fixtures instead.
 """
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from calibra.operators import calibrate as cal
 from calibra.operators.gate import add_gate
+from calibra.operators.prepare import nonblank
 from calibra.plans import fixtures as fx
+from calibra.plans import jobs
 from calibra.sources import decision_log as dlog
 from calibra.sources.tables import table_path
 from calibra.session import fresh_path
 
 
-def _marker_path(log_path: str, epoch: int) -> str:
-    return f"{log_path}/_epochs/epoch={epoch}"
+def live_ticket_rows(stream: DataFrame, spec, scorer="lexical", temps=None, threshold: float = 0.85,
+                     text_col: str = "text", carry=()) -> DataFrame:
+    """Stateless triage of a stream (or table) of tickets into log rows: text scored, urgency, churn and refund
+    filled, blank texts left out (P16)."""
+    given = stream.where(nonblank(text_col)).withColumn("text", F.col(text_col))
+    done = given.transform(jobs.triage(spec, scorer, temps, threshold, "text"))
+    shaped = done.select(*carry, "text", F.col("department").alias("pred_department"), "department_confidence",
+                         F.col("urgency_class").alias("pred_urgency"), "urgency_confidence", "churn_risk",
+                         "refund_requested", "gate_decision")
+    return dlog.log_rows(shaped, "live", carry=carry)
 
 
-def _epoch_done(spark: SparkSession, log_path: str, epoch: int) -> bool:
-    try:
-        spark.read.parquet(_marker_path(log_path, epoch)).limit(1).count()
-        return True
-    except AnalysisException:
-        return False
+def start_log(rows: DataFrame, log_path: str, checkpoint: str, order_cols, available_now: bool = True):
+    """Write a stream of log rows to the log; returns the StreamingQuery. The run is named by the checkpoint."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        dlog.write_epoch(batch.sparkSession, log_path, batch, order_cols, run, epoch)
+
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
 def live_rows(stream: DataFrame, temps=None, threshold: float = 0.85) -> DataFrame:
@@ -55,18 +74,7 @@ def start_live_log(spark: SparkSession, source_dir: str, log_path: str, checkpoi
     schema = spark.read.parquet(table_path(source_dir, "events")).schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    rows = live_rows(stream, temps, threshold)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        if _epoch_done(batch.sparkSession, log_path, epoch):
-            return
-        dlog.append_log(batch.sparkSession, log_path, batch, ["ts", "event_id"])
-        batch.sparkSession.createDataFrame([(epoch,)], "epoch BIGINT").write.mode("overwrite") \
-            .parquet(_marker_path(log_path, epoch))
-
-    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return start_log(live_rows(stream, temps, threshold), log_path, checkpoint, ["ts", "event_id"], available_now)
 
 
 def run_live_log(spark: SparkSession, sf_dir: str, temps=None, threshold: float = 0.85) -> DataFrame:

@@ -112,3 +112,19 @@ def test_unrolled_softmax_is_bit_identical(spark):
     sm = dist.with_softmax(dist.with_softmax(df, "p", "a"), "p", "b", 4)
     for r in sm.collect():
         assert r.a == r.b
+
+
+def test_nan_confidence_escalates(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (0.85,), (0.84,)], "c DOUBLE")
+    got = [r[0] for r in df.select(dist.gate("c")).collect()]
+    assert got == [dist.ESCALATE, dist.ESCALATE, dist.AUTO_ROUTE, dist.ESCALATE]
+
+
+def test_fixed_label_count_refuses_other_sizes(spark):
+    import pytest
+
+    df = spark.createDataFrame([([0.02] * 9 + [0.82],)], "p ARRAY<DOUBLE>")
+    assert dist.with_temperature(df, "p", 2.0, "s", 10).first().s == dist.with_temperature(df, "p", 2.0, "s").first().s
+    for n in (8, 11):
+        with pytest.raises(Exception, match="does not have"):
+            dist.with_temperature(df, "p", 2.0, "s", n).collect()

@@ -55,6 +55,21 @@ def test_backfill_replaces_only_eval(spark):
     assert acc == {"auto_route": 100.0, "escalate_to_human": None}
 
 
+def test_empty_backfill_empties_eval_and_appends_read_no_rows(spark):
+    path = fresh_path(spark, "log-empty")
+    live = [(9, "live one", "IT Support", 0.5, 1, 0.5, 0.1, 0.1, "escalate_to_human", None, None)]
+    dlog.append_log(spark, path, _rows(spark, live, "live"), ["k"])
+    dlog.append_log(spark, path, _rows(spark, live * 3, "eval"), ["k"])
+    none = spark.createDataFrame([], "ticket_id INT, text STRING, cal_department STRING, cal_department_confidence DOUBLE, "
+                                     "cal_urgency INT, cal_urgency_confidence DOUBLE, churn_risk DOUBLE, refund_requested DOUBLE, "
+                                     "gate_decision STRING, true_department STRING, true_urgency INT")
+    assert dlog.backfill_from_predictions(spark, path, none, ["ticket_id"]) == 0
+    assert [r.source for r in dlog.open_log(spark, path).collect()] == ["live"]
+    assert dlog.max_id(spark, path) == 4
+    dlog.append_log(spark, path, _rows(spark, live, "live"), ["k"])
+    assert sorted(r.id for r in dlog.open_log(spark, path).collect()) == [1, 5]
+
+
 def test_log_query_pushes_filter_to_scan(spark):
     path = fresh_path(spark, "log-plan")
     live = [(1, "x", "IT Support", 0.5, 1, 0.5, 0.1, 0.1, "escalate_to_human", None, None)]

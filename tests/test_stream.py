@@ -1,8 +1,11 @@
 """The live stream gives the same rows as the batch transform."""
 from pyspark.sql import functions as F
 
+from calibra.operators.questions import build_questions
 from calibra.plans import catalog
-from calibra.streaming.live import run_live_log
+from calibra.session import fresh_path
+from calibra.sources import decision_log as dlog
+from calibra.streaming.live import live_ticket_rows, run_live_log, start_log
 from conftest import SF_SMALL
 
 
@@ -18,3 +21,22 @@ def test_stream_equals_batch(spark):
     ids = [r.id for r in log.orderBy("id").collect()]
     assert ids == list(range(1, len(ids) + 1))
     assert log.where(F.col("true_department").isNotNull() | F.col("department_correct").isNotNull()).count() == 0
+
+
+def test_ticket_stream_scores_text_and_survives_replays(spark):
+    source, log = fresh_path(spark, "tickets"), fresh_path(spark, "ticket-log")
+    spark.createDataFrame([(1, "please refund my invoice"), (2, " \n\t "), (3, "cancel now, refund"), (4, None)],
+                          "ticket_id INT, text STRING").write.parquet(source)
+    rows = lambda: live_ticket_rows(spark.readStream.schema("ticket_id INT, text STRING").parquet(source),
+                                    build_questions(), carry=("ticket_id",))
+    first, second = fresh_path(spark, "ckpt"), fresh_path(spark, "ckpt")
+    start_log(rows(), log, first, ["ticket_id"]).awaitTermination()
+    got = dlog.open_log(spark, log).collect()
+    assert sorted(r.text for r in got) == ["cancel now, refund", "please refund my invoice"]
+    assert all(None not in (r.pred_department, r.pred_urgency, r.churn_risk, r.refund_requested) for r in got)
+    start_log(rows(), log, second, ["ticket_id"]).awaitTermination()       # a new checkpoint is a new run
+    assert dlog.open_log(spark, log).count() == 4
+    batch = live_ticket_rows(spark.read.parquet(source), build_questions(), carry=("ticket_id",))
+    for _ in range(2):                                                     # a replayed batch replaces itself
+        dlog.write_epoch(spark, log, batch, ["ticket_id"], "replayed", 7)
+    assert dlog.open_log(spark, log).count() == 6
