@@ -21,6 +21,7 @@ from calibra.operators.questions import QuestionSpec, build_questions, spec_from
 from calibra.operators.score import LexicalModel, answer_lines, flatten_answers, lexical_score, score_with_model
 from calibra.plans import fixtures as fx
 from calibra.plans import jobs
+from calibra.plans.edges import EDGE_QUERIES
 from calibra.sources import decision_log as dlog
 from calibra.sources import predictions as pred
 from calibra.sources import tickets as tk
@@ -79,13 +80,8 @@ def ticket_temperatures(spark, sf) -> DataFrame:
 
 
 def ticket_predictions(spark, sf) -> DataFrame:
-    """Fit on cal, calibrate + gate the test split with the fitted T.
-
-    The fit result is one row per question; it is read back as a small dict
-    so calibration uses literal temperatures (and the T = 1.0 shortcut)."""
-    recs = ticket_records(spark, sf)
-    temps = jobs.temperatures_dict(jobs.fit_job(recs.where(F.col("split") == "cal")))
-    return jobs.calibrated(recs.where(F.col("split") == "test"), temps)
+    """Fit on cal, calibrate + gate all other prepared tickets."""
+    return jobs.evaluate(tickets(spark, sf), ticket_spec())
 
 
 def user_messages(spark, sf) -> DataFrame:
@@ -465,7 +461,7 @@ def q_run_metadata(spark, sf):
     """One row -- rows evaluated, scorer, fitted temperatures."""
     recs = ticket_records(spark, sf)
     temps = jobs.temperatures_dict(jobs.fit_job(recs.where(F.col("split") == "cal")))
-    return recs.where(F.col("split") == "test").agg(F.count(F.lit(1)).alias("n_test")).select(
+    return recs.where(F.col("split") != "cal").agg(F.count(F.lit(1)).alias("n_test")).select(
         "n_test", F.lit("lexical").alias("scorer"),
         F.lit(temps.get("department", 1.0)).alias("t_department"),
         F.lit(temps.get("urgency", 1.0)).alias("t_urgency"))
@@ -585,5 +581,6 @@ QUERIES = {
     "batch_output_csv": q_batch_output_csv,
     "predictions_parquet": q_predictions_parquet,
     "temperatures_json": q_temperatures_json,
+    **EDGE_QUERIES,
 }
 

@@ -19,6 +19,8 @@ from calibra.operators.gate import add_gate
 from calibra.operators.labels import urgency_class_name
 from calibra.operators.questions import QuestionSpec
 from calibra.operators.score import lexical_score, score_with_model
+from calibra.session import materialize
+from calibra.sources.predictions import write_predictions
 
 DEPT = ("department_labels", "department_probs")
 URG = ("urgency_labels", "urgency_probs")
@@ -81,6 +83,24 @@ def temperatures_dict(temps: DataFrame) -> dict:
     return {r["question"]: float(r["temperature"]) for r in temps.select("question", "temperature").collect()}
 
 
+def evaluate(tickets: DataFrame, spec: QuestionSpec, scorer="lexical", temps=None, path: str | None = None,
+             keep=("ticket_id", "split"), threshold=dist.DEFAULT_THRESHOLD) -> DataFrame:
+    """Evaluate job (U12): score once, fit on the ``cal`` rows, calibrate and gate ALL other rows.
+
+    ``tickets`` has ``text``, the truth columns ``department`` and
+    ``urgency_score`` and a ``split``; ``cal`` is the one bounded sample.
+    With ``temps`` nothing is fitted. With ``path`` the predictions are stored.
+    """
+    recs = materialize(records(score(tickets, spec, scorer), keep))
+    in_cal = F.coalesce(F.col("split") == "cal", F.lit(False))
+    if temps is None:
+        temps = temperatures_dict(fit_job(recs.where(in_cal)))
+    out = calibrated(recs.where(~in_cal), temps, threshold, len(spec["department"].options), len(spec["urgency"].options))
+    if path:
+        write_predictions(out, path)
+    return out
+
+
 def triage(spec: QuestionSpec, scorer="lexical", temps=None,
            threshold=dist.DEFAULT_THRESHOLD, text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
     """``df.transform(triage(...))``: score, calibrate, classify, gate.

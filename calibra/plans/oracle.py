@@ -254,7 +254,7 @@ TR AS (
     f"""
 TT AS (
   SELECT TR.*, (SELECT temperature FROM department) AS t_dep, (SELECT temperature FROM urgency) AS t_urg
-  FROM TR WHERE split = 'test')""",
+  FROM TR WHERE split <> 'cal')""",
     scaled_ctes("TT", "TD", "department_probs", "t_dep"),
     scaled_ctes("TD", "TU", "urgency_probs", "t_urg"),
     f"""
@@ -677,7 +677,7 @@ UNION ALL
 SELECT conv_id, turn, 2, 'needs_reply', {_fmt('needs_reply_n')} || ' probability' FROM PL"""
 
 ORACLE_SQL["run_metadata"] = TICKETS + """
-SELECT (SELECT count(*) FROM TR WHERE split = 'test') AS n_test, 'lexical' AS scorer,
+SELECT (SELECT count(*) FROM TR WHERE split <> 'cal') AS n_test, 'lexical' AS scorer,
        (SELECT temperature FROM department) AS t_department, (SELECT temperature FROM urgency) AS t_urgency"""
 
 ORACLE_SQL["log_by_source"] = TICKETS_LOG + """
@@ -695,9 +695,50 @@ ORACLE_SQL["batch_output_csv"] = ORACLE_SQL["batch_triage"]
 ORACLE_SQL["predictions_parquet"] = TICKETS + """
 SELECT ticket_id, label_index::INTEGER AS label_index, round(p, 6) AS p FROM (
   SELECT ticket_id, unnest(range(1, len(department_probs) + 1)) AS label_index, unnest(department_probs) AS p
-  FROM TR WHERE split = 'test')"""
+  FROM TR WHERE split <> 'cal')"""
 
 ORACLE_SQL["temperatures_json"] = TICKETS + """
 SELECT question, temperature FROM department
 UNION ALL SELECT question, temperature FROM urgency
 UNION ALL SELECT 'churn_risk', 1.0::DOUBLE"""
+
+# Inputs with NULL, NaN and other label counts, written from the stated rules.
+_W10 = {10: "(2 * k + 3)", 2: "(4 * k + 3)"}
+for _n, _m in _W10.items():
+    ORACLE_SQL[f"scaling_{_n}_labels"] = f"""
+WITH w AS (SELECT event_id, list_transform(range({_n}), lambda k: 1 + (event_id * {_m}) % 17) AS w FROM events),
+p AS (SELECT event_id, list_transform(w, lambda x: x::DOUBLE / list_sum(w)) AS p FROM w),
+l AS (SELECT event_id, t, list_transform(p, lambda x: ln(greatest(x, 1e-9)) / t) AS l FROM p, (VALUES (2.0::DOUBLE), (20.0::DOUBLE)) v(t)),
+e AS (SELECT event_id, t, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM l)
+SELECT event_id, t AS temperature, 'd' || (list_position(e, list_max(e)) - 1) AS label, round(list_max(e) / list_sum(e), 6) AS confidence FROM e"""
+
+_EDGE_CTE = """
+X AS (SELECT event_id, event_type AS truth,
+        CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 2 = 0 THEN event_type ELSE 'view' END AS pred,
+        CASE event_id % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN 0.85 WHEN 3 THEN 0.8 ELSE 0.99 END AS conf,
+        0.75 + (event_id % 4) / 20.0::DOUBLE AS limit_
+      FROM events),
+G AS (SELECT *, conf IS NOT NULL AND NOT isnan(conf) AND conf >= 0.85 AS auto, pred IS NOT DISTINCT FROM truth AS ok FROM X)"""
+ORACLE_SQL["gate_nan_null"] = "WITH" + _EDGE_CTE + """
+SELECT event_id, CASE WHEN auto THEN 'auto_route' ELSE 'escalate_to_human' END AS decision,
+       CASE WHEN conf IS NOT NULL AND NOT isnan(conf) AND conf >= limit_ THEN 'auto_route' ELSE 'escalate_to_human' END AS decision_own FROM G"""
+ORACLE_SQL["gating_metrics_nan_null"] = "WITH" + _EDGE_CTE + """
+SELECT 0.85::DOUBLE AS threshold, count(*) FILTER (WHERE auto) AS auto_route_count, round(count(*) FILTER (WHERE auto) / count(*)::DOUBLE, 6) AS auto_route_rate,
+       round(count(*) FILTER (WHERE auto AND ok) / (count(*) FILTER (WHERE auto))::DOUBLE, 6) AS auto_route_accuracy,
+       count(*) FILTER (WHERE NOT auto) AS escalate_count, round(count(*) FILTER (WHERE NOT auto) / count(*)::DOUBLE, 6) AS escalate_rate,
+       round(count(*) FILTER (WHERE NOT auto AND ok) / (count(*) FILTER (WHERE NOT auto))::DOUBLE, 6) AS escalate_accuracy,
+       round(count(*) FILTER (WHERE ok) / count(*)::DOUBLE, 6) AS overall_accuracy FROM G"""
+ORACLE_SQL["threshold_sweep_nan_null"] = "WITH" + _EDGE_CTE + """
+SELECT (p / 100.0::DOUBLE)::DOUBLE AS threshold, count(*) FILTER (WHERE conf IS NOT NULL AND NOT isnan(conf) AND conf >= p / 100.0::DOUBLE) AS auto_route_count
+FROM G, (SELECT unnest(range(50, 100, 2)) AS p) GROUP BY p"""
+ORACLE_SQL["recall_null_predictions"] = "WITH" + _EDGE_CTE + f"""
+SELECT truth AS department, count(*) AS support, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) * 100.0, 1) AS recall_pct
+FROM G WHERE list_contains({EV_LABELS}, truth) GROUP BY truth"""
+ORACLE_SQL["split_null_strata"] = with_ctes("""
+NS AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS stratum FROM events)""",
+                                            split_ctes("NS", "event_id", "stratum", "NSS")) + "SELECT event_id, stratum, split FROM NSS"
+ORACLE_SQL["fraction_split"] = """
+WITH u AS (SELECT event_id, ('0x' || substr(md5('42|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events)
+SELECT event_id, CASE WHEN u < 0.05 THEN 'cal' WHEN u < 0.95 THEN 'test' ELSE 'unused' END AS split FROM u"""
+ORACLE_SQL["blank_texts"] = """
+SELECT doc_id, regexp_matches(CASE doc_id % 4 WHEN 0 THEN chr(10) || chr(9) || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE text END, '\\S') AS has_text FROM documents"""
