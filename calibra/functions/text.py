@@ -25,11 +25,6 @@ def round_half_even(x, digits: int) -> Column:
     return F.bround(_c(x), digits)
 
 
-def pct(x, digits: int = 1) -> Column:
-    """Ratio -> percent rounded half-up, as SQL ``ROUND(x*100, d)``."""
-    return F.round(_c(x) * 100.0, digits)
-
-
 def title(x) -> Column:
     """Title-case a label."""
     return F.initcap(_c(x))

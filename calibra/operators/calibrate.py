@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions import dist
 from calibra.functions.dist import PROB_FLOOR
-from calibra.session import barrier, spread
+from calibra.session import barrier
 
 # Fixed values of the search.
 COARSE_GRID = [round(0.25 + 0.25 * i, 2) for i in range(80)]   # 0.25 .. 20.00
@@ -36,7 +36,7 @@ def nll_inputs(df: DataFrame, labels: str, probs: str, truth: str) -> DataFrame:
     """Per-row inputs of the NLL that do not depend on T."""
     pos = dist.label_pos(labels, truth)
     lp = F.transform(F.col(probs), lambda x: dist.log_floor(x))
-    return (spread(df.select(lp.alias("lp"), pos.alias("pos"), dist.at(probs, pos).alias("p_true")))
+    return (df.select(lp.alias("lp"), pos.alias("pos"), dist.at(probs, pos).alias("p_true"))
               .select("lp", F.array_max("lp").alias("lmax"), dist.at("lp", "pos").alias("lp_true"),
                       "p_true"))
 
@@ -192,7 +192,7 @@ def calibrate(df: DataFrame, temps, dept=("department_labels", "department_probs
 def mean_top_prob(df: DataFrame, probs: str, temperature, question: str | None = None) -> DataFrame:
     """Mean top probability before and after scaling."""
     t = temperature if not isinstance(temperature, DataFrame) else temperature_of(temperature, question)
-    scaled = dist.apply_temperature(probs, t)
-    return df.agg(F.avg(dist.top_prob(probs)).alias("mean_top_before"),
-                  F.avg(dist.top_prob(scaled)).alias("mean_top_after")).select(
+    staged = dist.with_temperature(df.select(F.col(probs).alias("_probs")), "_probs", t, "_after")
+    return staged.agg(F.avg(dist.top_prob("_probs")).alias("mean_top_before"),
+                      F.avg(dist.top_prob("_after")).alias("mean_top_after")).select(
         F.lit(question).cast("string").alias("question"), "mean_top_before", "mean_top_after")

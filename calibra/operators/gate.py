@@ -76,17 +76,18 @@ def threshold_sweep(df: DataFrame, spark: SparkSession,
     hist = (df.select(bucket.alias("threshold"), _eq(truth, pred).cast("int").alias("ok"))
               .groupBy("threshold")
               .agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("k")))
-    total = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
+    hist = hist.withColumn("total", F.sum("n").over(Window.partitionBy()))      # <= 26 rows
     grid = spark.createDataFrame([(p / 100,) for p in percents], "threshold DOUBLE")
     w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     j = (grid.join(F.broadcast(hist), "threshold", "left")
              .select("threshold",
                      F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_auto"),
-                     F.sum(F.coalesce("k", F.lit(0))).over(w).alias("k_auto")))
+                     F.sum(F.coalesce("k", F.lit(0))).over(w).alias("k_auto"),
+                     F.max("total").over(Window.partitionBy()).alias("total")))
     return j.select(
         "threshold",
         F.col("n_auto").cast("bigint").alias("auto_route_count"),
-        F.coalesce(F.try_divide(F.col("n_auto").cast("double"), total.cast("double")) * 100.0,
+        F.coalesce(F.try_divide(F.col("n_auto").cast("double"), F.col("total").cast("double")) * 100.0,
                    F.lit(0.0)).alias("auto_route_rate"),
         (F.try_divide(F.col("k_auto").cast("double"), F.col("n_auto").cast("double")) * 100.0)
         .alias("auto_route_accuracy"),

@@ -32,9 +32,6 @@ URGENCY_CLASS_NAMES = ["low", "medium", "high"]
 DEPARTMENT_NAMES = list(DEPARTMENTS)
 SCORE_TO_PRIORITY = {v: k for k, v in PRIORITY_TO_SCORE.items()}
 
-# Label-space size up to which a dimension is broadcast without a second look.
-BROADCAST_LABELS_MAX = 100_000
-
 
 def label_dim(spark: SparkSession, labels, descriptions=None, name: str = "label") -> DataFrame:
     """Dimension ``(ordinal INT, <name> STRING, description STRING)`` (P5)."""
@@ -44,31 +41,14 @@ def label_dim(spark: SparkSession, labels, descriptions=None, name: str = "label
     return spark.createDataFrame(rows, f"ordinal INT, {name} STRING, description STRING")
 
 
-def department_dim(spark: SparkSession) -> DataFrame:
-    return label_dim(spark, DEPARTMENT_NAMES, DEPARTMENTS.values(), name="department")
-
-
-def urgency_dim(spark: SparkSession) -> DataFrame:
-    """Urgency levels with display name ``"i:name"`` from the text before ':'."""
-    return (label_dim(spark, [r.split(":")[0] for r in URGENCY_RUBRIC], URGENCY_RUBRIC, name="level")
-            .withColumn("display", F.concat(F.col("ordinal").cast("string"), F.lit(":"), F.col("level"))))
-
-
-def small(df: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """Broadcast a dimension whose row count is known and bounded."""
-    if n_rows is not None and n_rows > BROADCAST_LABELS_MAX:
-        return df
-    return F.broadcast(df)
-
-
 def map_queue_to_department(df: DataFrame, spark: SparkSession, queue_col: str = "queue",
                             departments=None) -> DataFrame:
     """Keep rows whose queue is a department; others (dropped queues,
-    website categories) are removed (P3, J1: broadcast inner join)."""
+    website categories) are removed (P3, J1: inner join on a dimension of label-space size)."""
     names = list(departments) if departments is not None else DEPARTMENT_NAMES
     dim = label_dim(spark, names, name="department").select(
         F.col("department").alias(queue_col), F.col("department"))
-    return df.join(small(dim, len(names)), queue_col, "inner")
+    return df.join(dim, queue_col, "inner")
 
 
 def literal_map(mapping: dict) -> Column:

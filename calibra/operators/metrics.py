@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.operators.labels import small
-
 
 def _eq(a: str, b: str):
     return F.col(a).eqNullSafe(F.col(b))
@@ -57,19 +55,11 @@ def confusion(df: DataFrame, spark: SparkSession, labels, truth: str, pred: str,
                 .groupBy(t.alias(truth_name), p.alias(pred_name))
                 .agg(F.count(F.lit(1)).alias("n")))
     grid = _grid(spark, labels, truth_name, pred_name, dtype)
-    return (grid.join(small(counts, len(labels) ** 2), [truth_name, pred_name], "left")
+    return (grid.join(counts, [truth_name, pred_name], "left")
                 .select("true_index", truth_name, "pred_index", pred_name,
                         F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def confusion_wide(long: DataFrame, labels, truth_name: str = "true_label",
-                   pred_name: str = "pred_label") -> DataFrame:
-    """Pivot of :func:`confusion` with explicit values (no discovery pass)."""
-    return (long.groupBy("true_index", truth_name)
-                .pivot(pred_name, list(labels)).agg(F.sum("n"))
-                .orderBy("true_index"))
-
-
 def confusion_peak(long: DataFrame) -> DataFrame:
     """Peak cell (at least 1) and the "above half of peak" flag.
 
@@ -89,7 +79,7 @@ def per_class_recall(df: DataFrame, spark: SparkSession, labels, truth: str, pre
              .agg(F.count(F.lit(1)).alias("support"),
                   F.avg(_eq(truth, pred).cast("int").cast("double")).alias("recall")))
     dim = spark.createDataFrame(list(enumerate(labels)), f"ordinal INT, {label_name} STRING")
-    return (dim.join(small(per, len(labels)), label_name, "left")
+    return (dim.join(per, label_name, "left")
                .select("ordinal", label_name,
                        F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
                        F.coalesce("recall", F.lit(0.0)).alias("recall")))

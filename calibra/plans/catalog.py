@@ -33,7 +33,7 @@ from calibra.session import fresh_path, materialize
 E_TEMPERATURE = 2.0          # temperature applied to the events head in scaling queries
 E_SHARPEN = 0.5              # a sharpening temperature for the events head
 O_TEMPERATURE = 3.68         # temperature applied to the orders (ordinal) head
-LATENCY_SECONDS = 128.7      # measured seconds fed to the latency arithmetic
+LATENCY_SECONDS = 60.0       # a given elapsed time; the arithmetic is the feature, nothing is measured
 CASES_N = 6
 HEAD_N = 50
 LOG_RECENT_N = 10

@@ -74,24 +74,6 @@ def barrier(df, name: str):
     return df.observe(f"{name}_{uuid.uuid4().hex[:10]}", F.count(F.lit(1)).alias("rows"))
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition before a CPU-heavy per-row stage, but only when
-    the (shuffle-free) input has fewer partitions than the cluster has task
-    slots -- e.g. a small file written as one row group, which one task would
-    otherwise score alone. Inputs that already have enough splits (any large
-    table) and streaming frames are returned unchanged: no extra shuffle."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    target = int(min_partitions or spark.sparkContext.defaultParallelism)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
-        return df
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 _SHIPPED: set = set()
 
 

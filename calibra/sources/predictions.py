@@ -22,14 +22,6 @@ def probs_to_json(labels, probs) -> Column:
     return F.to_json(F.map_from_arrays(lab, pr))
 
 
-def json_to_probs(js, labels: list[str]) -> Column:
-    """JSON text -> probabilities in the DECLARED label order.
-    A label missing from the JSON gives NULL at its position. (Column form:
-    the map is parsed per label; prefer :func:`with_json_probs` on frames.)"""
-    m = F.from_json(F.col(js) if isinstance(js, str) else js, "MAP<STRING, DOUBLE>")
-    return F.array(*[F.try_element_at(m, F.lit(x)) for x in labels])
-
-
 def with_json_probs(df: DataFrame, js: str, labels: list[str], out: str) -> DataFrame:
     """Staged decode: parse the JSON map once per row, then pick the labels in
     declared order."""
