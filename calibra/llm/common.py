@@ -1,12 +1,14 @@
 """Helpers shared by the operators: written cuts, clash-free input columns, components."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.session import fresh_path, ship_package
 from calibra.sources.tables import read_table
 
+
 def cut(df: DataFrame, name: str, *sort: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     path = fresh_path(df.sparkSession, f"llm-{name}")
@@ -56,3 +58,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("comp"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots).distinct()
+
+
+def spread_ids(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id that each row and each column hangs together with through the links of one block."""
+    top = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        na = np.minimum(a, np.where(linked, b[None, :], top).min(1))
+        nb = np.minimum(b, np.where(linked, na[:, None], top).min(0))
+        if (na == a).all() and (nb == b).all():
+            return a, b
+        a, b = na, nb

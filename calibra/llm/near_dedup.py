@@ -9,13 +9,19 @@
    each text needs only its ``k - s + t`` rarest ones in the lists, and two
    linked texts meet in ``t`` of them. Frequent shingles drop out of every
    text that also has rare ones, without a cap on the lists.
-3. Overlaps are counted in two passes. First each list pairs its members with
-   its smallest one only; the links found contract the groups of copies. Then
-   pairs are made between different groups of a list, and none inside a group,
-   so a group of m copies costs m pairs and not m * m.
-4. The k smallest values of the union of two sketches estimate the similarity
-   of a pair; pairs far below the limit go. The rest are confirmed on the full
-   shingle sets, and components of the links give the result.
+3. Each list pairs its members with its smallest one only; pairs that meet
+   ``t`` times are overlaps. The k smallest values of the union of two sketches
+   estimate their similarity, those far below the limit go, the rest are
+   confirmed on the full shingle sets. So a group of m copies costs m pairs
+   and not m * m.
+4. What the stars leave open is settled in two ways. Texts tied together by
+   overlaps are a family; a family that the links leave in several pieces is
+   dealt into blocks of bounded size, and blocks that hold different pieces are
+   compared as wholes (a matrix product counts all intersections, exactly; a
+   pair of blocks returns at most a row per text). Lists that meet in several
+   families give pairs between families, which pass the estimate and the
+   confirmation as before.
+5. Components of the confirmed links give the result.
 
 Null or empty texts have no shingles and link with nothing; a null id is never
 linked (component null, kept). Rows that share an id are one node. Equal texts
@@ -31,12 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm import textbytes as tb
-from calibra.llm.common import components, cut, id_and_body, on_workers, table
+from calibra.llm.common import components, cut, id_and_body, on_workers, spread_ids, table
 
 TAIL = 1e-7      # chance that a pair at the limit shares fewer than the required values
 SLACK = 5.0      # standard deviations below the limit at which the estimate drops a pair
 SHARED = 3       # values that a pair must share in the lists
 BITMAP_BITS = 24  # 2 MB, whatever the number of ids
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 18, 1024     # size of a block of a family
 
 
 def required_overlap(k: int, similarity: float) -> int:
@@ -166,13 +173,83 @@ def _confirmed(pairs: DataFrame, body: DataFrame, width: int, similarity: float)
     return p.mapInArrow(_confirm(width, round(100 * similarity)), "a long, b long").distinct()
 
 
+def _blocks_of_sets(width: int):
+    """One row per block of a family: ids, set sizes and the sets themselves, as bytes."""
+    def run(block: pa.Table) -> pa.Table:
+        ids = block.column("id").to_numpy()
+        sets = [x for _, x in shingle_sets(None, block.column("body"), width)]
+        return pa.table({"grp": block.column("grp").slice(0, 1), "blk": block.column("blk").slice(0, 1),
+                         "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+                         "sizes": pa.array([np.array([len(x) for x in sets], np.int64).tobytes()], pa.binary()),
+                         "members": pa.array([np.concatenate(sets).tobytes()], pa.binary())})
+    return run
+
+
+def intersections(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks (sets one after the other, with their sizes)."""
+    shared = np.intersect1d(x, y)
+    sides = []
+    for values, sizes in ((x, nx), (y, ny)):
+        at = np.searchsorted(shared, values)
+        at[at == len(shared)] = 0
+        hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        row, col = np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
+        by = np.argsort(col, kind="stable")
+        sides.append((row[by], col[by]))
+    out = np.zeros((len(nx), len(ny)), np.float32)
+    for start in range(0, len(shared), step):
+        parts = []
+        for (row, col), count in zip(sides, (len(nx), len(ny))):
+            lo, hi = np.searchsorted(col, [start, start + step])
+            m = np.zeros((count, min(step, len(shared) - start)), np.float32)
+            m[row[lo:hi], col[lo:hi] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compare_blocks(percent: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (ix, nx, x), (iy, ny, y) = ([np.frombuffer(row[f"{c}{s}"], np.int64) for c in ("ids", "sizes", "members")] for s in "ij")
+                both = intersections(x, nx, y, ny)
+                linked = (100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (ix[:, None] != iy[None, :])
+                a, b = linked.any(1), linked.any(0)
+                if a.any():
+                    ca, cb = spread_ids(linked[a][:, b], ix[a], iy[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ix[a], iy[b]])), pa.array(np.concatenate([ca, cb]))], ["a", "b"])
+    return run
+
+
+def _family_links(families: DataFrame, body: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between the pieces (``comp``) of each family (``grp``), from rows (id, n, grp, comp)."""
+    pieces = families.groupBy("grp", "comp").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"))
+    open_ones = pieces.groupBy("grp").agg(F.count(F.lit(1)).alias("pieces"), F.max_by(F.struct("comp", "w", "m"), "w").alias("main"),
+                                          F.sum("w").alias("w"), F.sum("m").alias("m")).where("pieces > 1")
+    count = lambda w, m: F.ceil(F.greatest(w / F.lit(BLOCK_SHINGLES), m / F.lit(BLOCK_TEXTS))).cast("long")
+    open_ones = cut(open_ones.select("grp", F.col("main.comp").alias("main"), count(F.col("w") - F.col("main.w"), F.col("m") - F.col("main.m")).alias("rest"),
+                                     count(F.col("main.w"), F.col("main.m")).alias("mains")), "families")
+    dealt = families.join(open_ones, "grp").withColumn("blk", F.when(
+        F.col("comp") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("id"), "mains")).otherwise(F.pmod(F.xxhash64("id"), "rest")))
+    dealt = cut(dealt.select("id", "grp", "blk"), "dealt")
+    shared = body.sparkSession.sparkContext.broadcast(bitmap(dealt.select("id")))
+    texts = body.mapInArrow(_listed(shared), "id long, body binary").join(dealt, "id")
+    blocks = cut(texts.groupBy("grp", "blk").applyInArrow(_blocks_of_sets(width), "grp long, blk long, ids binary, sizes binary, members binary"), "blocks")
+    last = F.col("rest") + F.col("mains") - 1
+    pairs = (open_ones.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)))
+             .withColumn("j", F.explode(F.sequence(F.col("i"), last))).select("grp", "i", "j"))
+    side = lambda s: blocks.select("grp", F.col("blk").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("ids", "sizes", "members")])
+    return pairs.join(side("i"), ["grp", "i"]).join(side("j"), ["grp", "j"]).mapInArrow(_compare_blocks(round(100 * similarity)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                    similarity: float = 0.8, k: int = 32) -> DataFrame:
+                    similarity: float = 0.8, k: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (see the module)."""
     on_workers(docs.sparkSession)
     body = id_and_body(docs, id_col, text_col)
     rows = cut(body.mapInArrow(_sketches(shingle_words, k), "id long, n long, sig binary, sketch array<long>"), "sketches")
-    classes = rows.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
+    classes = cut(rows.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep")), "classes")
     reps = (rows.where("n > 0").join(classes.select(F.col("sig").alias("class"), "rep"),
                                      (F.col("id") == F.col("rep")) & (F.col("sig") == F.col("class"))).select("id", "n", "sketch"))
     reps = cut(reps, "reps")
@@ -189,26 +266,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where("alone + rank <= m - s + t").withColumn("seen", F.count(F.lit(1)).over(by_text)).where("seen >= t"))
     index = cut(rare.select("id", "n", "t", "v", "lead"), "lists")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("t")).where("c >= t")
-        return cut(_confirmed(cut(_estimated(met, reps, k, similarity), "pairs"), body, shingle_words, similarity), "links")
+    def links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        met = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("t")).where("c >= t").select("a", "b"), "overlaps")
+        likely = cut(_estimated(met, reps, k, similarity), "pairs")
+        return met, cut(_confirmed(likely, body, shingle_words, similarity), "links")
 
-    first = links(index.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), "t"))
-    groups = components(first)
+    met, first = links(index.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), "t"))
+    groups, family = components(first), components(met)
+    of = lambda df, name, out: df.select(F.col("node").alias("id"), F.col(name).alias(out))
+    families = cut(of(family, "comp", "grp").join(of(groups, "comp", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+                   .join(reps.select("id", "n"), "id"), "family")
+    inside = _family_links(families, body, shingle_words, similarity)
 
-    grouped = (index.join(groups.withColumnRenamed("node", "id"), "id", "left")
-               .withColumn("comp", F.coalesce("comp", "id")).select("v", "comp", "id", "n", "t"))
-    mixed = grouped.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    grouped = (index.join(of(family, "comp", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id")).select("v", "grp", "id", "n", "t"))
+    mixed = grouped.groupBy("v").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("v")
     grouped = cut(grouped.join(mixed, "v", "left_semi"), "mixed")
-    inside = grouped.select("v", "comp").distinct()
-    across = (inside.withColumnRenamed("comp", "ca").join(inside.withColumnRenamed("comp", "cb"), "v").where("ca < cb"))
-    side = lambda x: grouped.select("v", F.col("comp").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"),
+    held = grouped.select("v", "grp").distinct()
+    across = held.withColumnRenamed("grp", "ga").join(held.withColumnRenamed("grp", "gb"), "v").where("ga < gb")
+    side = lambda x: grouped.select("v", F.col("grp").alias(f"g{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"),
                                     F.col("t").alias(f"t{x}"))
     alike = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)
-    pairs = across.join(side("a"), ["v", "ca"]).join(side("b"), ["v", "cb"]).where(alike)
-    second = links(pairs.select("a", "b", F.least("ta", "tb").alias("t")))
+    pairs = across.join(side("a"), ["v", "ga"]).join(side("b"), ["v", "gb"]).where(alike)
+    _, outside = links(pairs.select("a", "b", F.least("ta", "tb").alias("t")))
 
-    merged = components(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(second))
+    merged = components(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(inside).union(outside))
     classes = (classes.join(merged, classes.rep == merged.node, "left")
                .select(F.col("sig").alias("class"), F.coalesce("comp", "rep").alias("root")))
     out = rows.join(classes, (F.col("sig") == F.col("class")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")

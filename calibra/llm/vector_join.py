@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import components, cut, on_workers, table
+from calibra.llm.common import components, cut, on_workers, spread_ids, table
 
 LEAF = 512
 FANOUT = 8
@@ -145,18 +145,6 @@ def _leaves(shared, size: int, count: int):
     return run
 
 
-def _spread(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id that each row and each column hangs together with through the links of one block."""
-    top = np.iinfo(np.int64).max
-    a, b = left.copy(), right.copy()
-    while True:
-        na = np.minimum(a, np.where(linked, b[None, :], top).min(1))
-        nb = np.minimum(b, np.where(linked, na[:, None], top).min(0))
-        if (na == a).all() and (nb == b).all():
-            return a, b
-        a, b = na, nb
-
-
 def _compare(limit: float):
     def run(batches):
         for batch in batches:
@@ -172,7 +160,7 @@ def _compare(limit: float):
                 if not rx.any():
                     continue
                 part = linked[rx][:, ry]
-                ca, cb = _spread(part, ix[rx], iy[ry])
+                ca, cb = spread_ids(part, ix[rx], iy[ry])
                 ids, links, comps = ix[rx], part @ wy[ry], ca
                 if not own:
                     ids, links, comps = (np.concatenate(z) for z in ((ids, iy[ry]), (links, wx[rx] @ part), (comps, cb)))
