@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from calibra.llm import textbytes as tb
 from calibra.llm.common import cut, held_out, on_workers, table
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 MIN_STATE = 1e-5
 MIN_ARC = 1e-6
 DISCOUNT = 0.75
