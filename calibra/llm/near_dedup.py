@@ -301,9 +301,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group (rows that repeat an id count as copies;
     rows with a null id stay)."""
-    ids = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    ids = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
     name = options.get("id_col", "doc_id")
-    held = docs.where(F.col(name).isNotNull()).join(ids, F.col(name) == F.col("kept_id"), "left_semi").dropDuplicates([name])
+    held = docs.where(F.col(name).isNotNull()).join(ids, F.col(name) == F.col("__kept_id"), "left_semi").dropDuplicates([name])
     return held.unionByName(docs.where(F.col(name).isNull()))
 
 
