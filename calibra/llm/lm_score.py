@@ -2,27 +2,29 @@
 
 Model. Tokens are words (A-Z lower-cased) and one end token per document.
 Unigrams are smoothed by adding a half, over all distinct training words. Above
-them, states of the automaton are contexts of one word (words that make up at
-least ``MIN_STATE`` of the training tokens) and of more words (kept arcs). An arc
-is kept if it makes up at least ``MIN_ARC`` of the training tokens and was seen
-twice. All n-grams of these words over all training documents are counted
-before any is dropped. With discount D an arc weighs
+them, states of the automaton are contexts of one word (all words) and of more
+words (kept arcs). An arc is an n-gram seen at least ``MIN_COUNT`` times in the
+training documents, a fixed number at any size of the corpus. All n-grams of all
+training documents are counted before any is dropped. With discount D an arc weighs
 
     P(w | h) = (c(hw) - D) / c(h) + left(h) * P(w | shorter h),
     left(h)  = 1 - sum over kept arcs of (c(hw) - D) / c(h),
 
 and the failure arc of h leads to its suffix with weight left(h). So every
-context's probabilities sum to one. The shares bound the automaton at any size of
-the corpus: at most 1 / MIN_STATE words and 1 / MIN_ARC arcs an order, which is
-what is broadcast. The unigram counts of all words are not bounded; they are
-joined to blocks of documents.
+context's probabilities sum to one. The automaton grows with the corpus and is
+never in one place: its counts, and for every context the summed weights of its
+arcs, are written tables, and a block of documents is brought the rows of its own
+n-grams, from which it builds the part of the automaton that it can reach.
+n-grams are compared by 64-bit hashes. ``min_state`` and ``min_arc`` (shares of
+the training tokens, 0 by default) can ask for more of contexts and arcs.
 
 Work. Documents become blocks of about ``BLOCK_TOKENS`` tokens, written once: local
-word numbers and the block's distinct words. One shuffle by word sums the counts
-of all blocks, one by block brings them back, so a word costs a row per block and
-not a row per occurrence. The traversal carries the longest state from token to
-token; states are suffixes of at most ``order - 1`` words, so a block's states are
-found with array shifts, all tokens at once.
+word numbers and the block's distinct words. For each order one shuffle by n-gram
+sums the counts of all blocks, and one by block brings back those that are kept, so
+an n-gram costs a row per block and not a row per occurrence. The traversal
+carries the longest state from token to token; states are suffixes of at most
+``order - 1`` words, so a block's states are found with array shifts, all tokens at
+once.
 
 A null or empty text is the end token alone. Rows that share an id are scored
 one by one. A null id is not held out and trains. A text longer than a block is
@@ -31,6 +33,7 @@ cut into parts that keep their context. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,7 @@ from calibra.llm import textbytes as tb
 from calibra.llm.common import cut, held_out, on_workers, table
 
 BLOCK_TOKENS = 1_500_000
-MIN_STATE = 1e-5
-MIN_ARC = 1e-6
+MIN_COUNT = 2
 DISCOUNT = 0.75
 ORDER = 3
 END = np.uint64(0x5DEECE66D1234567)     # the end token's hash; words hash through tb.mix
@@ -54,21 +56,28 @@ _KINDS = {"ids": np.int64, "rids": np.int64, "held": np.bool_, "sizes": np.int32
 NO_ID = -(1 << 63)
 
 
+def _trained(held: np.ndarray, sizes: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Which tokens of a block train: those of documents not held out, without repeated context."""
+    out, starts = np.repeat(~held, sizes), np.cumsum(sizes) - sizes
+    for at, lead in zip(starts[leads > 0], leads[leads > 0]):
+        out[at:at + lead] = False
+    return out
+
+
 def _blocks(order: int, block_tokens: int):
     def pack(number, parts):
         hashes = np.concatenate([p[3] for p in parts])
         sizes = np.array([len(p[3]) for p in parts], np.int32)
         leads = np.array([p[4] for p in parts], np.int8)
         held = np.array([p[2] for p in parts], np.bool_)
-        vocab, tokens = np.unique(hashes, return_inverse=True)
-        start = np.cumsum(sizes) - sizes
-        counted = np.repeat(~held, sizes)
-        for at, lead in zip(start[leads > 0], leads[leads > 0]):
-            counted[at:at + lead] = False
+        # the end token is a context even where no document ends
+        vocab, tokens = np.unique(np.append(hashes, END).view(np.int64), return_inverse=True)
+        tokens = tokens[:-1]
+        counted = _trained(held, sizes, leads)
         trained = np.bincount(tokens[counted], minlength=len(vocab)).astype(np.int32)
         row = {"ids": np.array([p[0] for p in parts], np.int64), "rids": np.array([p[1] for p in parts], np.int64),
                "held": held, "sizes": sizes, "leads": leads, "tokens": tokens.astype(np.int32),
-               "vocab": vocab.view(np.int64), "trained": trained}
+               "vocab": vocab, "trained": trained}
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), *[pa.array([row[k].tobytes()], pa.binary()) for k in _KINDS],
              pa.array([int(trained.sum())], pa.int64())], ["block", *_KINDS, "n_train"])
@@ -168,35 +177,45 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _count_arcs(shared):
-    """(key, c) of the next level's arcs in the training documents of each block."""
+def _grams(order: int):
+    """The distinct n-grams of ``order`` words of each block with their context, first place and training count."""
     def run(batches):
-        auto = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 block = _unpack(row)
-                states = auto.states(block)
-                key = auto.keys(states[0], states[-1], auto.begins(block), auto.opening(len(states) - 1))
-                skip = np.repeat(block["held"], block["sizes"])
-                starts = np.cumsum(block["sizes"]) - block["sizes"]
-                for at, lead in zip(starts[block["leads"] > 0], block["leads"][block["leads"] > 0]):
-                    skip[at:at + lead] = True
-                keys, c = np.unique(key[(key >= 0) & ~skip], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
+                words = block["vocab"].view(np.uint64)[block["tokens"]]
+                begins = np.cumsum(block["sizes"]) - block["sizes"]
+                gram, whole = words, np.ones(len(words), bool)
+                for n in range(2, order + 1):
+                    context, have = np.empty_like(gram), np.empty_like(whole)
+                    context[1:], have[1:] = gram[:-1], whole[:-1]
+                    context[begins], have[begins] = END, n == 2
+                    gram, whole = tb.mix(context * np.uint64(0x9E3779B97F4A7C15) + words), have
+                at = np.flatnonzero(whole)
+                trained = _trained(block["held"], block["sizes"], block["leads"])[at]
+                keys, first, back = np.unique(gram[at], return_index=True, return_inverse=True)
+                c = np.bincount(back[trained], minlength=len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(context[at[first]].view(np.int64)), pa.array(np.full(len(keys), row["block"], np.int64)),
+                     pa.array(at[first].astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "context", "block", "pos", "c"])
     return run
 
 
 class Scorer:
     """The automaton's log10 weights."""
 
-    def __init__(self, auto: Automaton, total: int, distinct: int, discount: float):
+    def __init__(self, auto: Automaton, total: int, distinct: int, discount: float, masses: list[np.ndarray] | None = None):
+        """``masses``: for each state the sum of c - discount over all its arcs, where ``auto`` holds but some of them."""
         self.auto = auto
         self.norm = total + 0.5 * (distinct + 1)
         self.fail, self.gain = [], []
         for n, keys in enumerate(auto.arcs):
             context, counts = keys // max(1, len(auto.words)), auto.counts[n + 1]
             share = (counts - discount) / auto.counts[n][context]
-            used = np.bincount(context, weights=share, minlength=len(auto.counts[n]))
+            if masses is None:
+                used = np.bincount(context, weights=share, minlength=len(auto.counts[n]))
+            else:
+                used = masses[n] / np.maximum(auto.counts[n], 1.0)
             self.gain.append(share)
             self.fail.append(np.log10(np.maximum(1.0 - used, 1e-12)))
 
@@ -222,16 +241,41 @@ class Scorer:
 SCORED = "rid long, id long, n_tokens long, n_known long, base double, score double"
 
 
-def _score_blocks(shared):
+def reachable(block: dict, rows: dict, order: int, least: float) -> tuple[Automaton, list[np.ndarray]]:
+    """The part of the automaton that a block can reach, and the masses of its states.
+
+    ``rows[n]`` has place, count and mass of the block's kept n-grams; words seen
+    less than ``least`` times are no context.
+    """
+    pos, total, mass = rows[1]
+    counts, masses = np.zeros(len(block["vocab"])), [np.zeros(len(block["vocab"]))]
+    counts[pos], masses[0][pos] = total, np.where(total >= least, mass, 0.0)
+    auto = Automaton(block["vocab"], counts)
+    words = last = block["tokens"].astype(np.int64)
+    begins = auto.begins(block)
+    for n in range(2, order + 1):
+        pos, total, mass = rows[n]
+        keys = auto.keys(words, last, begins, auto.opening(n - 2))
+        own = keys[pos]
+        kept = np.flatnonzero((own >= 0) & ((n > 2) | (counts[own // len(counts)] >= least)))
+        by = kept[np.argsort(own[kept])]
+        auto.arcs.append(own[by])
+        auto.counts.append(total[by].astype(np.float64))
+        masses.append(mass[by])
+        last = _find(auto.arcs[-1], keys)
+    return auto, masses
+
+
+def _score_blocks(total: int, distinct: int, discount: float, order: int, least: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        scorer = shared.value
-        pos = right.column("pos").to_numpy()
-        counts = np.zeros(len(pos), np.float64)
-        counts[pos] = right.column("total").to_numpy()
+        level, *columns = (right.column(c).to_numpy() for c in ("n", "pos", "total", "mass"))
+        rows = {n: [c[level == n] for c in columns] for n in range(1, order + 1)}
         out = []
         for row in left.to_pylist():
             block = _unpack(row)
-            base, best = scorer.score(block, counts)
+            auto, masses = reachable(block, rows, order, least)
+            counts = auto.counts[0]
+            base, best = Scorer(auto, total, distinct, discount, masses).score(block, counts)
             known = (counts > 0)[block["tokens"]]
             sizes, leads = block["sizes"].astype(np.int64), block["leads"].astype(np.int64)
             starts = np.cumsum(sizes) - sizes
@@ -249,7 +293,7 @@ def _score_blocks(shared):
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1,
-              order: int = ORDER, min_state: float = MIN_STATE, min_arc: float = MIN_ARC, discount: float = DISCOUNT,
+              order: int = ORDER, min_state: float = 0.0, min_arc: float = 0.0, discount: float = DISCOUNT,
               block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
@@ -259,31 +303,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     blocks = cut(rows.mapInArrow(_blocks(order, block_tokens), BLOCK), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
 
-    seen = blocks.select("block", "vocab", "trained").mapInArrow(_vocab_rows, "h long, block long, pos int, c long")
     same = Window.partitionBy("h")
-    counted = (seen.withColumn("total", F.sum("c").over(same))
-               .withColumn("one", F.row_number().over(same.orderBy("block")) == 1))
-    counted = cut(counted.select("block", "pos", "total", (F.col("one") & (F.col("total") > 0)).alias("one"),
-                                 F.when(F.col("one") & (F.col("total") >= min_state * total) & (F.col("total") > 1), F.col("h")).alias("word")),
-                  "counts")
+    kept, mass = [], None
+    for n in range(order, 0, -1):
+        if n > 1:
+            seen = blocks.select("block", "tokens", "vocab", "sizes", "leads", "held").mapInArrow(
+                _grams(n), "h long, context long, block long, pos int, c long")
+        else:
+            seen = blocks.select("block", "vocab", "trained").mapInArrow(_vocab_rows, "h long, block long, pos int, c long")
+        seen = (seen.withColumn("total", F.sum("c").over(same))
+                .withColumn("one", (F.row_number().over(same.orderBy("block")) == 1) & (F.col("total") > 0)))
+        if n > 1:
+            seen = seen.where(F.col("total") >= max(MIN_COUNT, math.ceil(min_arc * total))).withColumn("context", F.when(F.col("one"), F.col("context")))
+        seen = seen.withColumn("mass", F.lit(0.0)) if mass is None else seen.join(mass, "h", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+        counted = cut(seen.select(F.lit(n).cast("byte").alias("n"), "block", "pos", "total", "mass", "context" if n > 1 else "one"), "counts")
+        kept.append(counted.select("n", "block", "pos", "total", "mass"))
+        if n > 1:
+            mass = (counted.where("context is not null").groupBy(F.col("context").alias("h"))
+                    .agg((F.sum("total") - F.lit(discount) * F.count(F.lit(1))).alias("mass")))
     distinct = counted.where("one").count()
-    # at most 1 / min_state rows
-    states = counted.where("word is not null").select("word", "total").toArrow().combine_chunks()
-    words, c = states.column("word").to_numpy(), states.column("total").to_numpy()
-    by = np.argsort(words)
-    auto = Automaton(words[by].astype(np.int64), c[by].astype(np.float64))
-    for _ in range(1, order):
-        shared = spark.sparkContext.broadcast(auto)
-        keys = (blocks.select("tokens", "vocab", "sizes", "leads", "held").mapInArrow(_count_arcs(shared), "key long, c long")
-                .groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2, math.ceil(min_arc * total))))
-        kept = keys.toArrow().combine_chunks()          # at most 1 / min_arc rows
-        k, n = kept.column("key").to_numpy(), kept.column("c").to_numpy()
-        by = np.argsort(k)
-        auto.arcs.append(k[by].astype(np.int64))
-        auto.counts.append(n[by].astype(np.float64))
-    scorer = spark.sparkContext.broadcast(Scorer(auto, total, distinct, discount))
+    score = _score_blocks(total, distinct, discount, order, max(MIN_COUNT, min_state * total))
     scored = (blocks.select("block", "ids", "rids", "sizes", "leads", "tokens", "vocab").groupBy("block")
-              .cogroup(counted.select("block", "pos", "total").groupBy("block")).applyInArrow(_score_blocks(scorer), SCORED))
+              .cogroup(reduce(DataFrame.union, kept).groupBy("block")).applyInArrow(score, SCORED))
     out = scored.groupBy("rid").agg(F.min("id").alias("id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
     return out.select(doc_id.alias("doc_id"), F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False)).alias("held_out"),

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 import math
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -148,6 +149,41 @@ def test_lm(docs, nothing):
     assert rows(lm.lm_scores(nothing)) == []
 
 
+def test_lm_equals_a_plain_backoff_model(spark):
+    """All n-grams seen twice are arcs, also rare ones of a larger corpus and those of other blocks."""
+    rng = np.random.default_rng(2)
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    filler = [f"f{i}" for i in range(3000)]
+    texts = [(free[i], " ".join(rng.choice(filler, 1000))) for i in range(300)]
+    texts += [(free[300 + i], "some quartz lantern glows") for i in range(2)] + [(held[0], "quartz lantern glows"), (held[1], "lantern f1 quartz")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(lm.lm_scores(df, block_tokens=20_000))}
+    tokens = {i: [*brute.words(t), None] for i, t in texts}
+    counts = [Counter() for _ in range(4)]
+    for i in free:
+        w = [None, *tokens.get(i, [])]
+        for n in (1, 2, 3):
+            counts[n].update(tuple(w[k - n + 1:k + 1]) for k in range(1, len(w)) if k - n + 1 >= 0)
+    total, arcs = sum(counts[1].values()), {}
+    for n in (2, 3):
+        for g, c in counts[n].items():
+            if c >= 2:
+                arcs.setdefault(g[:-1], {})[g[-1]] = (c - 0.75) / counts[n - 1][g[:-1]]
+
+    def chance(context, word):
+        if not context:
+            return (counts[1][word,] + 0.5) / (total + 0.5 * (len(counts[1]) + 1))
+        own = arcs.get(context, {})
+        return own.get(word, 0.0) + (1 - sum(own.values())) * chance(context[1:], word)
+
+    for i in [*held[:2], free[300], free[0]]:
+        w = [None, *tokens[i]]
+        want = sum(math.log10(max(chance(tuple(w[max(0, k - 2):k]), w[k]), 1e-12)) for k in range(1, len(w)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
+    assert got[held[0]]["score"] > got[held[0]]["base_score"] + 5
+
+
 def test_automaton_sums_to_one():
     words = np.sort(np.array([lm.END.view(np.int64), 11, 22, 33]))
     auto = lm.Automaton(words, np.array([5.0, 9.0, 4.0, 2.0]))
