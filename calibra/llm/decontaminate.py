@@ -10,22 +10,25 @@ with few edits between them fall back into step soon after each, so the words
 they emit differ in few steps (edit distance becomes Hamming distance). Sampling a
 few steps of that output gives a locality-sensitive key.
 
-Windows start at anchors: words whose hash is smallest among ``ANCHOR`` neighbours
-(every stretch of that many words has one), the same words in a document as in
-an item that it holds. Each anchor's walk covers the rest of an item from there. A
-window is a candidate if one of ``WALKS`` independent walks gives an item
-anchor's key for one of ``SAMPLES`` sampled step sets. For an item of n words there
-are about n / 3 anchors, each tried WALKS * SAMPLES times, so an item within the
-distance is missed only if all of them fail (``tests/llm`` measures recall at the
-limit). Candidates are aligned exactly with a semi-global edit distance around
-the place they point to, and only those within the distance are returned.
+Windows of the walks start at anchors: words whose hash is smallest among
+``ANCHOR`` neighbours (every stretch of that many words has one), the same words in
+a document as in an item that it holds. Each anchor's walk has a fixed number of steps (some 14
+words). A window is a candidate if one of ``WALKS`` independent walks gives an item
+anchor's key for one of ``SAMPLES`` sampled step sets. Walks alone miss short items,
+whose rest ends before the walk does, so each item is also cut into one piece more
+than the edits allowed: an item within the distance has a piece without any edit,
+and the documents' windows of the pieces' lengths (1 to some 5 words) find it for
+certain, at every length (``tests/llm`` measures it per length). Candidates are
+aligned exactly with a semi-global edit distance around the place they point to,
+and only those within the distance are returned.
 
 The keys of the items are broadcast in blocks of at most ``ITEM_BLOCK`` items,
 each of a size that the constants bound; more items mean more passes, not a larger
 broadcast. Documents are mapped whole, where they lie: no shuffle.
 
-Null or empty texts and items match nothing; an item shorter than ``MIN_WORDS``
-words is no evidence and is skipped (parameter). Repeated rows are each reported;
+Null or empty texts and items match nothing. Items of any length count, down to
+one word, which must stand in the document as it is; ``min_words`` can leave out
+shorter ones as no evidence. Repeated rows are each reported;
 a null doc_id is reported as null. Equal items are each reported.
 """
 from __future__ import annotations
@@ -45,7 +48,7 @@ WALKS = 3
 # Sampled steps of a walk: six of some 27, so that a key holds several words even where the pointer rests.
 SAMPLES = ((0, 4, 9, 14, 19, 24), (1, 6, 11, 16, 21, 26), (2, 7, 12, 17, 22, 27), (3, 5, 10, 15, 18, 23))
 DISTINCT = 4
-MIN_WORDS = 8
+MIN_WORDS = 1
 ITEM_BLOCK = 20_000
 MATCH = "doc_id long, item_id long, distance int, start int, n_words int, item_words int"
 
@@ -94,6 +97,21 @@ def walk_keys(h: np.ndarray, stops: np.ndarray, starts: np.ndarray):
             yield key, count >= DISTINCT
 
 
+def pieces(n: int, limit: int) -> list[tuple[int, int]]:
+    """Offsets and lengths of ``limit`` + 1 pieces of an item of n words; ``limit`` edits leave one as it is."""
+    cuts = [n * i // (limit + 1) for i in range(limit + 2)]
+    return [(a, z - a) for a, z in zip(cuts, cuts[1:]) if z > a]
+
+
+def piece_keys(h: np.ndarray, size: int) -> np.ndarray:
+    """Keys of all stretches of ``size`` words (none if there are fewer)."""
+    count = max(0, len(h) - size + 1)
+    key = np.full(count, size, np.uint64)
+    for i in range(size):
+        key = tb.mix(key * np.uint64(0x9E3779B97F4A7C15) + h[i:i + count])
+    return key
+
+
 def semi_global(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Smallest edit distance of ``item`` to any stretch of ``text`` with the stretch's start and end.
 
@@ -124,21 +142,28 @@ class ItemKeys:
     """LSH keys of a block of items: sorted keys, and for each the item and the anchor's offset in it."""
 
     def __init__(self, items: list[tuple[int, bytes]], similarity: float, min_words: int):
-        keys, refs, offs = [], [], []
+        keys, refs, offs, sizes = [], [], [], set()
         self.ids, self.words, self.limits = [], [], []
         for item_id, raw in items:
             b = np.frombuffer(raw, np.uint8)
             _, _, _, h, first = tb.words(b, np.array([0, len(b)]))
-            if len(h) < min_words:
+            if len(h) < max(1, min_words):
                 continue
             starts = anchors(h, first)
             for k, good in walk_keys(h, np.full(len(starts), len(h)), starts):
                 keys.append(k[good])
                 refs.append(np.full(good.sum(), len(self.ids)))
                 offs.append(starts[good])
+            limit = math.floor((1 - similarity) * len(h) + 1e-9)
+            for off, size in pieces(len(h), limit):
+                keys.append(piece_keys(h[off:off + size], size))
+                refs.append(np.array([len(self.ids)]))
+                offs.append(np.array([off]))
+                sizes.add(size)
             self.ids.append(item_id)
             self.words.append(h)
-            self.limits.append(math.floor((1 - similarity) * len(h) + 1e-9))
+            self.limits.append(limit)
+        self.sizes = sorted(sizes)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         by = np.argsort(keys, kind="stable")
         self.keys = keys[by]
@@ -148,14 +173,25 @@ class ItemKeys:
         self.present = np.zeros(1 << 20, bool)
         self.present[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
+    def windows(self, h: np.ndarray, first: np.ndarray):
+        """Keys, mask of those that count, starts and texts of the walks' windows and of the pieces'."""
+        starts = anchors(h, first)
+        text = np.searchsorted(first, starts, side="right") - 1
+        for k, good in walk_keys(h, first[text + 1], starts):
+            yield k, good, starts, text
+        starts = np.arange(len(h))
+        text = np.searchsorted(first, starts, side="right") - 1
+        for size in self.sizes:
+            k = piece_keys(h, size)
+            at = starts[:len(k)]
+            yield k, at + size <= first[text[:len(k)] + 1], at, text[:len(k)]
+
     def candidates(self, h: np.ndarray, first: np.ndarray):
         """Distinct (text, item, place the item would begin) of all windows that share a key with an item."""
-        starts = anchors(h, first)
-        if not len(starts) or not len(self.keys):
+        if not len(h) or not len(self.keys):
             return []
-        text = np.searchsorted(first, starts, side="right") - 1
         found = set()
-        for k, good in walk_keys(h, first[text + 1], starts):
+        for k, good, starts, text in self.windows(h, first):
             maybe = np.flatnonzero(good & self.present[(k >> np.uint64(44)).astype(np.int64)])
             lo = np.searchsorted(self.keys, k[maybe], side="left")
             hi = np.searchsorted(self.keys, k[maybe], side="right")

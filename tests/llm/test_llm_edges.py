@@ -257,6 +257,25 @@ def test_lsh_recall_at_the_limit():
     assert sum((i, i) in found for i in range(300)) / 300 >= 0.95 and all(t == r for t, r in found)
 
 
+@pytest.mark.parametrize("n", [*range(1, 17), 20, 29, 40, 60, 120])
+def test_recall_in_every_length_class(n):
+    """Verbatim copies and copies with as many edits as allowed, inside other text."""
+    rng = np.random.default_rng(n)
+    vocabulary = np.array([f"v{i}" for i in range(200_000)])
+    items, texts, limit = [], [], int(0.2 * n + 1e-9)
+    for i in range(60):
+        words = list(rng.choice(vocabulary, n))
+        items.append((i, " ".join(words).encode()))
+        for _ in range(limit if i % 2 else 0):
+            at, kind = int(rng.integers(len(words))), rng.integers(3)
+            words[at:at + (kind != 1)] = [] if kind == 2 else [str(rng.choice(vocabulary))]
+        texts.append(" ".join([*rng.choice(vocabulary, 50), *words, *rng.choice(vocabulary, 50)]).encode())
+    keys = dc.ItemKeys(items, 0.8, dc.MIN_WORDS)
+    _, _, _, h, first = dc.tb.words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    found = {(t, r) for t, r, *_ in keys.matches(h, first)}
+    assert all((i, i) in found for i in range(60))
+
+
 def test_semi_global_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(200):
