@@ -11,9 +11,11 @@ scores the graph of patterns and instances in ``ROUNDS`` rounds:
 
 where all occurrences of a pattern, before whatever word, are counted over the
 whole corpus, and a pattern is scored only with ``MIN_INSTANCES`` different
-instances (copies of one document are no evidence). Unseen identifiers behind
-a pattern that scores ``MIN_SCORE`` or more become spans of its kind; base
-spans stay as they are.
+instances of a kind, seeds or scored ``MIN_SCORE`` in the round before (copies of
+one document are no evidence). So identifiers found in one round back new patterns
+in the next; all patterns that the rounds can reach from the seeds are counted.
+Unseen identifiers behind a pattern that scores ``MIN_SCORE`` or more become spans
+of its kind; base spans stay as they are.
 
 Texts are read whole; spans are code points, end exclusive. A null or empty
 text has no spans. Rows that share an id are treated one by one; a null id is
@@ -228,6 +230,18 @@ def pattern_totals(body: DataFrame, patterns: DataFrame) -> DataFrame:
     return counts.groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
+def reachable_patterns(edges: DataFrame) -> DataFrame:
+    """pattern: all that the rounds could score if every identifier behind a reachable pattern scored."""
+    links = edges.select("pattern", "inst").distinct()
+    seeds = edges.where("kind >= 0").select("inst", "kind").distinct()
+    known = seeds
+    for _ in range(ROUNDS):
+        patterns = cut(links.join(known, "inst").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("instances"))
+                       .where(F.col("instances") >= MIN_INSTANCES).select("pattern", "kind"), "reached")
+        known = seeds.union(edges.where("kind < 0").select("pattern", "inst").join(patterns, "pattern").select("inst", "kind")).distinct()
+    return patterns.select("pattern").distinct()
+
+
 def scored_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
     """(pattern, kind, score) after the rounds, from edges (pattern, inst, kind or -1, n)."""
     edges = cut(edges.join(totals, "pattern"), "edges")
@@ -255,12 +269,10 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     said = found.select("rid", F.explode("mentions").alias("m")).select(
         "rid", F.col("m.k").alias("kind"), "m.start", "m.end", "m.inst", F.explode(F.array_distinct(F.array("m.one", "m.two"))).alias("pattern"))
     said = said.where("pattern is not null")
-    edges = said.groupBy("pattern", "inst", "kind").agg(F.count(F.lit(1)).alias("n"))
-    backed = (edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("inst").alias("instances"))
-              .where(F.col("instances") >= MIN_INSTANCES).select("pattern").distinct())
-    backed = cut(backed, "backed")
-    edges = edges.join(backed, "pattern", "left_semi")
-    good = scored_patterns(edges, pattern_totals(body, backed)).where(F.col("score") >= MIN_SCORE)
+    edges = cut(said.groupBy("pattern", "inst", "kind").agg(F.count(F.lit(1)).alias("n")), "edges")
+    reached = cut(reachable_patterns(edges), "reached")
+    edges = edges.join(reached, "pattern", "left_semi")
+    good = scored_patterns(edges, pattern_totals(body, reached)).where(F.col("score") >= MIN_SCORE)
     new = (said.where("kind < 0").select("rid", "start", "end", "pattern").join(good, "pattern")
            .groupBy("rid", "start", "end").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("best"))
            .groupBy("rid").agg(F.collect_list(F.struct("start", (-F.col("best.k")).alias("k"), "end")).alias("added")))

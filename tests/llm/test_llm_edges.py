@@ -215,6 +215,18 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == [(0, at, at + 11)] and got[101] == [] and len(got[0]) == 1
 
 
+def test_discovered_identifiers_back_new_contexts(spark):
+    seen = [(i, f"{'abcdefghij'[i]} filler text. staff contact: u{i}x@site.org thanks a lot") for i in range(8)]
+    first = [(20 + i, f"{'klm'[i]} filler text. staff contact: member{i}_site thanks") for i in range(3)]
+    second = [(30 + i, f"{'nop'[i % 3]} filler text. reach desk: member{i % 3}_site today") for i in range(9)]
+    new = [(100, "other text. reach desk: guest7_site today"), (101, "other text. no desk guest7_site today")]
+    got = {r["doc_id"]: [(x["k"], x["start"], x["end"]) for x in r["spans"]]
+           for r in rows(pii.personal_spans(spark.createDataFrame(seen + first + second + new, "doc_id long, text string")))}
+    at = new[0][1].index("guest7_site")
+    assert got[100] == [(0, at, at + 11)] and got[101] == []
+    assert all(len(got[i]) == 1 for i in [*range(8), *range(20, 23), *range(30, 39)])
+
+
 def test_base_patterns_match_plain_search():
     from hypothesis import given, settings
     from hypothesis import strategies as st
