@@ -13,9 +13,10 @@ Labels are given as a table, or, where none are, taken from formats that need no
 judgement: access keys of known providers and values assigned to a credential
 name are secrets; addresses, numbers, dates, hosts and versions are not. The rest
 is unlabelled and judged by the forest alone; labelled findings are scored like
-all others. Training draws at most about ``SAMPLE`` different labelled values by
-hash (documented bound); candidates, dictionary and scores cover everything. If
-the labels do not hold both kinds, a finding's label decides.
+all others. Training draws at most about ``SAMPLE`` / 2 different values of each
+label by hash, at a rate of its own (documented bound), so that the rarer label does
+not thin out as the corpus grows; candidates, dictionary and scores cover
+everything. If the drawn values do not hold both labels, a finding's label decides.
 
 Null and empty texts have no findings. A null source is a path without words.
 Repeated rows are reported each. An empty table gives no rows.
@@ -124,13 +125,15 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     found = cut(found, "findings")
     known = found.where("label is not null").groupBy("value").agg(*[F.first(c).alias(c) for c in [*names, "label"]])
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    rate = F.lit(0.0)
+    for label, n in counts.items():
+        rate = F.when(F.col("label") == label, min(1.0, SAMPLE / 2 / n)).otherwise(rate)
+    drawn = cut(known.where(F.pmod(F.xxhash64("value"), F.lit(1 << 40)) < rate * F.lit(float(1 << 40))), "labelled", "value")
+    if drawn.select("label").distinct().count() < 2:
         scored = found.withColumn("probability", F.coalesce("label", F.lit(0.0)))
     else:
-        share = min(1.0, SAMPLE / sum(counts.values()))
-        drawn = known.where(F.pmod(F.xxhash64("value"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
         forest = RandomForestClassifier(featuresCol="features", labelCol="label", probabilityCol="both", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), forest]).fit(cut(drawn, "labelled", "value"))
+        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), forest]).fit(drawn)
         scored = model.transform(found).withColumn("probability", F.get(vector_to_array("both"), F.lit(1)))
     return scored.select(F.col("id").alias("doc_id"), "word_index", "name", "value", "label", "probability",
                          (F.col("probability") >= THRESHOLD).alias("secret"))

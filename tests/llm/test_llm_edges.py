@@ -381,3 +381,13 @@ def test_forest_removes_false_positives(spark):
     known = spark.createDataFrame([(v, t) for k, (v, t) in enumerate(truth.items()) if k % 4 < 2], "value string, label int")
     got = [r for r in rows(sc.scan(df, labels=known)) if r["label"] is None]
     assert len(got) > 100 and np.mean([r["secret"] == bool(truth[r["value"]]) for r in got]) > 0.95
+
+
+def test_rare_secrets_train_beside_many_harmless_values(spark, monkeypatch):
+    monkeypatch.setattr(sc, "SAMPLE", 40)
+    rng = np.random.default_rng(4)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    texts = [(i, f"see 2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}T{i:05d}Z there", "src") for i in range(3000)]
+    secrets = [(3000 + i, f"the password = {hexa(32)} is set", "src") for i in range(5)]
+    got = rows(sc.scan(spark.createDataFrame(texts + secrets, "doc_id long, text string, source string")))
+    assert len(got) == 3005 and all(r["secret"] == (r["doc_id"] >= 3000) for r in got)
