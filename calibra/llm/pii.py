@@ -2,7 +2,9 @@
 
 Base spans come from the four patterns below (leftmost, without overlap per
 kind, failing matches dropped). They are the seeds. Each seed and each other
-word that looks like an identifier (it has a digit or an at sign) is an instance;
+word that looks like an identifier (it has a digit or an at sign, and any length) is
+an instance, and so is a stretch of neighbouring words of digits and brackets, such
+as a number written with spaces, as a whole; a word with neither sign is never one;
 the word before it and the two words before it are its lexical patterns. Spark
 scores the graph of patterns and instances in ``ROUNDS`` rounds:
 
@@ -39,7 +41,6 @@ ROUNDS = 3
 MIN_INSTANCES = 3
 MIN_SCORE = 0.6
 BITMAP_BITS = 24
-IDENTIFIER_LENGTHS = (5, 64)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +50,12 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARKED = re.compile(r"[0-9@]")
+# A word of digits and bracketed digits; the first of a stretch may open a bracket, the last may end a sentence.
+_PART = r"(?:[0-9]++|\([0-9]++\)|\[[0-9]++\])"
+_GROUP = re.compile(rf"\+?{_PART}(?:[./-]?{_PART})*+")
+_FIRST_GROUP = re.compile(r"[\"'(\[{<]*" + _GROUP.pattern)
+_LAST_GROUP = re.compile(_GROUP.pattern + r"[\"')\]}>,.;:!?]*")
+_GAP = re.compile(r"[ \t]+")
 _SPACES = frozenset(" \t\n\r\x0b\x0c")
 _TRIM = "\"'()[]{}<>,.;:!?"
 
@@ -103,10 +110,22 @@ def _word_before(text: str, at: int) -> tuple[int, int]:
     return start, end
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]):
-    """(kind or -1, start, end): base spans and other identifier-like words."""
-    for s, k, e in base:
-        yield k, s, e
+def _core(text: str, start: int, end: int) -> tuple[int, int]:
+    """[start, end) without punctuation around it; brackets that match one inside stay."""
+    word = text[start:end]
+    s = start + len(word) - len(word.lstrip(_TRIM))
+    e = end - (len(word) - len(word.rstrip(_TRIM)))
+    for left, right in ("()", "[]"):
+        more = text.count(right, s, e) - text.count(left, s, e)
+        if more > 0 and s > start and text[s - 1] == left:
+            s -= 1
+        elif more < 0 and e < end and text[e] == right:
+            e += 1
+    return s, e
+
+
+def _marked_words(text: str, base: list[tuple[int, int, int]]):
+    """(start, end) of the words with a digit or an at sign that touch no base span."""
     at, size = 0, len(text)
     spans, i = sorted((s, e) for s, _, e in base), 0
     while (m := _MARKED.search(text, at)) is not None:
@@ -116,15 +135,27 @@ def mentions(text: str, base: list[tuple[int, int, int]]):
         while end < size and text[end] not in _SPACES:
             end += 1
         at = end
-        word = text[start:end]
-        s = start + len(word) - len(word.lstrip(_TRIM))
-        e = end - (len(word) - len(word.rstrip(_TRIM)))
         while i < len(spans) and spans[i][1] <= start:
             i += 1
-        if any(a < end and z > start for a, z in spans[i:i + 8]):
-            continue
-        if IDENTIFIER_LENGTHS[0] <= e - s <= IDENTIFIER_LENGTHS[1]:
-            yield -1, s, e
+        if not any(a < end and z > start for a, z in spans[i:i + 8]):
+            yield start, end
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]):
+    """(kind or -1, start, end): base spans and other identifier-like words and stretches of digit groups."""
+    for s, k, e in base:
+        yield k, s, e
+    start = end = -1
+    goes_on = False
+    for a, z in _marked_words(text, base):
+        if goes_on and _GAP.fullmatch(text, end, a) and _LAST_GROUP.fullmatch(text, a, z):
+            end, goes_on = z, _GROUP.fullmatch(text, a, z) is not None
+        else:
+            if end >= 0:
+                yield -1, *_core(text, start, end)
+            start, end, goes_on = a, z, _FIRST_GROUP.fullmatch(text, a, z) is not None
+    if end >= 0:
+        yield -1, *_core(text, start, end)
 
 
 _SPAN = "array<struct<start:int,k:int,end:int>>"

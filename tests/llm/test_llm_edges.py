@@ -227,6 +227,25 @@ def test_discovered_identifiers_back_new_contexts(spark):
     assert all(len(got[i]) == 1 for i in [*range(8), *range(20, 23), *range(30, 39)])
 
 
+def test_identifiers_of_several_words_and_any_length():
+    def found(text):
+        return [text[s:e] for k, s, e in pii.mentions(text, pii.base_spans(text)) if k < 0]
+
+    assert found("call (020) 7946 0958, or (555) 123-4567. Ref: 7 x9 12\n34") == ["(020) 7946 0958", "(555) 123-4567", "7", "x9", "12", "34"]
+    assert found("id: " + "a1" * 50 + " (see 42) [1] 5, 6 (020 7946 0958)") == ["a1" * 50, "42", "[1] 5", "6", "020 7946 0958"]
+    assert found("no identifier here") == []
+
+
+def test_contexts_find_numbers_with_spaces(spark):
+    seen = [(i, f"{'abcdefghij'[i]} filler. staff phone: +44 20 7946 {1000 + i} thanks") for i in range(8)]
+    new = [(100, "more text. staff phone: 020 7946 0958 thanks"), (101, "more text. staff phone: (555) 123-4567"), (102, "more. staff phone: " + "7" * 70)]
+    got = {r["doc_id"]: [(x["k"], x["start"], x["end"]) for x in r["spans"]]
+           for r in rows(pii.personal_spans(spark.createDataFrame(seen + new, "doc_id long, text string")))}
+    for i, text in new:
+        whole = {100: "020 7946 0958", 101: "(555) 123-4567", 102: "7" * 70}[i]
+        assert got[i] == [(3, text.index(whole), text.index(whole) + len(whole))]
+
+
 def test_base_patterns_match_plain_search():
     from hypothesis import given, settings
     from hypothesis import strategies as st
