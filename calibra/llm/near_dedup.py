@@ -40,7 +40,6 @@ from calibra.llm import textbytes as tb
 from calibra.llm.common import components, cut, id_and_body, on_workers, spread_ids, table
 
 TAIL = 1e-7      # chance that a pair at the limit shares fewer than the required values
-SLACK = 5.0      # standard deviations below the limit at which the estimate drops a pair
 SHARED = 3       # values that a pair must share in the lists
 BITMAP_BITS = 24  # 2 MB, whatever the number of ids
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 18, 1024     # size of a block of a family
@@ -155,7 +154,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) ->
     p = pairs.join(side("a"), "a").join(side("b"), "b")
     p = p.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     p = p.withColumn("hits", F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))))
-    lowest = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / k)
+    lowest = required_overlap(k, similarity) / k - 1e-9
     size = F.size("u").cast("double")
     whole = (F.col("na") <= F.size("sa")) & (F.col("nb") <= F.size("sb")) & (F.size(F.array_union("sa", "sb")) <= k)
     bound = F.when(whole, F.lit(similarity - 1e-9)).otherwise(F.lit(lowest))

@@ -74,6 +74,20 @@ def test_near_dedup_limit_is_exact(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute.near_dups(texts, 1).items()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_union_sketch_keeps_what_the_binomial_tail_allows(spark):
+    k = 64
+    need = nd.required_overlap(k, 0.8)
+    reps, pairs = [], []
+    for hits in (need - 1, need, k):     # of the 64 smallest values of the union so many are in both sketches
+        own = k - hits
+        a, b = [*range(hits + own // 2)], [*range(hits), *range(hits + own // 2, k)]
+        a, b = ([*x, *range(at, at + k - len(x))] for x, at in ((a, 1000), (b, 2000)))
+        reps += [(2 * hits, 1000, a), (2 * hits + 1, 1000, b)]
+        pairs.append((2 * hits, 2 * hits + 1))
+    got = nd._estimated(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(reps, "id long, n long, sketch array<long>"), k, 0.8)
+    assert {r["a"] // 2 for r in rows(got)} == {need, k} and need == 33
+
+
 def test_token_store(spark, docs, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
