@@ -117,6 +117,63 @@ def vector_links(rows, limit=0.98):
     return {i: (links[i], comp[i]) for i, _, _ in rows}
 
 
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """{id: (code, error, label_error)} and the codebooks, of (id, vector, label) rows, in Python integers."""
+    kept = sorted((i, [math.floor(256 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v))
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width:(p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    books = [[cut[e][p] for e in range(min(entries, len(kept)))] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, y)), e) for e, y in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own = defaultdict(list)
+            for x in cut:
+                own[nearest(x[p], books[p])[1]].append(x[p])
+            for e, xs in own.items():
+                books[p][e] = [sum(c) // len(xs) for c in zip(*xs)]
+    found = [[nearest(x[p], books[p]) for p in range(parts)] for x in cut]
+    by_label = defaultdict(int)
+    for (_, _, label), f in zip(kept, found):
+        by_label[label] += sum(d for d, _ in f)
+    return ({i: ("".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), by_label[label]) for (i, _, label), f in zip(kept, found)},
+            hashlib.sha256(",".join(str(c) for book in books for y in book for c in y).encode()).hexdigest())
+
+
+def aligned(docs, a, b):
+    """[(id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest)] from whole texts, pair by pair; ``a`` encodes to (id, bytes) lists, so does ``b``."""
+    out, count = [], Counter()
+    for i, text in docs:
+        whole = (" " + text).encode() if text else b""
+        ta, tb = (a(text), b(text)) if text else ([], [])
+        if b"".join(x for _, x in ta) != whole or b"".join(x for _, x in tb) != whole:
+            ta, tb = [], []
+        ends = []
+        for tokens in (ta, tb):
+            at, one = 0, {}
+            for k, x in tokens:
+                at += len(x)
+                one[at] = k
+            ends.append(one)
+        both = sorted(set(ends[0]) & set(ends[1]))
+        links = [(ends[0][e], ends[1][e]) for e in both]
+        count.update(links)
+        parts = [[[] for _ in both] for _ in ends]
+        for side, one in zip(parts, ends):
+            g = 0
+            for at in sorted(one):
+                side[g].append(str(one[at]))
+                g += at == both[g]
+        groups = [",".join(x) + "|" + ",".join(y) for x, y in zip(*parts)]
+        out.append((i, len(ta), len(tb), len(both), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if ta else ""))
+    top = Counter()
+    for (_, y), n in count.items():
+        top[y] = max(top[y], n)
+    return [(i, na, nb, n, len(ls), sum(count[x] == top[x[1]] for x in ls), sum(count[x] for x in ls), d) for i, na, nb, n, ls, d in out]
+
+
 def edit_distance(item, text):
     """Smallest word edit distance of ``item`` to any stretch of ``text``."""
     row = [0] * (len(text) + 1)
