@@ -11,7 +11,8 @@ the links.
 ``align`` writes one row for each document, with its ids, the A and B tokens of
 every group and its links, and one row for each block of about ``BLOCK`` bytes
 of text with the block's distinct id pairs and their numbers; a link is an index
-into them. The corpus counts of pairs are a grouped sum of the block rows, so an
+into them, in two bytes where they suffice. A document's row also has the hash of
+its groups in writing. The corpus counts of pairs are a grouped sum of the block rows, so an
 id pair costs one row a block, however frequent it is. Counts go back to blocks
 by a join on the pair (salted by block) and to the documents by block; a group of
 that join is one block.
@@ -33,13 +34,12 @@ from calibra.llm import segments as sg
 from calibra.llm import textbytes as tb
 from calibra.llm.common import cut, id_and_body, on_workers, table
 
-BLOCK = 4 << 20          # bytes of text whose pairs are counted together
-GROUP = 1 << 19          # bytes of text aligned at once
+BLOCK = 2 << 20          # bytes of text whose pairs are counted together
+GROUP = 1 << 18          # bytes of text aligned at once
 SALTS = 8
-ALIGNED = ("block long, at int, doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>,"
-           " pair_a array<int>, pair_b array<int>, pair_n array<long>")
+ALIGNED = ("block long, at int, doc_id long, n_a long, n_b long, n_groups long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, n_links long,"
+           " links binary, groups_sha256 string, pair_a array<int>, pair_b array<int>, pair_n array<long>")
 NAMES = [c.split()[0] for c in ALIGNED.split(", ")]
-DIGEST = "block long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 SCORES = "block long, at int, n_best long, count_sum long"
 
 
@@ -97,10 +97,43 @@ def align_rows(a: sg.Coder, b: sg.Coder, data: np.ndarray, offs: np.ndarray) ->
             "a_first": a_first, "b_first": b_first, "group_first": group_first, "link_first": np.searchsorted(left, a_first)}
 
 
+_TEXTS: dict = {}
+
+
+def _texts(size: int) -> list[list[bytes]]:
+    """Every id below ``size`` as text with what may stand behind it."""
+    if _TEXTS.get("size", 0) < size:
+        _TEXTS.update(size=size, of=[[b"%d%s" % (i, mark) for i in range(size)] for mark in (b",", b"|", b";")])
+    return _TEXTS["of"]
+
+
+def fingerprints(r: dict[str, np.ndarray]) -> list[str]:
+    """SHA-256 of each document's groups in writing: ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
+    marks = _texts(int(max(r["a_ids"].max(initial=0), r["b_ids"].max(initial=0))) + 1)
+    size = r["a_sizes"] + r["b_sizes"]
+    ends = np.cumsum(size)
+    is_a = np.zeros(len(r["a_ids"]) + len(r["b_ids"]), bool)
+    is_a[np.arange(len(r["a_ids"])) + np.repeat(np.cumsum(r["b_sizes"]) - r["b_sizes"], r["a_sizes"])] = True
+    ids, mark = np.empty(len(is_a), np.int32), np.zeros(len(is_a), np.int8)
+    ids[is_a], ids[~is_a] = r["a_ids"], r["b_ids"]
+    mark[ends - r["b_sizes"] - 1], mark[ends - 1] = 1, 2
+    first = (r["a_first"] + r["b_first"]).tolist()
+    out = []
+    for s, e in zip(first[:-1], first[1:]):
+        written = b"".join([marks[m][x] for m, x in zip(mark[s:e].tolist(), ids[s:e].tolist())])[:-1]
+        out.append(hashlib.sha256(written).hexdigest() if e > s else "")
+    return out
+
+
 def _lists(first: np.ndarray, values: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _indexes(first: np.ndarray, links: np.ndarray):
+    raw, at = links.tobytes(), (first * links.itemsize).tolist()
+    return pa.array([raw[s:e] for s, e in zip(at[:-1], at[1:])], pa.binary())
+
+
 def _align(shared):
     def run(batches):
         import os
@@ -115,21 +148,23 @@ def _align(shared):
         def finish():
             pairs, back = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             n, seen = np.bincount(back, minlength=len(pairs)), 0
+            back = back.astype("<u2" if len(pairs) < 1 << 16 else "<u4")
             for ids, place, r in waiting:
                 links = back[seen:seen + len(r["link_a"])]
                 seen += len(links)
                 size = len(ids)
                 none = pa.nulls(size, pa.list_(pa.int32()))
+                many = [pa.array(np.diff(r[c])) for c in ("a_first", "b_first", "group_first")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, block)), pa.array(np.arange(place, place + size, dtype=np.int32)), ids,
+                    [pa.array(np.full(size, block)), pa.array(np.arange(place, place + size, dtype=np.int32)), ids, *many,
                      _lists(r["a_first"], r["a_ids"]), _lists(r["b_first"], r["b_ids"]), _lists(r["group_first"], r["a_sizes"]),
-                     _lists(r["group_first"], r["b_sizes"]), _lists(r["link_first"], links), none, none, pa.nulls(size, pa.list_(pa.int64()))], NAMES)
+                     _lists(r["group_first"], r["b_sizes"]), pa.array(np.diff(r["link_first"])), _indexes(r["link_first"], links), pa.array(r["sha"], pa.string()), none, none, pa.nulls(size, pa.list_(pa.int64()))], NAMES)
             if len(pairs):
                 one = np.array([0, len(pairs)])
-                none = pa.nulls(1, pa.list_(pa.int32()))
+                none, null = pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), none, none, none, none, none,
-                     _lists(one, pairs >> 32), _lists(one, pairs & 0xFFFFFFFF),
+                    [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), null, null, null, null, none, none, none, none,
+                     null, pa.nulls(1, pa.binary()), pa.nulls(1, pa.string()), _lists(one, pairs >> 32), _lists(one, pairs & 0xFFFFFFFF),
                      pa.ListArray.from_arrays(pa.array(one.astype(np.int32)), pa.array(n.astype(np.int64)))], NAMES)
 
         for batch in batches:
@@ -140,6 +175,7 @@ def _align(shared):
                     yield from finish()
                     block, at, held, keys, waiting = block + 1, 0, 0, [], []
                 r = align_rows(a, b, data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                r["sha"] = fingerprints(r)
                 keys.append((r["link_a"].astype(np.int64) << 32) | r["link_b"])
                 waiting.append((batch.column(0).slice(i, j - i), at, r))
                 at, held = at + j - i, held + size
@@ -176,9 +212,9 @@ def _score(left, right):
     size = int(slots.max()) + 1 if len(slots) else 0
     of, top = np.zeros(size, np.int64), np.zeros(size, np.int64)
     of[slots], top[slots] = counts, best
-    lists = left.column("links").combine_chunks()
-    links = lists.flatten().to_numpy(zero_copy_only=False)
-    stop = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    many, raw = left.column("n_links").combine_chunks().to_numpy(zero_copy_only=False), left.column("links").to_pylist()
+    links = np.frombuffer(b"".join(raw), "<u2" if len(raw[0]) == 2 * many[0] else "<u4")
+    stop = np.concatenate([[0], np.cumsum(many)])
     sums = [np.concatenate([[0], np.cumsum(x[links])]) for x in (top, of)]
     return pa.table([left.column("block"), left.column("at"), *(pa.array(s[stop[1:]] - s[stop[:-1]]) for s in sums)],
                     names=["block", "at", "n_best", "count_sum"])
@@ -189,48 +225,11 @@ def link_scores(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = block_pairs(aligned).select("block", "slot", F.col("a").alias("of_a"), F.col("b").alias("of_b"), (F.xxhash64("block") % SALTS).alias("own"))
     found = pairs.join(salted, (F.col("of_a") == F.col("a")) & (F.col("of_b") == F.col("b")) & (F.abs("own") == F.col("salt")))
-    docs = aligned.where("at >= 0 and size(links) > 0").select("block", "at", "links")
+    docs = aligned.where("at >= 0 and n_links > 0").select("block", "at", "n_links", "links")
     found = found.select(F.col("block").alias("in_block"), "slot", "count", "best")
     return docs.groupBy("block").cogroup(found.groupBy("in_block")).applyInArrow(_score, SCORES)
 
 
-_TEXTS: dict = {}
-
-
-def _texts(size: int) -> list[list[bytes]]:
-    """Every id below ``size`` as text with what may stand behind it."""
-    if _TEXTS.get("size", 0) < size:
-        _TEXTS.update(size=size, of=[[b"%d%s" % (i, mark) for i in range(size)] for mark in (b",", b"|", b";")])
-    return _TEXTS["of"]
-
-
-def _digests(batches):
-    for batch in batches:
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        values = {c: get(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")}
-        size = {c: get(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes", "links")}
-        stop = {c: np.concatenate([[0], np.cumsum(x)]) for c, x in size.items()}
-        marks = _texts(int(max(values["a_ids"].max(initial=0), values["b_ids"].max(initial=0))) + 1)
-        sha = []
-        for i in range(batch.num_rows):
-            if not size["a_ids"][i]:
-                sha.append("")
-                continue
-            run = lambda c, by: values[c][stop[by][i]:stop[by][i + 1]]  # noqa: E731,B023
-            na, nb = run("a_sizes", "a_sizes"), run("b_sizes", "a_sizes")
-            ends = np.cumsum(na + nb)
-            a_at = np.arange(len(run("a_ids", "a_ids"))) + np.repeat(np.cumsum(nb) - nb, na)
-            ids, mark = np.empty(int(ends[-1]), np.int64), np.zeros(int(ends[-1]), np.int64)
-            is_a = np.zeros(len(ids), bool)
-            is_a[a_at] = True
-            ids[is_a], ids[~is_a] = run("a_ids", "a_ids"), run("b_ids", "b_ids")
-            mark[ends - nb - 1], mark[ends - 1] = 1, 2
-            sha.append(hashlib.sha256(b"".join([marks[m][x] for m, x in zip(mark.tolist(), ids.tolist())])[:-1]).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [get("block"), get("at"), get("doc_id"), *(pa.array(size[c]) for c in ("a_ids", "b_ids", "a_sizes", "links")), pa.array(sha, pa.string())],
-            [c.split()[0] for c in DIGEST.split(", ")])
-
-
 def default_tokenizers() -> tuple[str, str]:
     import public_tokenizers
 
@@ -241,7 +240,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = align(table(spark, sf_dir, "documents"), *default_tokenizers())
     scores = cut(link_scores(aligned, cut(pair_counts(aligned), "counts")), "scores")
     scores = scores.select(F.col("block").alias("of_block"), F.col("at").alias("of_at"), "n_best", "count_sum")
-    docs = aligned.where("at >= 0").select(*NAMES[:8]).mapInArrow(_digests, DIGEST)
+    docs = aligned.where("at >= 0").select("block", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     out = docs.join(scores, (F.col("block") == F.col("of_block")) & (F.col("at") == F.col("of_at")), "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", none("n_best"), none("count_sum"), "groups_sha256")

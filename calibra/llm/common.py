@@ -9,10 +9,10 @@ from calibra.session import fresh_path, ship_package
 from calibra.sources.tables import read_table
 
 
-def cut(df: DataFrame, name: str, *sort: str) -> DataFrame:
+def cut(df: DataFrame, name: str, *sort: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     path = fresh_path(df.sparkSession, f"llm-{name}")
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 def on_workers(spark: SparkSession) -> None:

@@ -37,10 +37,14 @@ from calibra.llm.common import cut, id_and_body, on_workers, table
 CAPACITY = 2048
 END_ID = 1
 GROUP = 1 << 19          # bytes of text coded at once
-CODED = "part int, doc_id long, n_tokens long, rest int, chunks long, rank long, chunk_rank long, ids array<int>"
+CODED = "part int, doc_id long, n_tokens long, rest int, chunks long, rank long, chunk_rank long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
+def id_type(largest: int) -> np.dtype:
+    return np.dtype("<u2" if largest < 1 << 16 else "<u4")
+
+
 def _running(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Rank of each key among its like, after those in ``seen``, which is brought up to date."""
     order = np.argsort(keys, kind="stable")
@@ -63,23 +67,25 @@ def _code(shared, capacity: int, end_id: int):
 
         part, coder = TaskContext.get().partitionId(), sg.byte_level(shared.value, False)
         seen, chunks_before = np.zeros(capacity, np.int64), 0
+        kind = id_type(max(len(coder.bytes) - 1, end_id))
         for batch in batches:
             b, offs = tb.text_bytes(batch.column(1))
             for i, j in tb.doc_groups(offs, GROUP):
                 ids, counts = coder.rows(b[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 n = counts + 1
                 stop = np.concatenate([[0], np.cumsum(n)])
-                out = np.full(int(stop[-1]), end_id, np.int32)
+                out = np.full(int(stop[-1]), end_id, kind)
                 inside = np.ones(len(out), bool)
                 inside[stop[1:] - 1] = False
                 out[inside] = ids
                 chunks, rest = n // capacity, n % capacity
+                raw, at = out.tobytes(), (stop * kind.itemsize).tolist()
                 before = chunks_before + np.cumsum(chunks) - chunks
                 chunks_before += int(chunks.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(j - i, part, np.int32)), batch.column(0).slice(i, j - i), pa.array(n), pa.array(rest.astype(np.int32)),
                      pa.array(chunks), pa.array(_running(rest, seen)), pa.array(before),
-                     pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(out))],
+                     pa.array([raw[s:e] for s, e in zip(at[:-1], at[1:])], pa.binary())],
                     ["part", "doc_id", "n_tokens", "rest", "chunks", "rank", "chunk_rank", "ids"])
     return run
 
@@ -153,8 +159,8 @@ def _pieces(shared, capacity: int):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             num = lambda c: get(c).to_numpy(zero_copy_only=False).astype(np.int64)
             n, rest, chunks = num("n_tokens"), num("rest"), num("chunks")
-            lists = get("ids")
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            raw, _ = tb.text_bytes(get("ids"))
+            ids = raw.view("<u2" if len(raw) == 2 * int(n.sum()) else "<u4")
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
             some = np.flatnonzero(rest)
             item, start, length, sequence, offset = place(plan, rest[some], num("rank")[some] + num("base")[some])
@@ -169,7 +175,7 @@ def _pieces(shared, capacity: int):
             stop = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [get("doc_id").take(pa.array(of)), pa.array(at), pa.array(size), pa.array(n[of]), pa.array(np.concatenate([whole, sequence])),
-                 pa.array(np.concatenate([np.zeros(len(doc), np.int64), offset])), pa.ListArray.from_arrays(pa.array(stop), pa.array(part))],
+                 pa.array(np.concatenate([np.zeros(len(doc), np.int64), offset])), pa.ListArray.from_arrays(pa.array(stop), pa.array(part.astype(np.int32)))],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
     return run
 
@@ -181,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     on_workers(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
-    coded = cut(id_and_body(docs, id_col, text_col).mapInArrow(_code(tokenizer, capacity, end_id), CODED), "coded")
+    coded = cut(id_and_body(docs, id_col, text_col).mapInArrow(_code(tokenizer, capacity, end_id), CODED), "coded", codec="zstd")
     per = cut(coded.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("chunks")), "lengths")
     histogram = {r["rest"]: r["n"] for r in per.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(plan_packs(histogram, capacity))
@@ -218,5 +224,5 @@ def default_tokenizer() -> str:
 
 
 def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = cut(pack(table(spark, sf_dir, "documents"), default_tokenizer()), "pieces")
+    pieces = cut(pack(table(spark, sf_dir, "documents"), default_tokenizer()), "pieces", codec="zstd")
     return pieces.mapInArrow(_digests, PIECES.replace("ids array<int>", "ids_crc32 long"))

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import json
 import zlib
+from itertools import chain
 
 import numpy as np
 
 from calibra.llm import textbytes as tb
 
 CACHED_IDS = 8_000_000
-CODED_AT_ONCE = 1 << 18      # bytes handed to a tokenizer in one call
+CODED_AT_ONCE = 1 << 16      # bytes handed to a tokenizer in one call
 
 _WIDE_LEADS = np.zeros(256, dtype=bool)     # first bytes of three-byte characters among which white space is found
 _WIDE_LEADS[[0xE1, 0xE2, 0xE3]] = True
@@ -57,6 +58,7 @@ class Coder:
     """Ids of segments by a tokenizer, remembered by the segments' hashes."""
 
     whole = False
+    checked = True       # whether ``good`` is wanted
 
     def __init__(self):
         self.forget()
@@ -73,7 +75,7 @@ class Coder:
         raise NotImplementedError
 
     def check(self, raw: bytes, ids: list[int]) -> bool:
-        """Whether the ids' bytes are those of the segment (only where the caller asks for ``good``)."""
+        """Whether the ids' bytes are those of the segment."""
         return True
 
     def learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
@@ -88,8 +90,8 @@ class Coder:
         if part:
             ids.extend(self.code(part))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((x for one in ids for x in one), np.int32, int(sizes.sum()))
-        good = np.fromiter((self.check(x, one) for x, one in zip(raw, ids)), bool, len(ids))
+        new = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        good = np.fromiter(map(self.check, raw, ids), bool, len(ids)) if self.checked else np.ones(len(ids), bool)
         slots = np.arange(len(keys)) + len(self.sizes)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -138,7 +140,7 @@ class ByteLevel(Coder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = plain_specials
+        self.tokenizer.encode_special_tokens = self.checked = plain_specials
         spec = json.loads(tokenizer_json)
         splitter = spec.get("pre_tokenizer") or {}
         spaced = [t["content"] for t in spec.get("added_tokens", []) if " " in t["content"] or t.get("lstrip") or t.get("rstrip")]
