@@ -26,7 +26,8 @@ from calibra.sources import decision_log as dlog
 from calibra.sources import predictions as pred
 from calibra.sources import tickets as tk
 from calibra.sources.predictions import probs_to_json, with_json_probs
-from calibra.sources.tables import read_table
+from calibra.sources.tables import read_table, table_path
+from calibra.streaming import live
 from calibra.session import fresh_path, materialize
 
 # Fixed parameters of the registered queries.
@@ -37,6 +38,9 @@ LATENCY_SECONDS = 60.0       # a given elapsed time; the arithmetic is the featu
 CASES_N = 6
 HEAD_N = 50
 LOG_RECENT_N = 10
+LOG_APPENDS = 5
+LIVE_TEMPERATURES = {"department": 0.5, "urgency": 3.68}
+LIVE_THRESHOLD = 0.6
 LOG_CREATED_AT = "2024-01-01 00:00:00"
 BATCH_CREATED_AT = "2024-01-02 00:00:00"
 
@@ -93,9 +97,9 @@ def batch_triaged(spark, sf) -> DataFrame:
     return user_messages(spark, sf).transform(jobs.triage(ticket_spec(), "lexical", None))
 
 
-def decision_log(spark, sf) -> DataFrame:
+def decision_log_path(spark, sf) -> str:
     """Write the log (batch rows appended, then the eval backfill) to a fresh
-    folder below the shared folder and read it back."""
+    folder below the shared folder."""
     path = fresh_path(spark, "decision-log")
     batch = batch_triaged(spark, sf).select(
         "conv_id", "turn", "text",
@@ -104,10 +108,14 @@ def decision_log(spark, sf) -> DataFrame:
         "churn_risk", "refund_requested", "gate_decision")
     rows = dlog.log_rows(batch, "batch", F.lit(BATCH_CREATED_AT).cast("timestamp_ntz"),
                          carry=("conv_id", "turn"))
-    dlog.append_log(spark, path, rows, ["conv_id", "turn"])
+    dlog.append_log(spark, path, rows, ["conv_id", "turn"], "batch")
     dlog.backfill_from_predictions(spark, path, ticket_predictions(spark, sf), ["ticket_id"],
                                    F.lit(LOG_CREATED_AT).cast("timestamp_ntz"))
-    return dlog.open_log(spark, path)
+    return path
+
+
+def decision_log(spark, sf) -> DataFrame:
+    return dlog.open_log(spark, decision_log_path(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -429,12 +437,42 @@ def q_probs_json_roundtrip(spark, sf):
                 .select("event_id", (F.col("pos") + 1).alias("label_index"), r6("p").alias("p")))
 
 
+def live_log_path(spark, sf) -> str:
+    """Triage the documents' texts as a stream, with stored temperatures and threshold, into a log."""
+    path, settings = table_path(sf, "documents"), fresh_path(spark, "live-settings")
+    pred.write_temperatures(spark.createDataFrame(list(LIVE_TEMPERATURES.items()), "question STRING, temperature DOUBLE"),
+                            f"{settings}/temperatures")
+    live.write_threshold(spark, settings, LIVE_THRESHOLD)
+    job = live.LiveJob(ticket_spec(), fresh_path(spark, "live-log"), ("doc_id",), settings)
+    stream = live.text_stream(spark, path, spark.read.parquet(path).schema)
+    live.start(job, stream, fresh_path(spark, "live-ckpt")).awaitTermination()
+    return job.log_path
+
+
 def q_live_triage_stream(spark, sf):
-    from calibra.streaming.live import run_live_log
-    log = run_live_log(spark, sf)
-    return log.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-                      "source", "pred_department", r6("department_confidence").alias("department_confidence"),
-                      "gate_decision", "department_correct")
+    """The stream's log, its times whole seconds of today."""
+    now = F.current_timestamp().cast("timestamp_ntz")
+    return dlog.open_log(spark, live_log_path(spark, sf)).select(
+        "id", (F.col("created_at").eqNullSafe(F.date_trunc("second", "created_at").cast("timestamp_ntz"))
+               & F.col("created_at").between(now - F.expr("interval 1 day"), now)).alias("fresh"),
+        "source", "pred_department", r6("department_confidence").alias("department_confidence"), "pred_urgency",
+        r6("urgency_confidence").alias("urgency_confidence"), r6("churn_risk").alias("churn_risk"),
+        r6("refund_requested").alias("refund_requested"), "gate_decision", "department_correct")
+
+
+def q_log_compaction(spark, sf):
+    """Five appends, the segments before and after their compaction, and the rows with their ids."""
+    path = fresh_path(spark, "compacted-log")
+    triaged = batch_triaged(spark, sf).select(
+        "conv_id", "turn", "text", F.col("department").alias("pred_department"), "department_confidence",
+        F.col("urgency_class").alias("pred_urgency"), "urgency_confidence", "churn_risk", "refund_requested", "gate_decision")
+    rows = materialize(dlog.log_rows(triaged, "batch", F.lit(BATCH_CREATED_AT).cast("timestamp_ntz"), carry=("conv_id", "turn")))
+    for k in range(LOG_APPENDS):
+        dlog.append_log(spark, path, rows.where(F.pmod("conv_id", F.lit(LOG_APPENDS)) == k), ["conv_id", "turn"], "batch")
+    before = len(dlog.segments(spark, path))
+    dlog.compact(spark, path)
+    return dlog.open_log(spark, path).select("id", "text", "pred_department", F.lit(before).alias("segments_before"),
+                                             F.lit(len(dlog.segments(spark, path))).alias("segments_after"))
 
 
 def q_prediction_display(spark, sf):
@@ -468,9 +506,9 @@ def q_run_metadata(spark, sf):
 
 
 def q_log_by_source(spark, sf):
-    """one source's rows via a partition filter on ``source``."""
-    log = decision_log(spark, sf)
-    return dlog.counts(log.where(F.col("source") == "batch")).withColumn("source", F.lit("batch"))
+    """one source's rows, from its segments alone."""
+    log = dlog.open_log(spark, decision_log_path(spark, sf), ("batch",))
+    return dlog.counts(log).withColumn("source", F.lit("batch"))
 
 
 def q_upload_csv_roundtrip(spark, sf):
@@ -572,6 +610,7 @@ QUERIES = {
     "department_volume": q_department_volume,
     "probs_json_roundtrip": q_probs_json_roundtrip,
     "live_triage_stream": q_live_triage_stream,
+    "log_compaction": q_log_compaction,
     "prediction_display": q_prediction_display,
     "preset_answers": q_preset_answers,
     "run_metadata": q_run_metadata,

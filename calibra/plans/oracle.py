@@ -644,12 +644,22 @@ ORACLE_SQL["probs_json_roundtrip"] = with_ctes(E_CTE) + """
 SELECT event_id, label_index::INTEGER AS label_index, round(p, 6) AS p FROM (
   SELECT event_id, unnest(range(1, len(probs) + 1)) AS label_index, unnest(probs) AS p FROM E)"""
 
-ORACLE_SQL["live_triage_stream"] = with_ctes(E_CTE, EC_CTE) + """
-SELECT row_number() OVER (ORDER BY ts, event_id) AS id,
-       strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS created_at, 'live' AS source,
-       cal_department AS pred_department, round(cal_department_confidence, 6) AS department_confidence,
-       gate_decision, NULL::INTEGER AS department_correct
-FROM EC"""
+_LIVE = with_ctes(
+    "\nDOC AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\S'))", lexical_ctes("DOC", "LL", SPEC),
+    scaled_ctes("LL", "LD", "department_p", _d(cat.LIVE_TEMPERATURES["department"])),
+    scaled_ctes("LD", "LU", "urgency_p", _d(cat.LIVE_TEMPERATURES["urgency"])))
+ORACLE_SQL["live_triage_stream"] = _LIVE + f"""
+SELECT row_number() OVER (ORDER BY doc_id) AS id, true AS fresh, 'live' AS source,
+       {argmax(DEPT_LABELS, 'LDp')} AS pred_department, {r6('list_max(LDp)')} AS department_confidence,
+       {ordinal_class('urgency_ev', '3')} AS pred_urgency,
+       {r6(f"coalesce(LUp[{ordinal_class('urgency_ev', '3')} + 1], 0.0::DOUBLE)")} AS urgency_confidence,
+       {r6('churn_risk_n')} AS churn_risk, {r6('refund_requested_n')} AS refund_requested,
+       {gate('list_max(LDp)', cat.LIVE_THRESHOLD)} AS gate_decision, NULL::INTEGER AS department_correct
+FROM LU"""
+
+ORACLE_SQL["log_compaction"] = BATCH + f"""
+SELECT row_number() OVER (ORDER BY conv_id % {cat.LOG_APPENDS}, conv_id, turn) AS id, text, department AS pred_department,
+       {cat.LOG_APPENDS} AS segments_before, 1 AS segments_after FROM BT2"""
 
 
 ORACLE_SQL["prediction_display"] = TICKETS + """

@@ -1,29 +1,39 @@
-"""The decision log: one parquet table partitioned by ``source``, ``run`` and ``epoch``.
+"""The decision log: parquet segments named by a manifest.
 
+* a write goes to a segment of its own (a folder with few files, sorted by id)
+  and then into the manifest (:class:`calibra.sources.versioned.Versions`);
+  readers resolve the manifest, so they see all of a write or nothing, and a
+  source is read by its segments alone (F4).
 * ids ascend in a stated order without a global window: rows are range-
-  partitioned and sorted on the order key, each partition numbers its rows,
-  and a running sum over the (#partitions)-row count table gives offsets.
-  The numbered rows are checkpointed to the shared folder first, so a lost
-  executor cannot renumber them (S11).
-* the evaluation backfill replaces only the ``source='eval'`` partition via
-  dynamic partition overwrite: other sources are untouched and the replace
-  is one atomic job commit (S12). No rows means an empty partition.
-* a micro-batch of a stream owns the partition of its run and epoch and
-  overwrites it, so a replayed batch replaces itself (R2).
-* the largest id handed out is kept in a small table beside the rows, so an
-  append reads no log rows. One writer at a time: ids are reserved before the
-  rows are written, and two concurrent appenders are not supported.
+  partitioned and sorted on the order key and each partition numbers its rows;
+  offsets come from the counts, one for each partition. The numbered rows are
+  checkpointed to the shared folder first, so a lost executor cannot renumber
+  them. The range of ids is reserved before the rows are written, by a versioned
+  document of its own, so several appenders never share an id (S11).
+* the evaluation backfill writes beside and swaps the ``eval`` segments in one
+  manifest version; no rows empty ``eval`` in the same way (S12).
+* a micro-batch of a stream owns the segment of its run and epoch and replaces
+  it, so a replayed batch replaces itself (R2).
+* :func:`compact` rewrites the segments of closed epochs into few sorted files
+  with the same ids; :func:`vacuum` deletes what no manifest names any more.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from calibra.functions import text as tx
 from calibra.session import shared_dir
+from calibra.sources.versioned import Versions
+
+ROWS_PER_FILE = 1_000_000
+KEEP_SECONDS = 86_400.0      # unnamed segments younger than this may belong to a writer at work
 
+# The columns of the log.
 LOG_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("created_at", T.TimestampNTZType()),
@@ -43,15 +53,27 @@ LOG_SCHEMA = T.StructType([
 ])
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 SOURCES = ("eval", "live", "batch")
-PARTITIONS = ("source", "run", "epoch")
 
 
-def open_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log table, or an empty frame with the fixed schema."""
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(path).select(*LOG_COLUMNS)
-    except AnalysisException:
+def _manifest(spark: SparkSession, path: str) -> Versions:
+    return Versions(spark, f"{path.rstrip('/')}/_manifest")
+
+
+def _data(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/data/{name}"
+
+
+def segments(spark: SparkSession, path: str) -> list[dict]:
+    """Live segments: name, source, run, epoch (null but for a stream's micro-batch), rows, first and last id."""
+    return _manifest(spark, path).read().get("segments", [])
+
+
+def open_log(spark: SparkSession, path: str, sources=None) -> DataFrame:
+    """The log table, or an empty frame with the fixed schema (S10); with ``sources`` only their segments are read."""
+    live = [_data(path, s["name"]) for s in segments(spark, path) if sources is None or s["source"] in sources]
+    if not live:
         return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).parquet(*live)
 
 
 def log_rows(df: DataFrame, source: str, created_at: Column | None = None, carry=()) -> DataFrame:
@@ -80,13 +102,8 @@ def log_rows(df: DataFrame, source: str, created_at: Column | None = None, carry
     )
 
 
-def with_dense_ids(df: DataFrame, order_cols, base: int = 0, partitions: int | None = None,
-                   out: str = "id") -> DataFrame:
-    """ids ``base+1 .. base+n`` following ``order_cols`` (a total order).
-
-    Range partitioning + per-partition numbering + offsets from a count table
-    with one row per partition; no single-partition window over the rows.
-    """
+def number_rows(df: DataFrame, order_cols, partitions: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Rows numbered within range partitions on ``order_cols`` (a total order), checkpointed, and the size of each partition."""
     order_cols = list(order_cols)
     spark = df.sparkSession
     shared_dir(spark)
@@ -96,60 +113,143 @@ def with_dense_ids(df: DataFrame, order_cols, base: int = 0, partitions: int | N
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     numbered = numbered.checkpoint(eager=True)
-    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), "_pid", "inner")
-                    .withColumn(out, F.lit(int(base)) + F.col("_off") + F.col("_k") + F.lit(1))
-                    .drop("_pid", "_k", "_off"))
+    sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()       # a number for each partition
+    return numbered, sorted((r["_pid"], r["n"]) for r in sizes)
+
+
+def with_dense_ids(df: DataFrame, order_cols, base: int = 0, partitions: int | None = None,
+                   out: str = "id") -> DataFrame:
+    """ids ``base+1 .. base+n`` following ``order_cols`` (a total order); no single-partition window over the rows."""
+    return _ids(*number_rows(df, order_cols, partitions), base, out)
 
 
-def _marks(path: str) -> str:
-    return f"{path.rstrip('/')}/_ids"       # readers of the log skip names that begin with an underscore
+def _ids(numbered: DataFrame, sizes: list[tuple[int, int]], base: int, out: str = "id") -> DataFrame:
+    before, rows = base, []
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    offsets = numbered.sparkSession.createDataFrame(rows, "_part INT, _before BIGINT")
+    return (numbered.join(F.broadcast(offsets), F.col("_pid") == F.col("_part"))
+                    .withColumn(out, F.col("_before") + F.col("_k") + F.lit(1)).drop("_pid", "_k", "_part", "_before"))
+
+
+def reserve_ids(spark: SparkSession, path: str, n: int) -> int:
+    """Reserve ``n`` ids; returns the id before the first. Ids are never handed out twice, as with AUTOINCREMENT."""
+    marks = Versions(spark, f"{path.rstrip('/')}/_ids")
+    return marks.update(lambda mark: {"top": mark.get("top", 0) + n})["top"] - n
 
 
 def max_id(spark: SparkSession, path: str) -> int:
-    """Largest id handed out (ids are never reused, as with AUTOINCREMENT); a log without the small table is scanned once."""
-    try:
-        v = spark.read.schema("id BIGINT").parquet(_marks(path)).agg(F.max("id")).first()[0]
-    except AnalysisException:
-        v = open_log(spark, path).agg(F.max("id")).first()[0]
-    return int(v or 0)
-
-
-def _write(spark: SparkSession, path: str, rows: DataFrame, order_cols, run: str, epoch: int, mode: str) -> int:
-    """Number, reserve the ids, write; returns the row count (of the checkpointed rows, nothing is recomputed)."""
-    base = max_id(spark, path)
-    with_ids = with_dense_ids(rows, order_cols, base).select(
-        *LOG_COLUMNS, F.lit(run).alias("run"), F.lit(int(epoch)).cast("bigint").alias("epoch"))
-    top = with_ids.agg(F.max("id")).first()[0]
-    if top is None:
+    """Largest id handed out."""
+    return Versions(spark, f"{path.rstrip('/')}/_ids").read().get("top", 0)
+
+
+def _files(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_FILE))
+
+
+def _segment(spark: SparkSession, path: str, rows: DataFrame, order_cols) -> dict | None:
+    """Write numbered rows beside the live segments; None without rows. The checkpointed rows are not recomputed."""
+    numbered, sizes = number_rows(rows, order_cols)
+    n = sum(size for _, size in sizes)
+    if not n:
+        return None
+    base, name = reserve_ids(spark, path, n), uuid.uuid4().hex
+    _ids(numbered, sizes, base).select(*LOG_COLUMNS).coalesce(_files(n)).write.parquet(_data(path, name))
+    return {"name": name, "rows": n, "first": base + 1, "last": base + n, "run": None, "epoch": None}
+
+
+def _swap(spark: SparkSession, path: str, added: list[dict], gone) -> dict:
+    """One manifest version: ``added`` come in, segments for which ``gone`` holds go."""
+    names = {s["name"] for s in added}
+
+    def change(manifest: dict) -> dict:
+        kept = [s for s in manifest.get("segments", []) if s["name"] not in names and not gone(s)]
+        return {**manifest, "segments": [*kept, *added]}
+    return _manifest(spark, path).update(change)
+
+
+def append_log(spark: SparkSession, path: str, rows: DataFrame, order_cols, source: str | None = None) -> int:
+    """Append log rows (from :func:`log_rows`, of one source) with fresh ascending ids; returns their number."""
+    new = _segment(spark, path, rows, order_cols)
+    if new is None:
         return 0
-    spark.range(top, top + 1).coalesce(1).write.mode("append").parquet(_marks(path))
-    writer = with_ids.write.mode(mode).partitionBy(*PARTITIONS)
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
-    return int(top) - base
+    new["source"] = source or _source_of(spark, path, new["name"])
+    _swap(spark, path, [new], lambda s: False)
+    return new["rows"]
+
 
+def _source_of(spark: SparkSession, path: str, name: str) -> str | None:
+    """The source of a segment's rows (None for a mixture, which every reader of a source must then filter)."""
+    low, high = spark.read.schema(LOG_SCHEMA).parquet(_data(path, name)).agg(F.min("source"), F.max("source")).first()
+    if low != high:
+        raise ValueError(f"a segment holds one source, not {low!r} to {high!r}")
+    return low
 
-def append_log(spark: SparkSession, path: str, rows: DataFrame, order_cols) -> int:
-    """Append log rows (from :func:`log_rows`) with fresh ascending ids."""
-    return _write(spark, path, rows, order_cols, "batch", 0, "append")
 
+def write_epoch(spark: SparkSession, path: str, rows: DataFrame, order_cols, run: str, epoch: int, source: str = "live") -> int:
+    """Write a micro-batch as the segment of its run and epoch; writing it again replaces it (R2).
 
-def write_epoch(spark: SparkSession, path: str, rows: DataFrame, order_cols, run: str, epoch: int) -> int:
-    """Write a micro-batch into the partition of its run and epoch; writing it again replaces it (R2)."""
-    return _write(spark, path, rows, order_cols, run, epoch, "overwrite")
+    An epoch that has been compacted is closed: it is in the log already and is not written again.
+    """
+    if epoch <= _manifest(spark, path).read().get("closed", {}).get(run, -1):
+        return 0
+    new = _segment(spark, path, rows, order_cols)
+    added = [{**new, "source": source, "run": run, "epoch": int(epoch)}] if new else []
+    _swap(spark, path, added, lambda s: s["run"] == run and s["epoch"] == int(epoch))
+    return new["rows"] if new else 0
 
 
-def drop_source(spark: SparkSession, path: str, source: str) -> None:
-    """Remove all rows of a source (its partition folder)."""
+def compact(spark: SparkSession, path: str, min_segments: int = 2) -> int:
+    """Rewrite the small segments of each source into one with few files, sorted by id; returns how many went.
+
+    Of each stream run the newest epoch stays as it is, since only that one can be
+    replayed. A segment that a writer replaces meanwhile makes the rewrite of its
+    source void; the rows that readers see and their ids are the same all along.
+    """
+    gone = 0
+    live = segments(spark, path)
+    newest = {s["run"]: max(x["epoch"] for x in live if x["run"] == s["run"]) for s in live if s["run"]}
+    for source in sorted({s["source"] for s in live}):
+        old = [s for s in live if s["source"] == source and (not s["run"] or s["epoch"] < newest[s["run"]]) and s["rows"] < ROWS_PER_FILE]
+        if len(old) < min_segments:
+            continue
+        rows, names = sum(s["rows"] for s in old), {s["name"] for s in old}
+        name, files = uuid.uuid4().hex, _files(rows)
+        one = spark.read.schema(LOG_SCHEMA).parquet(*[_data(path, n) for n in sorted(names)])
+        one.repartitionByRange(files, "id").sortWithinPartitions("id").write.parquet(_data(path, name))
+        new = {"name": name, "source": source, "run": None, "epoch": None, "rows": rows,
+               "first": min(s["first"] for s in old), "last": max(s["last"] for s in old)}
+        closed: dict = {}
+        for s in old:
+            if s["run"]:
+                closed[s["run"]] = max(closed.get(s["run"], -1), s["epoch"])
+
+        def change(manifest: dict) -> dict:
+            now = manifest.get("segments", [])
+            if not names <= {s["name"] for s in now}:       # void, or done by a try before
+                return manifest
+            marks = {**manifest.get("closed", {})}
+            for run, epoch in closed.items():
+                marks[run] = max(marks.get(run, -1), epoch)
+            return {"segments": [*[s for s in now if s["name"] not in names], new], "closed": marks}
+
+        if name in {s["name"] for s in _manifest(spark, path).update(change)["segments"]}:
+            gone += len(old)
+    return gone
+
+
+def vacuum(spark: SparkSession, path: str, older_than: float = KEEP_SECONDS) -> int:
+    """Delete segments that the manifest does not name and that are older than ``older_than`` seconds (readers and writers
+    at work are younger); returns how many."""
     sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source={source}")
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    folder = sc._jvm.org.apache.hadoop.fs.Path(_data(path, "."))
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    live, n = {s["name"] for s in segments(spark, path)}, 0
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        if status.getPath().getName() not in live and status.getModificationTime() / 1000 <= time.time() - older_than:
+            n += bool(fs.delete(status.getPath(), True))
+    return n
 
 
 def eval_rows(predictions: DataFrame, order_cols, created_at: Column | None = None) -> DataFrame:
@@ -169,16 +269,15 @@ def backfill_from_predictions(spark: SparkSession, path: str, predictions: DataF
                               order_cols, created_at: Column | None = None) -> int:
     """Replace all ``eval`` rows from stored predictions.
 
-    Missing input -> 0 rows and no error; input without rows empties ``eval``. Only the ``source=eval`` partition
-    is overwritten (dynamic partition overwrite); ids continue after the
-    largest id ever written.
+    Missing input -> 0 rows and no error; input without rows empties ``eval``. The new segment is written beside the
+    old ones and swapped with them in one manifest version, so a reader sees the old rows or the new ones. Ids continue
+    after the largest id ever handed out.
     """
     if predictions is None:
         return 0
-    written = _write(spark, path, eval_rows(predictions, order_cols, created_at), order_cols, "eval", 0, "overwrite")
-    if not written:     # a dynamic overwrite without rows touches nothing
-        drop_source(spark, path, "eval")
-    return written
+    new = _segment(spark, path, eval_rows(predictions, order_cols, created_at), order_cols)
+    _swap(spark, path, [{**new, "source": "eval"}] if new else [], lambda s: s["source"] == "eval")
+    return new["rows"] if new else 0
 
 
 # ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from calibra.plans import fixtures as fx
 from conftest import SF_SMALL
 
 WRITES = {"decision_log_backfill", "log_by_decision", "log_by_department", "log_counts", "log_recent",
-          "live_triage_stream", "log_by_source", "upload_csv_roundtrip", "split_dataset", "batch_output_csv",
+          "live_triage_stream", "log_compaction", "log_by_source", "upload_csv_roundtrip", "split_dataset", "batch_output_csv",
           "predictions_parquet", "temperatures_json"}
 
 
