@@ -41,6 +41,11 @@ def label_dim(spark: SparkSession, labels, descriptions=None, name: str = "label
     return spark.createDataFrame(rows, f"ordinal INT, {name} STRING, description STRING")
 
 
+def level_names(rubric=None) -> list[str]:
+    """Display names ``i:name`` of ordinal levels, the name being what stands before the colon (P5)."""
+    return [f"{i}:{line.split(':')[0]}" for i, line in enumerate(URGENCY_RUBRIC if rubric is None else rubric)]
+
+
 def map_queue_to_department(df: DataFrame, spark: SparkSession, queue_col: str = "queue",
                             departments=None) -> DataFrame:
     """Keep rows whose queue is a department; others (dropped queues,

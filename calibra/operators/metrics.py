@@ -7,7 +7,7 @@ from the label list, bounded by configuration) left-joined to the counts.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,15 +21,18 @@ def accuracy(df: DataFrame, truth: str, pred: str, out: str = "accuracy") -> Dat
                              F.lit(0.0)).alias(out))
 
 
-def urgency_metrics(df: DataFrame, truth: str = "true_urgency", pred: str = "cal_urgency") -> DataFrame:
-    """Exact accuracy and within-one-level share (``abs`` difference, C12), one pass."""
+def urgency_hits(truth: str, pred: str):
+    """Equal levels, and levels at most one apart (``abs`` difference, C12); NULL equals NULL alone, as in accuracy."""
     t, p = F.col(truth).cast("int"), F.col(pred).cast("int")
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.avg((t == p).cast("int").cast("double")), F.lit(0.0)).alias("accuracy"),
-        F.coalesce(F.avg((F.abs(t - p) <= 1).cast("int").cast("double")),
-                   F.lit(0.0)).alias("within_one_level"),
-    )
+    same = t.eqNullSafe(p)
+    return same, same | F.coalesce(F.abs(t - p) <= 1, F.lit(False))
+
+
+def urgency_metrics(df: DataFrame, truth: str = "true_urgency", pred: str = "cal_urgency") -> DataFrame:
+    """Exact accuracy and within-one-level share, one pass."""
+    same, near = urgency_hits(truth, pred)
+    share = lambda c: F.coalesce(F.avg(c.cast("int").cast("double")), F.lit(0.0))
+    return df.agg(F.count(F.lit(1)).alias("n"), share(same).alias("accuracy"), share(near).alias("within_one_level"))
 
 
 def _grid(spark: SparkSession, labels, truth_name: str, pred_name: str, dtype: str) -> DataFrame:
@@ -99,12 +102,13 @@ def recall_table(df: DataFrame, labels, truth: str, pred: str, label_name: str =
 
 def latency_metrics(df: DataFrame, total_seconds) -> DataFrame:
     """Tickets, total seconds, ms per ticket (divisor max(1, n)), tickets per
-    second (0 when no time was measured) (A9)."""
-    secs = F.lit(float(total_seconds))
-    n1 = F.greatest(F.col("tickets"), F.lit(1)).cast("double")
-    return df.agg(F.count(F.lit(1)).alias("tickets")).select(
+    second (0 when no time was measured) (A9). ``total_seconds`` is a measured
+    number or an aggregate over the rows (say, of their times)."""
+    total = F.coalesce(total_seconds, F.lit(0.0)) if isinstance(total_seconds, Column) else F.lit(float(total_seconds))
+    secs, n1 = F.col("total_seconds"), F.greatest(F.col("tickets"), F.lit(1)).cast("double")
+    return df.agg(F.count(F.lit(1)).alias("tickets"), total.alias("total_seconds")).select(
         "tickets",
-        secs.alias("total_seconds"),
+        "total_seconds",
         (secs / n1 * 1000.0).alias("ms_per_ticket"),
         F.when(secs != 0.0, n1 / secs).otherwise(F.lit(0.0)).alias("tickets_per_second"),
     )
@@ -120,8 +124,7 @@ def evaluation_rollup(pred: DataFrame) -> DataFrame:
     s = pred.agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(okd).alias("ok"),
-        F.sum((F.col("cal_urgency").cast("int") == F.col("true_urgency").cast("int")).cast("int"))
-        .alias("urg_ok"),
+        F.sum(urgency_hits("true_urgency", "cal_urgency")[0].cast("int")).alias("urg_ok"),
         F.count_if(auto).alias("auto_n"),
         F.sum(F.when(auto, okd)).alias("auto_ok"),
         F.count_if(esc).alias("esc_n"),

@@ -34,7 +34,6 @@ from calibra.session import fresh_path, materialize
 E_TEMPERATURE = 2.0          # temperature applied to the events head in scaling queries
 E_SHARPEN = 0.5              # a sharpening temperature for the events head
 O_TEMPERATURE = 3.68         # temperature applied to the orders (ordinal) head
-LATENCY_SECONDS = 60.0       # a given elapsed time; the arithmetic is the feature, nothing is measured
 CASES_N = 6
 HEAD_N = 50
 LOG_RECENT_N = 10
@@ -49,6 +48,16 @@ def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+class OneByOne:
+    """A user model without a batch call."""
+
+    def __init__(self):
+        self.model = LexicalModel()
+
+    def predict(self, state: dict, spec: QuestionSpec) -> dict:
+        return self.model.predict(state, spec)
+
+
 # ---------------------------------------------------------------------------
 # Shared frames
 # ---------------------------------------------------------------------------
@@ -227,8 +236,10 @@ def q_confident_disagreements(spark, sf):
 
 
 def q_latency_arithmetic(spark, sf):
-    m = metrics.latency_metrics(fx.events_scored(spark, sf), LATENCY_SECONDS)
-    return m.select("tickets", "total_seconds", r6("ms_per_ticket").alias("ms_per_ticket"),
+    """A9 over the events, whose own times say how long they took."""
+    took = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).cast("double") / 1e6
+    m = metrics.latency_metrics(fx.events_scored(spark, sf), took)
+    return m.select("tickets", r6("total_seconds").alias("total_seconds"), r6("ms_per_ticket").alias("ms_per_ticket"),
                     r6("tickets_per_second").alias("tickets_per_second"))
 
 
@@ -364,22 +375,27 @@ def q_evaluation_rollup(spark, sf):
 
 
 def q_metrics_report(spark, sf):
-    """Long-format (section, key, value) report of the ticket evaluation."""
-    p = ticket_predictions(spark, sf)
-    g = gating_metrics(p, 0.85)
-    u = metrics.urgency_metrics(p)
-    a = metrics.accuracy(p, "true_department", "cal_department")
-    lat = metrics.latency_metrics(p, LATENCY_SECONDS)
+    """All figures of the ticket evaluation that do not depend on the clock."""
+    r = q_measured_report(spark, sf)
+    return r.where((F.col("section") != "latency") | (F.col("key") == "tickets")).select("section", "key", r6("value").alias("value"))
+
+
+def q_measured_report(spark, sf):
+    """S13 with A9 and U5: the whole report, its times measured."""
+    return jobs.evaluation_report(tickets(spark, sf), ticket_spec())
 
-    def stack(df, section):
-        cols = [c for c in df.columns]
-        return df.select(F.explode(F.array(*[
-            F.struct(F.lit(section).alias("section"), F.lit(c).alias("key"),
-                     F.col(c).cast("double").alias("value")) for c in cols])).alias("r")).select("r.*")
 
-    out = (stack(a, "department").unionByName(stack(u, "urgency")).unionByName(stack(g, "gating"))
-           .unionByName(stack(lat, "latency")))
-    return out.select("section", "key", r6("value").alias("value"))
+def q_scoring_time(spark, sf):
+    """Rows and time of both scorers, and whether the measured times fit the driver's clock."""
+    out, texts = [], read_table(spark, sf, "documents").select(F.col("doc_id").alias("ticket_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    truth = texts.withColumns({"department": F.lit(None).cast("string"), "urgency_score": F.lit(None).cast("int")})
+    for name, scorer in (("lexical", "lexical"), ("model", OneByOne)):
+        recs, took = jobs.score_split(truth, ticket_spec(), scorer, ("ticket_id",))
+        rows = recs.agg(F.count(F.lit(1)).alias("tickets"), F.count_if(F.col("scoring_seconds") > 0).alias("timed")).withColumns({
+            "scorer": F.lit(name), "within_clock": F.lit(0 < took.busy_seconds <= took.seconds * cores)})
+        out.append(rows)
+    return out[0].unionByName(out[1])
 
 
 def q_decision_log_backfill(spark, sf):
@@ -599,6 +615,8 @@ QUERIES = {
     "ticket_predictions": q_ticket_predictions,
     "evaluation_rollup": q_evaluation_rollup,
     "metrics_report": q_metrics_report,
+    "measured_report": q_measured_report,
+    "scoring_time": q_scoring_time,
     "correctness_flags": q_correctness_flags,
     "decision_log_backfill": q_decision_log_backfill,
     "log_by_decision": q_log_by_decision,

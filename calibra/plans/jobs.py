@@ -7,9 +7,11 @@ aggregates read the calibrated rows.
 """
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from calibra.functions import dist
@@ -18,7 +20,8 @@ from calibra.operators import calibrate as cal
 from calibra.operators.gate import add_gate
 from calibra.operators.labels import urgency_class_name
 from calibra.operators.questions import QuestionSpec
-from calibra.operators.score import lexical_score, score_with_model
+from calibra.operators.report import report
+from calibra.operators.score import lexical_score, score_with_model, timed_lexical_score
 from calibra.session import materialize
 from calibra.sources.predictions import write_predictions
 
@@ -27,15 +30,35 @@ URG = ("urgency_labels", "urgency_probs")
 
 
 def score(df: DataFrame, spec: QuestionSpec, scorer="lexical", text_col: str = "text",
-          batch_size: int = 8, **kw) -> DataFrame:
-    """Adds ``answers``/``routing`` with the native scorer or a user model."""
+          batch_size: int = 8, timed: bool = False, **kw) -> DataFrame:
+    """Adds ``answers``/``routing`` with the native scorer or a user model; ``timed`` adds ``scoring_seconds``, measured per row."""
     if scorer == "lexical":
-        return lexical_score(df, spec, text_col, **kw)
+        return (timed_lexical_score if timed else lexical_score)(df, spec, text_col, **kw)
     if callable(scorer):
-        return score_with_model(df, scorer, spec, text_col, batch_size)
+        return score_with_model(df, scorer, spec, text_col, batch_size, timed)
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
+@dataclass(frozen=True)
+class Elapsed:
+    """Measured time of a scoring job."""
+
+    tickets: int
+    seconds: float          # of the sink action that scored and stored the records, by the driver's clock
+    busy_seconds: float     # of the scorer, summed over all rows and tasks, carried by an Observation
+
+
+def score_split(df: DataFrame, spec: QuestionSpec, scorer="lexical", keep=()) -> tuple[DataFrame, Elapsed]:
+    """Score a whole split, store its records, and say how long that took (U5): one job."""
+    seen = Observation("scoring")
+    timed = records(score(df, spec, scorer, timed=True), (*keep, "scoring_seconds")).observe(
+        seen, F.count(F.lit(1)).alias("tickets"), F.coalesce(F.sum("scoring_seconds"), F.lit(0.0)).alias("busy"))
+    begun = time.perf_counter()
+    stored = materialize(timed)
+    seconds = time.perf_counter() - begun
+    return stored, Elapsed(int(seen.get["tickets"]), seconds, float(seen.get["busy"]))
+
+
 def records(scored: DataFrame, keep=()) -> DataFrame:
     """Flat record per ticket, truth kept in the same row.
 
@@ -91,26 +114,50 @@ def evaluate(tickets: DataFrame, spec: QuestionSpec, scorer="lexical", temps=Non
     ``urgency_score`` and a ``split``; ``cal`` is the one bounded sample.
     With ``temps`` nothing is fitted. With ``path`` the predictions are stored.
     """
-    recs = materialize(records(score(tickets, spec, scorer), keep))
+    return evaluate_timed(tickets, spec, scorer, temps, path, keep, threshold)[0].drop("scoring_seconds")
+
+
+def evaluate_timed(tickets: DataFrame, spec: QuestionSpec, scorer="lexical", temps=None, path: str | None = None,
+                   keep=("ticket_id", "split"), threshold=dist.DEFAULT_THRESHOLD) -> tuple[DataFrame, Elapsed, dict]:
+    """:func:`evaluate` with the measured time of the scoring and the temperatures used."""
+    recs, elapsed = score_split(tickets, spec, scorer, keep)
     in_cal = F.coalesce(F.col("split") == "cal", F.lit(False))
     if temps is None:
-        temps = temperatures_dict(fit_job(recs.where(in_cal)))
+        temps = temperatures_dict(fit_job(recs.where(in_cal), len(spec["department"].options), len(spec["urgency"].options)))
     out = calibrated(recs.where(~in_cal), temps, threshold, len(spec["department"].options), len(spec["urgency"].options))
     if path:
-        write_predictions(out, path)
-    return out
+        write_predictions(out.drop("scoring_seconds"), path)
+    return out, elapsed, temps
+
+
+def evaluation_report(tickets: DataFrame, spec: QuestionSpec, scorer="lexical", temps=None,
+                      threshold: float = dist.DEFAULT_THRESHOLD) -> DataFrame:
+    """Score, fit, calibrate, gate and report, with measured times and the run's metadata.
+
+    The scoring job's time is that of all scored tickets; the report has the share of those evaluated, by their number.
+    """
+    out, elapsed, used = evaluate_timed(tickets, spec, scorer, temps, threshold=threshold)
+    labels = spec["department"].labels
+    own = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("scoring_seconds"), F.lit(0.0)).alias("busy")).first()
+    meta = {"n_test": own["n"], "departments": len(labels), **{f"t_{q}": used.get(q, 1.0) for q in ("department", "urgency")}}
+    return report(out, labels, threshold=threshold, seconds=elapsed.seconds * own["n"] / max(1, elapsed.tickets),
+                  busy_seconds=own["busy"], meta=meta)
 
 
 def triage(spec: QuestionSpec, scorer="lexical", temps=None,
-           threshold=dist.DEFAULT_THRESHOLD, text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """``df.transform(triage(...))``: score, calibrate, classify, gate.
+           threshold=dist.DEFAULT_THRESHOLD, text_col: str = "text", timed: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """``df.transform(triage(...))``: score, calibrate, classify, gate (U10); ``timed`` adds ``latency_ms``, the row's measured
+    time in the scorer.
 
     Urgency class from the raw expected value (one rule everywhere);
     confidence from the scaled distribution.
     """
     def run(df: DataFrame) -> DataFrame:
         a = F.col("answers")
-        scored = score(df, spec, scorer, text_col).select(
+        scored = score(df, spec, scorer, text_col, timed=timed)
+        if timed:
+            scored = scored.withColumn("latency_ms", F.col("scoring_seconds") * 1000.0).drop("scoring_seconds")
+        scored = scored.select(
             "*",
             a["department"]["labels"].alias(DEPT[0]), a["department"]["probs"].alias(DEPT[1]),
             a["urgency"]["labels"].alias(URG[0]), a["urgency"]["probs"].alias(URG[1]),

@@ -462,11 +462,11 @@ SELECT event_id, cal_department, true_department, {r6('cal_department_confidence
 WHERE cal_department IS DISTINCT FROM true_department AND cal_department_confidence >= 0.6::DOUBLE
 ORDER BY cal_department_confidence DESC, event_id LIMIT {cat.CASES_N}""",
 
-    "latency_arithmetic": with_ctes(E_CTE) + f"""
-SELECT count(*) AS tickets, {_d(cat.LATENCY_SECONDS)} AS total_seconds,
-       round({_d(cat.LATENCY_SECONDS)} / greatest(count(*), 1)::DOUBLE * 1000.0::DOUBLE, 6) AS ms_per_ticket,
-       round(greatest(count(*), 1)::DOUBLE / {_d(cat.LATENCY_SECONDS)}, 6) AS tickets_per_second
-FROM E""",
+    "latency_arithmetic": """
+WITH L AS (SELECT count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6 AS s FROM events)
+SELECT n AS tickets, round(s, 6) AS total_seconds, round(s / greatest(n, 1)::DOUBLE * 1000.0::DOUBLE, 6) AS ms_per_ticket,
+       round(greatest(n, 1)::DOUBLE / s, 6) AS tickets_per_second
+FROM L""",
 
     "stratified_split": with_ctes(E_CTE, S_EVENTS) + "SELECT event_id, truth, split FROM ES",
 
@@ -577,7 +577,16 @@ ORACLE_SQL["metrics_report"] = TICKETS + f"""
                count(*) FILTER (WHERE NOT coalesce(cal_department_confidence >= 0.85::DOUBLE, false)
                                 AND true_department IS NOT DISTINCT FROM cal_department) AS esc_ok
         FROM TPRED),
+D AS (SELECT unnest({DEPTS}) AS d),
+V AS (SELECT unnest([0, 1, 2]) AS v, unnest(['0:low', '1:medium', '2:high']) AS name),
 L AS (SELECT 'department' AS section, 'accuracy' AS key, acc AS value FROM A
+      UNION ALL SELECT 'department', 'support:' || d, (SELECT count(*) FROM TPRED WHERE true_department = d)::DOUBLE FROM D
+      UNION ALL SELECT 'department', 'recall:' || d, coalesce((SELECT avg((cal_department IS NOT DISTINCT FROM d)::INTEGER::DOUBLE)
+                       FROM TPRED WHERE true_department = d), 0.0) FROM D
+      UNION ALL SELECT 'department', 'confusion:' || a.d || '|' || b.d,
+                       (SELECT count(*) FROM TPRED WHERE true_department = a.d AND cal_department = b.d)::DOUBLE FROM D a, D b
+      UNION ALL SELECT 'urgency', 'confusion:' || a.name || '|' || b.name,
+                       (SELECT count(*) FROM TPRED WHERE true_urgency = a.v AND cal_urgency = b.v)::DOUBLE FROM V a, V b
       UNION ALL SELECT 'urgency', 'n', n::DOUBLE FROM A
       UNION ALL SELECT 'urgency', 'accuracy', uacc FROM A
       UNION ALL SELECT 'urgency', 'within_one_level', w1 FROM A
@@ -590,11 +599,15 @@ L AS (SELECT 'department' AS section, 'accuracy' AS key, acc AS value FROM A
       UNION ALL SELECT 'gating', 'escalate_accuracy', {_pct_ratio('esc_ok', 'n - auto_n')} FROM A
       UNION ALL SELECT 'gating', 'overall_accuracy', {_pct_ratio('auto_ok + esc_ok', 'n')} FROM A
       UNION ALL SELECT 'latency', 'tickets', n::DOUBLE FROM A
-      UNION ALL SELECT 'latency', 'total_seconds', {_d(cat.LATENCY_SECONDS)} FROM A
-      UNION ALL SELECT 'latency', 'ms_per_ticket', {_d(cat.LATENCY_SECONDS)} / greatest(n, 1)::DOUBLE * 1000.0::DOUBLE FROM A
-      UNION ALL SELECT 'latency', 'tickets_per_second', greatest(n, 1)::DOUBLE / {_d(cat.LATENCY_SECONDS)} FROM A)
+      UNION ALL SELECT 'meta', 'n_test', n::DOUBLE FROM A
+      UNION ALL SELECT 'meta', 'departments', len({DEPTS})::DOUBLE FROM A
+      UNION ALL SELECT 'meta', 't_department', (SELECT temperature FROM department) FROM A
+      UNION ALL SELECT 'meta', 't_urgency', (SELECT temperature FROM urgency) FROM A)
 SELECT section, key, round(value, 6) AS value FROM L"""
 
+ORACLE_SQL["scoring_time"] = """
+SELECT s AS scorer, count(*) AS tickets, count(*) AS timed, true AS within_clock FROM documents, (VALUES ('lexical'), ('model')) v(s) GROUP BY s"""
+
 ORACLE_SQL["correctness_flags"] = TICKETS + """
 SELECT ticket_id,
        CASE WHEN true_department IS NOT NULL THEN (cal_department IS NOT DISTINCT FROM true_department)::INTEGER END
