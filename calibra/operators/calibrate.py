@@ -1,9 +1,11 @@
 """Temperature calibration: NLL, coarse-to-fine fit, and applying fitted T.
 
-Plan shape of the fit (per question): project each row once to
-``(lp = ln(max(p,1e-9)), lmax, lp_true, p_true)``, explode the grid inside
-the scan stage and partially aggregate, so each pass shuffles at most
-(#grid points) partial averages per input partition. The log-sum-exp is
+Plan shape of the fit: project each row once to
+``(lp = ln(max(p,1e-9)), lmax, lp_true, p_true)`` for every question, explode the
+grid inside the scan stage and partially aggregate, so each pass is one scan for
+all questions and shuffles at most (#questions x #grid points) partial averages
+per input partition. (Wide conditional sums instead of the explode take three
+times as long: 80 unrolled sums are too much code to compile.) The log-sum-exp is
 unrolled over the label count (a flat, code-generated expression, no lambda
 per (row, T)). Two passes: the 80-point coarse grid, then the 25-point fine
 grid around its winner; only the per-temperature averages (105 numbers,
@@ -95,40 +97,77 @@ def _tie_key(nll: float, stage: int, t: float):
     return (round(nll, NLL_TIE_DIGITS), stage, t)
 
 
-def fit_temperature(df: DataFrame, labels: str, probs: str, truth: str,
-                    question: str | None = None, n_labels: int | None = None) -> DataFrame:
-    """Coarse-to-fine NLL search for one temperature.
+def _head_inputs(df: DataFrame, heads: dict) -> DataFrame:
+    """NLL inputs of several questions on the same rows, one row for each question: a single scan, whatever their number."""
+    first, second = [], []
+    for i, (_, labels, probs, truth, n_labels) in enumerate(heads.values()):
+        lp = F.transform(F.col(probs), lambda x: dist.log_floor(x))
+        if n_labels:        # more labels than stated would be cut from the sum: refuse them
+            lp = F.when(F.size(probs) <= n_labels, lp).otherwise(F.raise_error(F.lit(f"distribution has more than {n_labels} labels")).cast("array<double>"))
+            lp = F.when(F.col(probs).isNotNull(), lp)
+        pos = dist.label_pos(labels, truth)
+        first += [lp.alias(f"lp{i}"), pos.alias(f"pos{i}"), dist.at(probs, pos).alias(f"p{i}")]
+    for i, question in enumerate(heads):
+        second.append(F.struct(F.lit(i).alias("head"), F.col(f"lp{i}").alias("lp"), F.array_max(f"lp{i}").alias("lmax"),
+                               dist.at(f"lp{i}", f"pos{i}").alias("lp_true"), F.col(f"p{i}").alias("p_true")))
+    return df.select(*first).select(F.explode(F.array(*second)).alias("h")).select("h.*")
+
+
+def _heads_nll(inputs: DataFrame, grids: dict[int, list[float]], n_labels: int) -> dict[int, list[tuple[float, float, int]]]:
+    """(t, nll, n) by question, each with its own literal grid, in one pass: a (question, t) group is an average of partial
+    averages. Labels are unpacked to scalars before the grid is exploded; a shorter head has nulls, which add nothing."""
+    grid = None
+    for i, values in grids.items():
+        own = F.array(*[F.lit(float(t)) for t in values if t > 0])
+        grid = F.when(F.col("head") == i, own) if grid is None else grid.when(F.col("head") == i, own)
+    lp = [F.get(F.col("lp"), F.lit(k)).alias(f"lp{k}") for k in range(n_labels)]
+    rows = (inputs.select("head", F.explode(grid).alias("t"), *lp, "lmax", "lp_true", "p_true").groupBy("head", "t")
+                  .agg(F.avg(nll_at(F.col("t"), n_labels)).alias("nll"), F.count(F.lit(1)).alias("n")).collect())
+    out: dict[int, list] = {i: [] for i in grids}
+    for r in rows:
+        out[r["head"]].append((r["t"], r["nll"], r["n"]))
+    return out
 
-    Returns one row: ``question, n, t_coarse, temperature, nll_best, nll_t1,
-    hit_ceiling``. Strictly lower NLL wins: among ties the coarse winner stays,
-    then the lowest T. Empty input -> T = 1.0 (no scaling). Runs two jobs.
+
+def fit_heads(df: DataFrame, heads: dict) -> list[tuple]:
+    """Coarse-to-fine NLL search (A11, A12) for all questions of the same rows: two scans in all.
+
+    Strictly lower NLL wins: among ties the coarse winner stays, then the lowest T. Empty input -> T = 1.0 (no scaling).
     """
-    spark = df.sparkSession
-    inputs = nll_inputs(df, labels, probs, truth)
-    k = n_labels if n_labels is not None else _n_labels(inputs)
-    coarse = [(r.t, r.nll, r.n) for r in _grid_nll(inputs, COARSE_GRID, k).collect()]
-    if not coarse:
-        return spark.createDataFrame([(question, 0, None, DEFAULT_TEMPERATURE, None, None, False)], FIT_SCHEMA)
-    t0, nll0, n = min(coarse, key=lambda r: _tie_key(r[1], 0, r[0]))
-    nll_t1 = next((v for t, v, _ in coarse if t == 1.0), None)
-    fine_grid = [round(t0 - 0.25 + 0.02 * i, 3) for i in range(FINE_STEPS)]
-    fine = [(r.t, r.nll) for r in _grid_nll(inputs, fine_grid, k).collect()]
-    best = min([(_tie_key(nll0, 0, t0), t0, nll0)] + [(_tie_key(v, 1, t), t, v) for t, v in fine])
-    _, t_best, nll_best = best
-    return spark.createDataFrame(
-        [(question, int(n), float(t0), float(t_best), float(nll_best), nll_t1, t_best >= GRID_CEILING - 0.25)],
-        FIT_SCHEMA)
+    inputs = _head_inputs(df, heads)
+    known = [h[4] for h in heads.values()]
+    n_labels = max(known) if all(known) else max(_n_labels(inputs), 1)
+    coarse = _heads_nll(inputs, {i: COARSE_GRID for i in range(len(heads))}, n_labels)
+    start = {i: min(found, key=lambda r: _tie_key(r[1], 0, r[0])) for i, found in coarse.items() if found}
+    fine = _heads_nll(inputs, {i: [round(t0 - 0.25 + 0.02 * k, 3) for k in range(FINE_STEPS)] for i, (t0, _, _) in start.items()},
+                      n_labels) if start else {}
+    out = []
+    for i, question in enumerate(heads):
+        if i not in start:
+            out.append((question, 0, None, DEFAULT_TEMPERATURE, None, None, False))
+            continue
+        t0, nll0, n = start[i]
+        nll_t1 = next((v for t, v, _ in coarse[i] if t == 1.0), None)
+        _, t_best, nll_best = min([(_tie_key(nll0, 0, t0), t0, nll0)] + [(_tie_key(v, 1, t), t, v) for t, v, _ in fine[i]])
+        out.append((question, int(n), float(t0), float(t_best), float(nll_best), nll_t1, t_best >= GRID_CEILING - 0.25))
+    return out
+
+
+def fit_temperature(df: DataFrame, labels: str, probs: str, truth: str,
+                    question: str | None = None, n_labels: int | None = None) -> DataFrame:
+    """:func:`fit_heads` for one question. One row: ``question, n, t_coarse, temperature, nll_best, nll_t1, hit_ceiling``."""
+    return df.sparkSession.createDataFrame(fit_heads(df, {question: (df, labels, probs, truth, n_labels)}), FIT_SCHEMA)
 
 
 def fit_temperatures(heads: dict) -> DataFrame:
-    """One row per question: ``{question: (df, labels, probs, truth[, n_labels])}``."""
-    out = None
-    for q, spec in heads.items():
-        df, labels, probs, truth = spec[:4]
-        n_labels = spec[4] if len(spec) > 4 else None
-        r = fit_temperature(df, labels, probs, truth, question=q, n_labels=n_labels)
-        out = r if out is None else out.unionByName(r)
-    return out
+    """One row per question: ``{question: (df, labels, probs, truth[, n_labels])}`` (U13). Questions on the same DataFrame share
+    their two scans."""
+    groups: dict[int, dict] = {}
+    for question, spec in heads.items():
+        groups.setdefault(id(spec[0]), {})[question] = (*spec[:4], spec[4] if len(spec) > 4 else None)
+    rows = {r[0]: r for group in groups.values() for r in fit_heads(next(iter(group.values()))[0], group)}
+    spark = next(iter(heads.values()))[0].sparkSession
+    return spark.createDataFrame([rows[q] for q in heads], FIT_SCHEMA)
 
 
 def temperature_of(temps, question: str) -> Column:

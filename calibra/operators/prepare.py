@@ -1,12 +1,10 @@
 """Ticket preparation: language filter, cleaning, label mapping, splitting.
 
-The exact stratified split never ranks a whole stratum in one task. Rows are
-hashed (``md5(seed|id)``) into 4096 buckets per stratum; a tiny
-(strata x buckets) count table gives, per bucket, the number of stratum rows
-in earlier buckets; the rank is that offset plus a ``row_number`` within
-(stratum, bucket). That equals the rank over the whole stratum ordered by
-(hash, id), while the window partitions stay ~n/4096 rows even when one
-stratum holds most of the data.
+The exact stratified split decides almost every row where it is read. Rows are
+hashed (``md5(seed|id)``) into 4096 buckets per stratum; a small
+(strata x buckets) count table gives the bucket in which each split ends. Rows of
+other buckets need no rank; those of the few boundary buckets are ranked by
+``row_number`` within (stratum, bucket) after the rows of the buckets before.
 """
 from __future__ import annotations
 
@@ -58,6 +56,29 @@ def split_hash(id_col: str, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
+def split_bounds(keyed: DataFrame, stratum_col: str, sizes: dict) -> DataFrame:
+    """One row per stratum: for each split the last rank it takes, the bucket where that rank lies, and whether the bucket
+    ends with it (then no row of it needs a rank)."""
+    total_size = sum(sizes.values())
+    counts = keyed.groupBy(stratum_col, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    n_total = counts.agg(F.coalesce(F.sum("_nb"), F.lit(0))).scalar()
+    denom = F.greatest(n_total, F.lit(total_size)).cast("double")
+    upto = Window.partitionBy(stratum_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.select(
+        F.col(stratum_col).alias("_s"), "_b", "_nb", F.sum("_nb").over(upto).alias("_upto"),
+        F.sum("_nb").over(Window.partitionBy(stratum_col)).alias("_ns"))
+    out, cum = [], 0
+    for i, size in enumerate(sizes.values()):
+        cum += size
+        bound = F.round((F.col("_ns") * F.lit(cum)).cast("double") / denom, 0).cast("bigint")
+        inside = F.col("_upto") >= bound
+        out += [F.max(bound).alias(f"_rank{i}"),
+                F.min(F.when(inside, F.col("_b"))).alias(f"_bucket{i}"),
+                F.min(F.when(inside, F.struct("_b", (F.col("_upto") == bound).alias("whole")))).alias(f"_end{i}"),
+                F.min(F.when(inside, F.struct("_b", (F.col("_upto") - F.col("_nb")).alias("before")))).alias(f"_before{i}")]
+    return running.groupBy("_s").agg(*out)
+
+
 def stratified_split(df: DataFrame, id_col: str, stratum_col: str, sizes: dict | None = None,
                      seed: int = SPLIT_SEED, out: str = "split") -> DataFrame:
     """Exact, seeded, stratified split.
@@ -68,32 +89,33 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, sizes: dict |
     the stratum, shrunk proportionally when the table is smaller than the
     requested total. Remaining rows get ``'unused'``. A NULL stratum is a
     stratum of its own; NULL ids are ranked like an empty one. No row is lost.
+
+    The rows are neither shuffled nor sorted: counts by (stratum, hash bucket) tell
+    for each split the bucket where it ends (a row per stratum, joined back), so
+    a row's bucket decides its split in the scan. Only rows of those boundary
+    buckets, one of 4096 a split and stratum, are ranked.
     """
     sizes = dict(sizes or SPLIT_SIZES)
-    total_size = sum(sizes.values())
-    h = split_hash(id_col, seed)
-    keyed = (df.withColumn("_h", h)
+    keyed = (df.withColumn("_h", split_hash(id_col, seed))
                .withColumn("_b", F.conv(F.substring("_h", 1, HASH_BUCKET_HEX), 16, 10).cast("int")))
-    counts = keyed.groupBy(stratum_col, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    n_total = counts.agg(F.coalesce(F.sum("_nb"), F.lit(0))).scalar()
-    before = Window.partitionBy(stratum_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(stratum_col).alias("_s"), F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_before"),
-        F.sum("_nb").over(Window.partitionBy(stratum_col)).alias("_ns"))
+    bounds = split_bounds(keyed, stratum_col, sizes)
+    marked = keyed.join(bounds, F.col(stratum_col).eqNullSafe(F.col("_s")), "inner")
+    boundary = F.lit(False)
+    for i in range(len(sizes)):
+        boundary = boundary | (F.coalesce(F.col("_b") == F.col(f"_bucket{i}"), F.lit(False)) & ~F.col(f"_end{i}.whole"))
+    marked = marked.withColumn("_open", boundary)
+    by_bucket = by_rank = None
+    for i, name in enumerate(sizes):
+        in_bucket, in_rank = F.col("_b") <= F.col(f"_bucket{i}"), F.col("_rank") <= F.col(f"_rank{i}")
+        in_bucket = in_bucket & (F.col(f"_rank{i}") > 0)
+        by_bucket = F.when(in_bucket, F.lit(name)) if by_bucket is None else by_bucket.when(in_bucket, F.lit(name))
+        by_rank = F.when(in_rank, F.lit(name)) if by_rank is None else by_rank.when(in_rank, F.lit(name))
+    before = F.coalesce(*[F.when(F.col("_b") == F.col(f"_bucket{i}"), F.col(f"_before{i}.before")) for i in range(len(sizes))])
     within = Window.partitionBy(stratum_col, "_b").orderBy("_h", id_col)
-    ranked = (keyed.join(offsets, F.col(stratum_col).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_ob")), "inner")
-                   .withColumn("_rank", F.col("_before") + F.row_number().over(within)))
-    denom = F.greatest(n_total, F.lit(total_size)).cast("double")
-    assign = None
-    cum = 0
-    for name, size in sizes.items():
-        cum += size
-        bound = F.round((F.col("_ns") * F.lit(cum)).cast("double") / denom, 0)
-        assign = (F.when(F.col("_rank") <= bound, F.lit(name)) if assign is None
-                  else assign.when(F.col("_rank") <= bound, F.lit(name)))
-    assign = assign.otherwise(F.lit(UNUSED))
-    return ranked.withColumn(out, assign).drop("_h", "_b", "_s", "_ob", "_before", "_ns", "_rank")
+    columns = [F.col(c) for c in df.columns]
+    sure = marked.where(~F.col("_open")).select(*columns, by_bucket.otherwise(F.lit(UNUSED)).alias(out))
+    ranked = marked.where("_open").withColumn("_rank", before + F.row_number().over(within))
+    return sure.unionByName(ranked.select(*columns, by_rank.otherwise(F.lit(UNUSED)).alias(out)))
 
 
 def fraction_split(df: DataFrame, id_col: str, fractions: dict, seed: int = SPLIT_SEED,

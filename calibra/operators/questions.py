@@ -21,17 +21,16 @@ class Option:
     words: tuple[str, ...] = ()
 
     def criteria(self) -> tuple[str, ...]:
-        """Criteria words: explicit, else the words of the description."""
+        """Criteria: explicit words or word sequences, else the words of the description."""
         if self.words:
             return tuple(w.lower() for w in self.words)
-        return tuple(w for w in re.split(r"[^a-z]+", self.description.lower()) if w)
+        return tuple(w for w in re.split(r"[\W\d_]+", self.description.lower()) if w)
 
 
 @dataclass(frozen=True)
 class Question:
     name: str
     type: str
-    instructions: str = ""
     options: tuple[Option, ...] = ()
     cues: tuple[str, ...] = ()          # noul: words that raise the probability
     bias: float = -2.0                  # noul: logistic intercept
@@ -65,11 +64,6 @@ class QuestionSpec:
         return [q.name for q in self.questions]
 
 
-# Which answers are compared with ground truth vs. kept as signals only.
-SCORED_QUESTIONS = ("department", "urgency")
-DEMO_QUESTIONS = ("churn_risk", "refund_requested")
-
-
 def build_questions(department_words: dict | None = None, urgency_words=None,
                     churn_cues=(), refund_cues=()) -> QuestionSpec:
     """The triage spec: 8-way department choice, 3-level urgency score, two
@@ -79,13 +73,11 @@ def build_questions(department_words: dict | None = None, urgency_words=None,
     urg = tuple(Option(line.split(":")[0], line, tuple(urgency_words[i]) if urgency_words else ())
                 for i, line in enumerate(URGENCY_RUBRIC))
     return QuestionSpec((
-        Question("department", "choice", "Pick the team that owns the request.", dept),
-        Question("urgency", "score", "Grade the time pressure of the request.", urg),
+        Question("department", "choice", dept),
+        Question("urgency", "score", urg),
         Question("churn_risk", "noul",
-                 "Is the customer about to walk away?",
                  cues=tuple(churn_cues) or ("cancel", "leave", "dissatisfied")),
         Question("refund_requested", "noul",
-                 "Is money or goods to be given back?",
                  cues=tuple(refund_cues) or ("refund", "return", "money")),
     ))
 
@@ -93,17 +85,17 @@ def build_questions(department_words: dict | None = None, urgency_words=None,
 def triage_preset() -> QuestionSpec:
     """A second, generic spec run beside the triage spec."""
     return QuestionSpec((
-        Question("sentiment", "choice", "What is the customer's sentiment?",
+        Question("sentiment", "choice",
                  (Option("negative", "angry upset bad problem"),
                   Option("neutral", "question information request"),
                   Option("positive", "thanks great happy"))),
-        Question("priority", "score", "How soon does this need a reply?",
+        Question("priority", "score",
                  (Option("later", "whenever later"), Option("today", "today soon"),
                   Option("now", "now immediately asap"))),
-        Question("needs_reply", "noul", "Does the message need a reply?", cues=("please", "help", "how")),
+        Question("needs_reply", "noul", cues=("please", "help", "how")),
     ))
 
 
 def spec_from_options(name: str, options: dict, qtype: str = "choice") -> QuestionSpec:
     """One-question spec from ``{label: [criteria words]}``."""
-    return QuestionSpec((Question(name, qtype, "", tuple(Option(k, "", tuple(v)) for k, v in options.items())),))
+    return QuestionSpec((Question(name, qtype, tuple(Option(k, "", tuple(v)) for k, v in options.items())),))

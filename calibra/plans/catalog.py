@@ -38,6 +38,7 @@ CASES_N = 6
 HEAD_N = 50
 LOG_RECENT_N = 10
 LOG_APPENDS = 5
+UNICODE_OPTIONS = {"marked": ["FÜR", "é", "ción"], "folded": ["SS", "ä"], "sequence": ["of-the", "In The", "in-der"]}
 LIVE_TEMPERATURES = {"department": 0.5, "urgency": 3.68}
 LIVE_THRESHOLD = 0.6
 LOG_CREATED_AT = "2024-01-01 00:00:00"
@@ -320,6 +321,14 @@ def q_lexical_choice_scores(spark, sf):
                       for i, k in enumerate(fx.QUERY_OPTIONS)])
 
 
+def q_unicode_criteria(spark, sf):
+    """Words with marks, a folded sharp s, and hyphenated criteria that match as token sequences."""
+    s = lexical_score(read_table(spark, sf, "documents").select("doc_id", "text"), spec_from_options("q", UNICODE_OPTIONS))
+    a = F.col("answers.q")
+    return s.select("doc_id", a["choice"].alias("choice"), *[r6(dist.at(a["probs"], F.lit(i + 1))).alias(f"p_{k}")
+                                                            for i, k in enumerate(UNICODE_OPTIONS)])
+
+
 def _ticket_doc_scores(spark, sf):
     return lexical_score(read_table(spark, sf, "documents").select("doc_id", "text"), ticket_spec())
 
@@ -606,6 +615,7 @@ QUERIES = {
     "label_mapping": q_label_mapping,
     "ticket_split": q_ticket_split,
     "lexical_choice_scores": q_lexical_choice_scores,
+    "unicode_criteria": q_unicode_criteria,
     "lexical_urgency_score": q_lexical_urgency_score,
     "noul_scores": q_noul_scores,
     "flat_answers": q_flat_answers,

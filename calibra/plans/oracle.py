@@ -205,8 +205,8 @@ def lexical_ctes(src: str, out: str, spec, text: str = "text") -> str:
     """Scores every question of ``spec`` into columns ``{q}_p`` (probs),
     ``{q}_ev`` (score questions) or ``{q}_n`` (noul)."""
     parts = [f"""
-{out}_t0 AS (SELECT *, regexp_split_to_array(lower(coalesce({text}, '')), '[^a-z]+') AS tok FROM {src}),
-{out}_t AS (SELECT *, len(list_filter(tok, lambda x: x <> '')) AS ntok FROM {out}_t0)"""]
+{out}_t0 AS (SELECT *, regexp_extract_all(lower(nfc_normalize(coalesce({text}, ''))), '[\\p{{L}}\\p{{M}}]+') AS tok FROM {src}),
+{out}_t AS (SELECT *, len(tok) AS ntok FROM {out}_t0)"""]
     prev = f"{out}_t"
     for q in spec.questions:
         nm = q.name
@@ -505,6 +505,16 @@ SELECT doc_id, {argmax(_lst(fx.QUERY_OPTIONS), 'q_p')} AS choice, {r6('list_max(
        {', '.join(f"{r6(f'q_p[{i + 1}]')} AS p_{k}" for i, k in enumerate(fx.QUERY_OPTIONS))}
 FROM QL""",
 
+    "unicode_criteria": with_ctes("""
+UT AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\\p{L}\\p{M}]+') AS tok FROM documents),
+UN AS (SELECT doc_id, greatest(len(tok), 1)::DOUBLE AS n,
+              len(list_filter(tok, lambda x: x IN ('für', 'é', 'ción')))::DOUBLE AS a, len(list_filter(tok, lambda x: x IN ('ss', 'ß', 'ä')))::DOUBLE AS b,
+              len(list_filter(range(1, len(tok)), lambda i: (tok[i] = 'of' AND tok[i + 1] = 'the') OR (tok[i] = 'in' AND tok[i + 1] IN ('the', 'der'))))::DOUBLE AS c
+       FROM UT),
+UR AS (SELECT doc_id, [a * 100.0 / n, b * 100.0 / n, c * 100.0 / n] AS r FROM UN)""", softmax_ctes("UR", "US", "r")) + """
+SELECT doc_id, ['marked', 'folded', 'sequence'][list_position(USp, list_max(USp))] AS choice, round(USp[1], 6) AS p_marked,
+       round(USp[2], 6) AS p_folded, round(USp[3], 6) AS p_sequence FROM US""",
+
     "lexical_urgency_score": with_ctes("\nDOC AS (SELECT doc_id, text FROM documents)", lexical_ctes("DOC", "DL", SPEC)) + f"""
 SELECT doc_id, {r6('urgency_ev')} AS score, {ordinal_class('urgency_ev', '3')} AS urgency_class,
        {r6(f"coalesce(urgency_p[{ordinal_class('urgency_ev', '3')} + 1], 0.0::DOUBLE)")} AS confidence
