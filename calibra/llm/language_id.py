@@ -108,7 +108,7 @@ class TextModel:
         """(rows x languages) log likelihoods and the number of trigrams of each row."""
         out = np.zeros((len(offs) - 1, len(self.langs) + 1))
         size = np.zeros(len(offs) - 1, np.int64)
-        for i, j in tb.doc_groups(offs):
+        for i, j in tb.doc_groups(offs, tb.SEGMENT // 2):
             o = offs[i:j + 1] - offs[i]
             code, counts = trigrams(b[offs[i]:offs[j]], o)
             seen = np.concatenate([[0], np.cumsum(counts)])

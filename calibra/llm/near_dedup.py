@@ -59,7 +59,7 @@ def required_overlap(k: int, similarity: float) -> int:
 def shingle_sets(ids, col, width: int):
     """Yields (row index, sorted distinct shingle hashes) for every row of an Arrow text column."""
     b, offs = tb.text_bytes(col)
-    for i, j in tb.doc_groups(offs):
+    for i, j in tb.doc_groups(offs, tb.SEGMENT // 2):
         _, starts, _, h, first = tb.words(b[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
         rolled = h.copy()
         for step in range(1, width):
