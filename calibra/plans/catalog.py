@@ -16,7 +16,7 @@ from calibra.operators import cases, metrics
 from calibra.operators.gate import add_gate, gating_metrics, threshold_sweep
 from calibra.operators.labels import (DEPARTMENT_NAMES, label_dim, priority_to_score,
                                       score_to_priority, urgency_class_name)
-from calibra.operators.prepare import prepare_tickets, split_overlap, stratified_split, head
+from calibra.operators.prepare import prepare_tickets, split_overlap, stratified_split, head, ticket_text
 from calibra.operators.questions import QuestionSpec, build_questions, spec_from_options, triage_preset
 from calibra.operators.score import LexicalModel, answer_lines, flatten_answers, lexical_score, score_with_model
 from calibra.plans import fixtures as fx
@@ -537,13 +537,21 @@ def q_log_by_source(spark, sf):
 
 
 def q_upload_csv_roundtrip(spark, sf):
-    """User messages written as CSV (multi-line cells), read back with
-    a chosen text column."""
+    """All turns written as CSV (multi-line cells), read back with a chosen text column."""
     path = fresh_path(spark, "upload-csv")
-    tk.csv_writer(user_messages(spark, sf)).csv(path)
-    back = tk.read_upload(spark, path, "text", ["conv_id", "turn", "text"])
+    columns = ["conv_id", "turn", "role", "text"]
+    tk.csv_writer(read_table(spark, sf, "conversations").select(*columns)).csv(path)
+    back = tk.read_upload(spark, path, "text", columns)
     return back.select(F.col("conv_id").cast("bigint").alias("conv_id"),
-                       F.col("turn").cast("bigint").alias("turn"), "text")
+                       F.col("turn").cast("bigint").alias("turn"), "role", "text")
+
+
+def q_raw_ticket_csv(spark, sf):
+    """Every raw ticket, labelled or not, through the pinned 7-column CSV; ``tags`` has a hash of the text that went in."""
+    path = fresh_path(spark, "raw-tickets")
+    raw = fx.raw_tickets(spark, sf).withColumns({"type": F.lit(None).cast("string"), "tags": F.md5(ticket_text())})
+    tk.csv_writer(raw.select("subject", "body", "queue", "priority", "language", "type", "tags")).csv(path)
+    return tk.read_raw_tickets(spark, path)
 
 
 def q_split_dataset(spark, sf):
@@ -644,6 +652,7 @@ QUERIES = {
     "run_metadata": q_run_metadata,
     "log_by_source": q_log_by_source,
     "upload_csv_roundtrip": q_upload_csv_roundtrip,
+    "raw_ticket_csv": q_raw_ticket_csv,
     "split_dataset": q_split_dataset,
     "batch_output_csv": q_batch_output_csv,
     "predictions_parquet": q_predictions_parquet,

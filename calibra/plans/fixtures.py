@@ -4,8 +4,8 @@
   (department-head stand-in), truth = ``event_type``.
 * ``O`` -- ``orders`` as an ordinal head: a 3-class distribution per order
   (urgency-head stand-in), truth from ``o_orderpriority``.
-* ``T`` -- ``documents`` joined to ``embeddings`` as raw support tickets with a
-  queue (from ``embeddings.label``) and a priority (from ``documents.source``).
+* ``T`` -- all ``documents`` as raw support tickets with a queue (from the label of
+  the embedding, NULL without one) and a priority (from ``documents.source``).
 
 Weights are integers so Spark and an SQL oracle agree to the last bit. Every
 projection is map-only except T's join, whose build side is the embeddings
@@ -118,7 +118,7 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     nl = F.instr(F.col("text"), "\n")
     src_num = F.regexp_extract(F.col("source"), r"(\d+)", 1).try_cast("int")
     return (
-        docs.join(emb, "doc_id", "inner")
+        docs.join(emb, "doc_id", "left")
         .select(
             F.col("doc_id").alias("ticket_id"),
             F.substring_index(F.col("text"), "\n", 1).alias("subject"),

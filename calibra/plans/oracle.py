@@ -169,7 +169,7 @@ traw AS (
          {QUEUE_NAMES}[e.label + 1] AS queue,
          ['low', 'medium', 'high'][TRY_CAST(regexp_extract(d.source, '(\\d+)', 1) AS INTEGER) % 3 + 1] AS priority,
          d.lang AS language
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
 tclean AS (
   SELECT ticket_id, trim(concat_ws(chr(10), subject, body)) AS text, queue, priority
   FROM traw WHERE language = 'en'),
@@ -718,7 +718,10 @@ SELECT count(*) AS total, count(*) FILTER (WHERE gate_decision = 'escalate_to_hu
 FROM LOG WHERE source = 'batch'"""
 
 ORACLE_SQL["upload_csv_roundtrip"] = """
-SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'"""
+SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations"""
+
+ORACLE_SQL["raw_ticket_csv"] = with_ctes(T_PREP_CTE) + """
+SELECT subject, body, queue, priority, language, NULL::VARCHAR AS type, md5(concat_ws(chr(10), subject, body)) AS tags FROM traw"""
 
 ORACLE_SQL["split_dataset"] = with_ctes(T_PREP_CTE, split_ctes("TP", "ticket_id", "department", "TS")) + """
 SELECT ticket_id, department, urgency_score FROM TS WHERE split = 'test'"""

@@ -11,7 +11,7 @@ from calibra.session import fresh_path
 from conftest import SF_SMALL
 
 WRITES = {"decision_log_backfill", "log_by_decision", "log_by_department", "log_counts", "log_recent",
-          "live_triage_stream", "log_compaction", "log_by_source", "upload_csv_roundtrip", "split_dataset", "batch_output_csv",
+          "live_triage_stream", "log_compaction", "log_by_source", "upload_csv_roundtrip", "raw_ticket_csv", "split_dataset", "batch_output_csv",
           "predictions_parquet", "temperatures_json"}
 
 
