@@ -190,7 +190,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     on_workers(spark)
     with open(a_path, encoding="utf-8") as fa, open(b_path, "rb") as fb:
         shared = spark.sparkContext.broadcast((fa.read(), fb.read()))
-    return cut(id_and_body(docs, id_col, text_col).mapInArrow(_align(shared), ALIGNED), "aligned")
+    return cut(id_and_body(docs, id_col, text_col).mapInArrow(_align(shared), ALIGNED), "aligned", codec="zstd")
 
 
 def block_pairs(aligned: DataFrame) -> DataFrame:

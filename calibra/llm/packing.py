@@ -224,5 +224,4 @@ def default_tokenizer() -> str:
 
 
 def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = cut(pack(table(spark, sf_dir, "documents"), default_tokenizer()), "pieces", codec="zstd")
-    return pieces.mapInArrow(_digests, PIECES.replace("ids array<int>", "ids_crc32 long"))
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer()).mapInArrow(_digests, PIECES.replace("ids array<int>", "ids_crc32 long"))

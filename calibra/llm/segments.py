@@ -22,6 +22,7 @@ import numpy as np
 from calibra.llm import textbytes as tb
 
 CACHED_IDS = 8_000_000
+JOINED = 1 << 14             # bytes of segments coded as one text
 CODED_AT_ONCE = 1 << 16      # bytes handed to a tokenizer in one call
 
 _WIDE_LEADS = np.zeros(256, dtype=bool)     # first bytes of three-byte characters among which white space is found
@@ -78,7 +79,8 @@ class Coder:
         """Whether the ids' bytes are those of the segment."""
         return True
 
-    def learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+    def coded(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some segments, where each segment's begin, how many they are, and whether their bytes are the segment's."""
         ids: list[list[int]] = []
         part, held = [], 0
         for x in raw:
@@ -92,8 +94,12 @@ class Coder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         new = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         good = np.fromiter(map(self.check, raw, ids), bool, len(ids)) if self.checked else np.ones(len(ids), bool)
+        return new, np.cumsum(sizes) - sizes, sizes, good
+
+    def learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        new, begin, sizes, good = self.coded(raw)
         slots = np.arange(len(keys)) + len(self.sizes)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.good = np.concatenate([self.good, good])
         self.flat = np.concatenate([self.flat, new])
@@ -158,6 +164,44 @@ class ByteLevel(Coder):
     def check(self, raw, ids):
         return b"".join([self.bytes[i] for i in ids]) == raw
 
+    def coded(self, raw):
+        """Segments that may follow each other are coded as one text of some kilobytes, and its ids are dealt out by their bytes;
+        where those are not the text's, one by one."""
+        if self.whole:
+            return super().coded(raw)
+        sizes, begin, good = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64), np.zeros(len(raw), bool)
+        alone, flats, total = [], [], 0
+        joined: list[list[int]] = [[]]
+        held = 0
+        for i, x in enumerate(raw):
+            if x[0] != 0x20 or len(x) < 2 or not 0x20 < x[-1] < 0x7F:
+                alone.append(i)
+                continue
+            joined[-1].append(i)
+            held += len(x)
+            if held >= JOINED:
+                joined.append([])
+                held = 0
+        for k in range(0, len(joined), CODED_AT_ONCE // JOINED):
+            some = [j for j in joined[k:k + CODED_AT_ONCE // JOINED] if j]
+            texts = [b"".join([raw[i] for i in j]) for j in some]
+            for j, text, ids in zip(some, texts, self.code(texts)):
+                ids = np.array(ids, np.int32)
+                token_ends, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(raw[i]) for i in j])
+                stop = np.searchsorted(token_ends, ends, side="right")
+                if not len(ids) or stop[0] == 0 or (token_ends[stop - 1] != ends).any() or b"".join([self.bytes[t] for t in ids.tolist()]) != text:
+                    alone += j
+                    continue
+                start = np.concatenate([[0], stop[:-1]])
+                begin[j], sizes[j], good[j] = total + start, stop - start, True
+                flats.append(ids)
+                total += len(ids)
+        if alone:
+            new, at, many, fine = super().coded([raw[i] for i in alone])
+            begin[alone], sizes[alone], good[alone] = total + at, many, fine
+            flats.append(new)
+        return np.concatenate(flats) if flats else np.zeros(0, np.int32), begin, sizes, good
+
 
 class PieceModel(Coder):
     """A sentencepiece model that sets a space before its input; segments begin with that space."""
