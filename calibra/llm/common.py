@@ -15,6 +15,22 @@ def cut(df: DataFrame, name: str, *sort: str, codec: str = "snappy") -> DataFram
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def cut_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A cut whose rows lie in buckets of ``key``, so that grouping by it needs no shuffle of them.
+
+    The rows are written where they are made (a bucket has a file from each task
+    that has rows of it). The catalog's entry is dropped at once; the files stay.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, f"llm-{name}")
+    entry = "llm_" + path.rsplit("/", 1)[1].replace("-", "_")
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    (df.write.format("parquet").option("path", path).option("compression", "uncompressed")
+     .bucketBy(max(1, min(buckets, most)), key).saveAsTable(entry))
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
 def on_workers(spark: SparkSession) -> None:
     """Python mappers import this package on the workers."""
     ship_package(spark)
