@@ -401,7 +401,10 @@ def reachable(block: dict, rows: dict, order: int, least: float) -> tuple[Automa
         pos, total, mass = rows[n]
         keys = auto.keys(words, last, begins, auto.opening(n - 2))
         own = keys[pos]
-        kept = np.flatnonzero((own >= 0) & ((n > 2) | (counts[own // len(counts)] >= least)))
+        good = own >= 0
+        if n == 2:
+            good &= counts[own // len(counts)] >= least
+        kept = np.flatnonzero(good)
         by = kept[np.argsort(own[kept])]
         auto.arcs.append(own[by])
         auto.counts.append(total[by].astype(np.float64))

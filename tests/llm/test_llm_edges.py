@@ -198,6 +198,17 @@ def test_lm_equals_a_plain_backoff_model(spark):
     assert got[held[0]]["score"] > got[held[0]]["base_score"] + 5
 
 
+def test_more_arcs_than_words(spark):
+    """Few words in all orders: a block has far more bigram arcs than words."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(list("abcdefghij"), 400))) for i in range(40)]
+    got = rows(lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert len(got) == 40 and all(math.isfinite(r["score"]) for r in got)
+    whole = {r["doc_id"]: r["score"] for r in got}
+    for r in rows(lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), block_tokens=900)):
+        assert r["score"] == pytest.approx(whole[r["doc_id"]], rel=1e-9)
+
+
 def test_automaton_sums_to_one():
     words = np.sort(np.array([lm.END.view(np.int64), 11, 22, 33]))
     auto = lm.Automaton(words, np.array([5.0, 9.0, 4.0, 2.0]))
