@@ -275,9 +275,9 @@ def keep_identified(docs: DataFrame, lang_col: str = "lang", source_col: str = "
     keys = _keys(F.col(source_col), F.col(lang_col), F.lit(None).cast("string"))
     narrow = docs.select(*keys, F.col(text_col).cast("binary").alias("body"), F.lit(False).alias("html"))
     evidence = Evidence(cut(with_evidence(narrow, model, "body", "html", drop_text=True), "languages"), model)
-    columns = docs.columns
-    judged = evidence.judge(with_evidence(docs.select("*", *keys), model, text_col)).where("__accepted")
-    return judged.select(*[F.col("__lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in columns])
+    own = {c: f"column_{i}" for i, c in enumerate(docs.columns)}      # no name of the caller can meet one of ours
+    judged = evidence.judge(with_evidence(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()], *keys), model, own[text_col])).where("__accepted")
+    return judged.select(*[F.col("__lang" if c == lang_col else x).alias(c) for c, x in own.items()])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,8 @@ def find_exponent(totals: DataFrame, target: str = "repetition", value: float =
     if not ends or reached(ends[lo]):
         return lo
     if not reached(ends[hi]):
+        if target == "entropy":
+            raise ValueError(f"no exponent up to {hi} brings the entropy down to {value}; give a larger ``highest``")
         return hi
     parts = 1 << STEPS
     for _ in range(PASSES):

@@ -46,8 +46,11 @@ def unit_rows(col) -> tuple[list[np.ndarray], np.ndarray]:
         v = None
         if value.is_valid and value.values is not None and not value.values.null_count:
             v = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            with np.errstate(over="ignore", invalid="ignore"):
-                good[i] = len(v) > 0 and bool(np.isfinite(v).all()) and 0 < float(v @ v) < math.inf
+            good[i] = len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any())
+            if good[i]:
+                most = float(np.abs(v).max())
+                if not 1e-100 < most < 1e100:      # its square would be out of range; a power of two keeps the direction
+                    v = np.ldexp(v, -math.frexp(most)[1])
         out.append(v)
     return out, good
 

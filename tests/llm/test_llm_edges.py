@@ -340,6 +340,32 @@ def test_semi_global_is_exact():
         assert distance == brute.edit_distance(list(item), list(text)) and 0 <= start <= end <= len(text)
 
 
+def test_vectors_of_any_size(spark):
+    """Vectors whose square leaves the range of doubles are compared like all others."""
+    data = [(1, [1e-200, 0.0]), (2, [1e-200, 0.0]), (3, [1e200, 0.0]), (4, [2e200, 1e199]), (5, [0.0, 5e-324]), (6, [0.0, 0.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, 1, v) for i, v in data], "vec_id long, label long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(vj.vector_links(df))}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (0, 6), 7: (1, 5)}
+
+
+def test_language_columns_of_any_name(spark):
+    names = ["__lang", "__posterior", "__host", "__declared", "__top", "column_0"]
+    df = spark.createDataFrame([(i, f"the cat sat on the mat and it was number {i} of them all", "en", "a.example", "kept") for i in range(30)],
+                               "doc_id long, text string, lang string, source string, extra string")
+    plain = {r["doc_id"] for r in rows(li.keep_identified(df))}
+    more = li.keep_identified(df.select("*", *[F.col("extra").alias(n) for n in names]))
+    assert more.columns == [*df.columns, *names]
+    got = rows(more)
+    assert {r["doc_id"] for r in got} == plain and all(r[n] == "kept" for r in got for n in names)
+
+
+def test_entropy_out_of_reach_is_an_error(spark):
+    df = spark.createDataFrame([("a", 100), ("b", 90), ("c", 80)], "source string, size long")
+    totals = df.withColumn("share", F.col("size") / 270.0)
+    with pytest.raises(ValueError):
+        mx.find_exponent(totals, "entropy", 0.1)
+
+
 def test_vectors(spark):
     near = [0.1, 0.2, 0.3]
     data = [(1, near, 0), (2, near, 0), (3, [0.1, 0.2, 0.31], 0), (4, near, 1), (5, near, None), (6, None, 0), (7, [0.0] * 3, 0),
