@@ -42,6 +42,13 @@ def id_and_body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, under its own names, so other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds) == F.lit(fold)
 

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.common import cut, table
+from calibra.llm.common import cut, free_name, table
 
 BLOCK_ROWS = 4096
 MIX_TOKENS = 1_000_000
@@ -150,10 +150,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         value: float = MAX_REPETITION, budget: float | None = None) -> DataFrame:
     """``docs`` with each row as often as the mixture holds its id (rows of one id go together)."""
     rows = cut(sized(docs, id_col, source_col, text_col), "sized")
-    chosen = mixture(rows, mixing_plan(rows, target, value, budget)).select(F.col("id").alias("__mixed_id"), "epoch").distinct()
-    chosen = chosen.groupBy("__mixed_id").agg(F.count(F.lit(1)).cast("int").alias("__mixed_copies"))
-    out = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__mixed_id")))
-    return out.withColumn("__mixed_id", F.explode(F.sequence(F.lit(1), F.col("__mixed_copies")))).select(*[docs[c] for c in docs.columns])
+    ours, copies = free_name(docs, "mixed_id"), free_name(docs, "mixed_copies")
+    chosen = mixture(rows, mixing_plan(rows, target, value, budget)).select(F.col("id").alias(ours), "epoch").distinct()
+    chosen = chosen.groupBy(ours).agg(F.count(F.lit(1)).cast("int").alias(copies))
+    out = docs.join(chosen, F.col(id_col).eqNullSafe(F.col(ours)))
+    return out.withColumn(ours, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:

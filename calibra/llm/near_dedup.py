@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm import textbytes as tb
-from calibra.llm.common import components, cut, id_and_body, on_workers, spread_ids, table
+from calibra.llm.common import components, cut, free_name, id_and_body, on_workers, spread_ids, table
 
 TAIL = 1e-7      # chance that a pair at the limit shares fewer than the required values
 SHARED = 3       # values that a pair must share in the lists
@@ -298,11 +298,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group (rows that repeat an id count as copies;
-    rows with a null id stay)."""
-    ids = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    name = options.get("id_col", "doc_id")
-    held = docs.where(F.col(name).isNotNull()).join(ids, F.col(name) == F.col("__kept_id"), "left_semi").dropDuplicates([name])
+    """``docs`` with one document of each near-duplicate group.
+
+    Rows that share an id are one document: it stays while one of them does, with
+    one row for each of its different texts (null is a text of its own). Rows with a
+    null id stay. Other columns may have any name.
+    """
+    name, text = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    ours = free_name(docs, "kept_id")
+    ids = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(ours)).distinct()
+    held = docs.where(F.col(name).isNotNull()).join(ids, F.col(name) == F.col(ours), "left_semi").dropDuplicates([name, text])
     return held.unionByName(docs.where(F.col(name).isNull()))
 
 
