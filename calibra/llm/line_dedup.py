@@ -15,6 +15,11 @@ A line's key is the line without white space at both ends, A-Z lower-cased, as
 a 128-bit hash. Keys of at least ``min_chars`` code points in at least
 ``min_docs`` documents keep only the lines of the largest id that holds them.
 
+In the last join a frequent line would meet all its documents in one task, so keys
+that hold at least a 1024th of the rows are dealt by id over as many parts as they
+hold 1024ths. There are at most 1024 such keys and 2048 parts whatever the corpus, so
+their table is broadcast (:func:`hot_keys`).
+
 Texts are split in whole; a null or empty text is one empty line. Each row
 counts as one document for ``min_docs`` (a repeated row is one more); a row with
 a null id counts too and is never the largest while another holds the line.
@@ -28,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.llm import textbytes as tb
-from calibra.llm.common import id_and_body, on_workers, table
+from calibra.llm.common import cut, id_and_body, on_workers, table
 from calibra.session import fresh_path
 
 NO_ID = -(1 << 63)
 RUN = "hi long, lo long, docs long, top long"
+HOT_SHARE = 1024        # a key in more than 2 of so many rows is dealt over several tasks
 _STRIP = b" \t\n\r\x0b\x0c"
 
 
@@ -124,6 +130,47 @@ class LineRuns:
         return known.select("hi", "lo", "top")
 
 
+def _frequent_in_batch(share: int):
+    """Keys with at least one of ``share`` rows of an Arrow batch, with their rows there."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pairs = np.empty(batch.num_rows, dtype=[("hi", np.int64), ("lo", np.int64)])
+            pairs["hi"], pairs["lo"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, held = np.unique(pairs, return_counts=True)
+            often = held * share >= batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys["hi"][often])), pa.array(np.ascontiguousarray(keys["lo"][often])),
+                                              pa.array(held[often].astype(np.int64))], ["khi", "klo", "held"])
+    return run
+
+
+def hot_keys(hashed: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """(khi, klo, parts): every key with at least 2 of ``share`` rows, and none with fewer than 1.
+
+    A batch leaves out less than a ``share``-th of its rows for any key, so what all of them
+    leave out of a key is less than a ``share``-th of all rows. At most ``share`` keys.
+    """
+    total = hashed.count()
+    found = hashed.select("hi", "lo").mapInArrow(_frequent_in_batch(share), "khi long, klo long, held long")
+    parts = F.floor(F.col("held") * F.lit(share) / F.lit(max(total, 1))).cast("int") + 1
+    return (found.groupBy("khi", "klo").agg(F.sum("held").alias("held")).where(F.col("held") * F.lit(share) >= F.lit(max(total, 1)))
+            .select("khi", "klo", parts.alias("parts")))
+
+
+def doomed_lines(hashed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, key): the rows of ``hashed`` whose key is in ``keys`` (hi, lo, top) with a larger id; hot keys are salted."""
+    hot = F.broadcast(cut(hot_keys(hashed), "hot-lines"))
+    same = lambda df: (df["hi"] == hot["khi"]) & (df["lo"] == hot["klo"])
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts").cast("long")), F.lit(0).cast("long"))
+    left = hashed.join(hot, same(hashed), "left").select("hi", "lo", "id", part.alias("part"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts").cast("long"), F.lit(1).cast("long")) - 1))
+    right = keys.join(hot, same(keys), "left").select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), "top", every.alias("of_part"))
+    met = left.join(right, (F.col("hi") == F.col("of_hi")) & (F.col("lo") == F.col("of_lo")) & (F.col("part") == F.col("of_part"))
+                    & (F.col("id") < F.col("top")))
+    return met.select("id", F.concat(*[F.lpad(F.hex(x), 16, "0") for x in ("hi", "lo")]).alias("key"))
+
+
 def _drop_lines(min_chars: int):
     def run(batches):
         import xxhash
@@ -169,9 +216,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if upper is not None:
             part = part.where(F.col("id") <= upper)
         runs.add(part)
-    twice = runs.duplicated().select(F.col("hi").alias("khi"), F.col("lo").alias("klo"), "top")
-    drops = (hashed.join(twice, (F.col("hi") == F.col("khi")) & (F.col("lo") == F.col("klo")) & (F.col("id") < F.col("top")))
-             .select("id", F.concat(*[F.lpad(F.hex(x), 16, "0") for x in ("hi", "lo")]).alias("key")).distinct()
+    drops = (doomed_lines(hashed, runs.duplicated()).distinct()
              .groupBy("id").agg(F.array_join(F.collect_list("key"), "").alias("drops")))
     drops = drops.withColumnRenamed("id", "of")
     body = id_and_body(docs, id_col, text_col)
