@@ -1,7 +1,10 @@
 """Secret scan with a random forest against false positives (operator 6, DataFrame functions only).
 
 A finding is a word of at least ``MIN_LENGTH`` characters with a digit, without
-quotes and without a leading ``name=``. Features: its length and classes of
+quotes and without a leading ``name=``; and every value behind a credential name,
+short or without a digit as it may be (``password=x``, ``password: x``,
+``password = x``; further assignment signs between them do not count as values).
+Features: its length and classes of
 characters, transitions between classes, coverage by dictionary words (the
 alphabetic parts of it that are words of at least ``DICTIONARY_DOCS`` documents;
 the dictionary is counted over the whole corpus), the path (words of the
@@ -11,12 +14,15 @@ of them; those below ``THRESHOLD`` are false positives.
 
 Labels are given as a table, or, where none are, taken from formats that need no
 judgement: access keys of known providers and values assigned to a credential
-name are secrets; addresses, numbers, dates, hosts and versions are not. The rest
+name are secrets; addresses, numbers, dates, hosts, versions and values that are
+dictionary words as a whole are not. The rest
 is unlabelled and judged by the forest alone; labelled findings are scored like
 all others. Training draws at most about ``SAMPLE`` / 2 different values of each
 label by hash, at a rate of its own (documented bound), so that the rarer label does
 not thin out as the corpus grows; candidates, dictionary and scores cover
-everything. If the drawn values do not hold both labels, a finding's label decides.
+everything. A value trains with its first place (smallest id, then word index) and the
+drawn values are sorted into one partition, so neither depends on the layout of the
+input. If the drawn values do not hold both labels, a finding's label decides.
 
 Null and empty texts have no findings. A null source is a path without words.
 Repeated rows are reported each. An empty table gives no rows.
@@ -38,13 +44,18 @@ SAMPLE = 20_000
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 30, 8, 17
 
-CANDIDATE = rf"(?:^|\s)(?=\S*[0-9])\S{{{MIN_LENGTH},}}"
 # Names that go before a credential, words of paths, formats with a known meaning.
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
 PATHS = r"(?i)(env|conf|config|key|secret|deploy|prod|src|code|repo)"
 PROVIDER = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,})$"
 HARMLESS = (r"^([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9 ().,:/+-]+|([0-9]{1,3}\.){3}[0-9]{1,3}|(https?://|www\.)\S+|"
             r"v?[0-9]+(\.[0-9]+)+|[0-9]{4}-[0-9]{2}-[0-9]{2}\S*)$")
+NAME_END = CREDENTIAL + r"[\"'\])]*"                         # a credential name as the end of a word
+LONG_WORD = rf"(?=\S*[0-9])\S{{{MIN_LENGTH},}}"
+ASSIGNED = NAME_END + r"\s*(=|:|:=|=>)\s*[^\s=:>]"            # anywhere in a text: a name, a sign, a value
+CANDIDATE = rf"(?:^|\s){LONG_WORD}|{ASSIGNED}"
+IN_WORD = r"^[^=:]*" + NAME_END + r"(=|:|:=|=>)[^\s=:>]"        # password=x
+NAMED_SIGN, SIGN = NAME_END + "(=|:|:=|=>)$", r"^(=|:|:=|=>)$"   # "password: x", and "password = x" in three words
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9"}
 
 
@@ -52,11 +63,13 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """id, path, word_index, name (before an equals sign), value, before (two words), after."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("body"))
     words = given.where(F.col("body").rlike(CANDIDATE)).withColumn("words", F.split("body", r"\s+"))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).rlike(rf"^(?=\S*[0-9])\S{{{MIN_LENGTH},}}$"))
-    word = lambda i, by: F.coalesce(F.get(F.col("words"), i + F.lit(by)), F.lit(""))
+    word = lambda i, by: F.coalesce(F.when(i + F.lit(by) >= 0, F.get(F.col("words"), i + F.lit(by))), F.lit(""))
+    behind = lambda i: ~word(i, 0).rlike(SIGN) & (
+        word(i, -1).rlike(NAMED_SIGN) | (word(i, -1).rlike(SIGN) & word(i, -2).rlike(NAME_END + "$")))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1),
+                  lambda i: word(i, 0).rlike(rf"^{LONG_WORD}$") | word(i, 0).rlike(IN_WORD) | (behind(i) & (word(i, 0) != "")))
     found = words.select("id", "path", F.explode(F.transform(at, lambda i: F.struct(
-        i.alias("word_index"), word(i, 0).alias("word"), F.when(i > 1, word(i, -2)).otherwise(F.lit("")).alias("b2"),
-        F.when(i > 0, word(i, -1)).otherwise(F.lit("")).alias("b1"), word(i, 1).alias("after")))).alias("f")).select("id", "path", "f.*")
+        i.alias("word_index"), word(i, 0).alias("word"), word(i, -2).alias("b2"), word(i, -1).alias("b1"), word(i, 1).alias("after")))).alias("f")).select("id", "path", "f.*")
     bare = F.regexp_replace("word", r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$", "")
     named = F.regexp_extract(bare, r"^([A-Za-z_][A-Za-z0-9_.-]*)[=:][\"']?\S+$", 1)
     value = F.when(named != "", F.regexp_extract(bare, r"^[A-Za-z_][A-Za-z0-9_.-]*[=:][\"']?(\S+)$", 1)).otherwise(bare)
@@ -71,10 +84,10 @@ def dictionary(docs: DataFrame, text_col: str = "text", min_docs: int = DICTIONA
 
 
 def weak_label() -> Column:
-    """1 secret, 0 harmless, null unknown."""
+    """1 secret, 0 harmless, null unknown (of rows with the columns of :func:`features`)."""
     value = F.col("value")
     assigned = F.col("name").rlike(CREDENTIAL) | F.regexp_replace("before", r"[\s\"'=:]+$", "").rlike(CREDENTIAL + "$")
-    return (F.when(value.rlike(HARMLESS), 0.0).when(value.rlike(PROVIDER), 1.0)
+    return (F.when(value.rlike(HARMLESS) | (value.rlike("^[A-Za-z]+$") & (F.col("f_dictionary") == 1.0)), 0.0).when(value.rlike(PROVIDER), 1.0)
             .when(assigned & value.rlike(r"^[A-Za-z0-9+/_=-]{12,}$"), 1.0).otherwise(F.lit(None).cast("double")))
 
 
@@ -123,12 +136,15 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
         given = labels.select(F.col("value").alias("of_value"), F.col("label").cast("double").alias("label")).dropDuplicates(["of_value"])
         found = found.join(given, F.col("value") == F.col("of_value"), "left").drop("of_value")
     found = cut(found, "findings")
-    known = found.where("label is not null").groupBy("value").agg(*[F.first(c).alias(c) for c in [*names, "label"]])
+    place = F.struct("id", "word_index", *names)
+    known = (found.where("label is not null").groupBy("value").agg(F.min_by(F.struct(*names, "label"), place).alias("x"))
+             .select("value", "x.*"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.lit(0.0)
     for label, n in counts.items():
         rate = F.when(F.col("label") == label, min(1.0, SAMPLE / 2 / n)).otherwise(rate)
-    drawn = cut(known.where(F.pmod(F.xxhash64("value"), F.lit(1 << 40)) < rate * F.lit(float(1 << 40))), "labelled", "value")
+    drawn = known.where(F.pmod(F.xxhash64("value"), F.lit(1 << 40)) < rate * F.lit(float(1 << 40)))
+    drawn = cut(drawn.repartition(1), "labelled", "value")      # about SAMPLE rows at most, whatever the corpus
     if drawn.select("label").distinct().count() < 2:
         scored = found.withColumn("probability", F.coalesce("label", F.lit(0.0)))
     else:
