@@ -461,3 +461,54 @@ def test_rare_secrets_train_beside_many_harmless_values(spark, monkeypatch):
     secrets = [(3000 + i, f"the password = {hexa(32)} is set", "src") for i in range(5)]
     got = rows(sc.scan(spark.createDataFrame(texts + secrets, "doc_id long, text string, source string")))
     assert len(got) == 3005 and all(r["secret"] == (r["doc_id"] >= 3000) for r in got)
+
+
+def test_kept_and_mixed_columns_of_any_name(spark):
+    names = ["kept_id", "KEPT_ID_", "mixed_id", "mixed_copies", "__kept_id", "__mixed_id"]
+    df = spark.createDataFrame([(i, f"text {i} of many with some words {i * 7} more {i * 3}", "a" if i % 3 else "b") for i in range(12)],
+                               "doc_id long, text string, source string")
+    more = df.select("*", *[F.lit(n).alias(n) for n in names])
+    for result in (nd.keep_one(more), mx.mix(more)):
+        assert result.columns == [*df.columns, *names]
+        got = rows(result)
+        assert {r["doc_id"] for r in got} == set(range(12)) and all(r[n] == n for r in got for n in names)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    data = [(1, A), (1, "quite another text that no other document has"), (1, A), (2, B), (3, None), (3, ""), (3, None)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+        got = rows(nd.keep_one(df))
+        assert sorted((r["doc_id"], r["text"] or "", r["text"] is None) for r in got if r["doc_id"] != 2) == sorted(
+            [(1, A, False), (1, data[1][1], False), (3, "", True), (3, "", False)])
+
+
+def test_hot_keys_are_few_and_dealt(spark):
+    """Keys with two of ``share`` rows are found, those with less than one are not; the salted join equals a plain one."""
+    data = [(k, -k, i) for k, n in ((1, 900), (2, 300), (3, 40), (4, 3)) for i in range(n)] + [(100 + i, i, i) for i in range(500)]
+    hashed = spark.createDataFrame(data, "hi long, lo long, id long").repartition(7)
+    hot = {r["khi"]: r["parts"] for r in rows(ld.hot_keys(hashed, 16))}
+    assert {1, 2} <= set(hot) <= {1, 2} and hot[1] > hot[2] > 1
+    keys = spark.createDataFrame([(1, -1, 899), (2, -2, 10), (4, -4, 2), (9, 9, 9)], "hi long, lo long, top long")
+    got = [(r["id"], r["key"]) for r in rows(ld.doomed_lines(hashed, keys))]
+    name = lambda hi: f"{hi:016X}{(1 << 64) - hi:016X}"
+    assert sorted(got) == sorted([(i, name(1)) for i in range(899)] + [(i, name(2)) for i in range(10)] + [(i, name(4)) for i in range(2)])
+
+
+def test_values_behind_credential_names(spark):
+    texts = ["the password=hunter here", "password: swordfish now", "api_key = abc and", "'token' => zz9", "passwd := q", "no password here", "token = = x",
+             "secret:", "a token : ", None]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r["id"], r["value"]) for r in rows(sc.findings(df))}
+    assert {(0, "hunter"), (1, "swordfish"), (2, "abc"), (3, "zz9"), (4, "q")} <= got
+    assert not {i for i, _ in got} & {5, 7, 8, 9}
+
+
+def test_secrets_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(6)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    values = [hexa(32) for _ in range(40)]
+    texts = [(i, f"{'token =' if i % 3 else 'see the'} {values[i % 40]} and 2024-01-{i % 28 + 1:02d}T{i:05d} go", f"src{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    one, other = ({(r["doc_id"], r["word_index"]): (r["label"], r["probability"]) for r in rows(sc.scan(df.repartition(n)))} for n in (1, 7))
+    assert one == other
