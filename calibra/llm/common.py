@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from calibra.session import fresh_path, ship_package
 from calibra.sources.tables import read_table
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def cut(df: DataFrame, name: str, *sort: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
@@ -35,6 +37,15 @@ def on_workers(spark: SparkSession) -> None:
     """Python mappers import this package on the workers."""
     ship_package(spark)
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to the workers at most ``BATCH_BYTES`` at a time, unless the session sets a limit of its own.
+
+    Spark's default is 10 000 rows or 64 MB, held by the executor on both ways and by the
+    worker; what is kept of that between stages counts against the executor.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 

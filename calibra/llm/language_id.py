@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm import textbytes as tb
-from calibra.llm.common import cut, on_workers, table
+from calibra.llm.common import bounded_batches, cut, on_workers, table
 
 BUCKETS = 1 << 16
 SAMPLE = 4000
@@ -125,6 +125,7 @@ class TextModel:
 def fit_text(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> TextModel:
     """The text model from about ``sample`` labelled documents of each language."""
     on_workers(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.lower(F.col(lang_col)).alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     given = given.where("lang is not null and lang <> ''")
     counts = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -239,6 +240,7 @@ class Evidence:
 def with_evidence(rows: DataFrame, model: TextModel, text_col: str, html_col: str | None = None, drop_text: bool = False) -> DataFrame:
     """``rows`` with the text's scores; ``html_col`` flags rows whose text is markup."""
     on_workers(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     at, html = rows.columns.index(text_col), None if html_col is None else rows.columns.index(html_col)
     schema = [f for i, f in enumerate(rows.schema.fields) if not (drop_text and i in (at, html))]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm import textbytes as tb
-from calibra.llm.common import components, cut, free_name, id_and_body, on_workers, spread_ids, table
+from calibra.llm.common import bounded_batches, components, cut, free_name, id_and_body, on_workers, spread_ids, table
 
 TAIL = 1e-7      # chance that a pair at the limit shares fewer than the required values
 SHARED = 3       # values that a pair must share in the lists
@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     similarity: float = 0.8, k: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (see the module)."""
     on_workers(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     body = id_and_body(docs, id_col, text_col)
     rows = cut(body.mapInArrow(_sketches(shingle_words, k), "id long, n long, sig binary, sketch array<long>"), "sketches")
     classes = cut(rows.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep")), "classes")
